@@ -1 +1,8 @@
 """lorebase: evidence and document memory on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python helpers travel with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -96,7 +96,7 @@ _ANCHORS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
     WITH links AS (SELECT page_id, {_HOST} AS host, generate_subscripts({_ANCHORS}, 1) AS position, unnest({_ANCHORS}) AS href FROM pages),
     firsts AS (SELECT page_id, host, href, min(position) AS position FROM links WHERE href <> '' GROUP BY ALL),
     targets AS (SELECT {_HOST} AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS href, min(page_id) AS target FROM pages GROUP BY ALL)
-    SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY position) AS position, target
+    SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY position) AS position, coalesce(target, -1) AS target
     FROM firsts LEFT JOIN targets USING (host, href)""")
 def page_links(spark, folder):
     """Distinct links per page in order, resolved to the page they lead to within the host."""
@@ -104,7 +104,7 @@ def page_links(spark, folder):
     links = pages.select("page_id", host(F.col("url")).alias("host"), F.posexplode(F.array_distinct(H.links(F.col("html")))).alias("p", "href"))
     targets = pages.groupBy(host(F.col("url")).alias("host"), url_path(F.col("url")).alias("href")).agg(F.min("page_id").alias("target"))
     return links.join(targets, ["host", "href"], "left").select(
-        "page_id", "href", (F.col("p") + 1).cast("bigint").alias("position"), "target"
+        "page_id", "href", (F.col("p") + 1).cast("bigint").alias("position"), F.coalesce("target", F.lit(-1).cast("bigint")).alias("target")
     )
 
 
