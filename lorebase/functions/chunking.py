@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lorebase import rules
-from lorebase.functions.text import lstrip, normalise_export, normalise_newlines, strip
+from lorebase.functions.text import bind, lstrip, normalise_export, normalise_newlines, strip
 
 BLOCK = 65536
 _NO_STRINGS = "array<string>"
@@ -25,24 +25,26 @@ def _blocks(text: Column) -> Column:
     )
 
 
-def _cut_from_left(text: Column, limit: int, shortest_step: int, cut: Callable[[Column], tuple[Column, Column]]) -> Column:
+def _cut_from_left(text: Column, limit: int, shortest_step: int, cut: Callable[[Column], Column]) -> Column:
     """Cut while more than ``limit`` characters are left; returns struct(rest, pieces).
 
-    ``cut`` maps what is left to (piece, rest) by looking at its first ``limit`` characters only, and drops at
+    ``cut`` maps what is left to struct(rest, piece) by looking at its first ``limit`` characters only, and drops at
     least ``shortest_step`` of them. ``text`` must be stripped.
     """
 
     def shorten(state: Column, _step: Column) -> Column:
-        piece, rest = cut(state["rest"])
-        return F.when(
-            F.length(state["rest"]) > limit,
-            F.struct(rest.alias("rest"), F.array_append(state["pieces"], piece).alias("pieces")),
-        ).otherwise(state)
+        done = bind(cut(state["rest"]), lambda c: F.struct(
+            c["rest"].alias("rest"), F.array_append(state["pieces"], c["piece"]).alias("pieces")
+        ))
+        return F.when(F.length(state["rest"]) > limit, done).otherwise(state)
 
     def take_block(state: Column, block: Column) -> Column:
-        rest = lstrip(F.concat(state["rest"], block))
-        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(rest) / shortest_step).cast("int")))
-        return F.aggregate(steps, F.struct(rest.alias("rest"), state["pieces"].alias("pieces")), shorten)
+        def cut_all(rest: Column) -> Column:
+            start = F.struct(rest.alias("rest"), state["pieces"].alias("pieces"))
+            steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(rest) / shortest_step).cast("int")))
+            return F.when(F.length(rest) <= limit, start).otherwise(F.aggregate(steps, start, shorten))
+
+        return bind(lstrip(F.concat(state["rest"], block)), cut_all)
 
     start = F.struct(F.lit("").alias("rest"), F.array().cast(_NO_STRINGS).alias("pieces"))
     return F.aggregate(_blocks(text), start, take_block)
@@ -56,12 +58,14 @@ def paragraph_chunks(text: Column, limit: int = rules.CHUNK_CHARS, overlap: int
     which may then exceed the limit.
     """
 
-    def window(rest: Column) -> tuple[Column, Column]:
-        return strip(F.substring(rest, 1, limit)), lstrip(F.substring(rest, limit - overlap + 1, BLOCK * 2))
+    def window(rest: Column) -> Column:
+        return F.struct(
+            lstrip(F.substring(rest, limit - overlap + 1, BLOCK * 2)).alias("rest"), strip(F.substring(rest, 1, limit)).alias("piece")
+        )
 
     def pack(state: Column, paragraph: Column) -> Column:
         cut = _cut_from_left(paragraph, limit, limit - overlap, window)
-        return F.aggregate(F.array(cut), state, _pack_one)
+        return bind(cut, lambda c: _pack_one(state, c))
 
     def _pack_one(state: Column, cut: Column) -> Column:
         pending, rest = state["open"], cut["rest"]
@@ -86,20 +90,21 @@ def export_chunks(text: Column, size: int = rules.EXPORT_CHARS) -> Column:
     """Pieces of at most ``size`` characters, cut at the last blank line of the window, else at its last line
     break, else hard; a break in the first half of the window does not count."""
 
-    def last_at(window: Column, mark: str) -> Column:
-        hit = F.instr(F.reverse(window), mark)
-        return F.when(hit > 0, F.length(window) - hit - (len(mark) - 1)).otherwise(F.lit(-1))
+    def last_at(backwards: Column, mark: str) -> Column:
+        hit = F.instr(backwards, mark)
+        return F.when(hit > 0, size - hit - (len(mark) - 1)).otherwise(F.lit(-1))
 
-    def cut(rest: Column) -> tuple[Column, Column]:
-        window = F.substring(rest, 1, size)
-        blank, line = last_at(window, "\n\n"), last_at(window, "\n")
-        at = F.when(blank >= size // 2, blank).when(line >= size // 2, line).otherwise(F.lit(size))
-        return strip(F.substring(rest, F.lit(1), at)), lstrip(F.substring(rest, at + 1, F.lit(BLOCK * 2)))
+    def place(backwards: Column) -> Column:
+        return F.coalesce(*[
+            bind(last_at(backwards, mark), lambda at: F.when(at >= size // 2, at)) for mark in ("\n\n", "\n")
+        ], F.lit(size))
+
+    def cut(rest: Column) -> Column:
+        return bind(bind(F.reverse(F.substring(rest, 1, size)), place), lambda at: F.struct(
+            lstrip(F.substring(rest, at + 1, F.lit(BLOCK * 2))).alias("rest"), strip(F.substring(rest, F.lit(1), at)).alias("piece")
+        ))
 
     whole = normalise_export(text)
-    cuts = F.aggregate(
-        F.array(_cut_from_left(whole, size, size // 2, cut)),
-        F.array().cast(_NO_STRINGS),
-        lambda _none, c: F.when(c["rest"] == "", c["pieces"]).otherwise(F.array_append(c["pieces"], c["rest"])),
-    )
-    return F.when(whole == "", F.array().cast(_NO_STRINGS)).otherwise(cuts)
+    return bind(_cut_from_left(whole, size, size // 2, cut), lambda c: F.when(c["rest"] == "", c["pieces"]).otherwise(
+        F.array_append(c["pieces"], c["rest"])
+    ))

@@ -13,14 +13,14 @@ from lorebase.functions.text import casefold, compact, contains_any, strip
 
 def sentences(text: Column) -> Column:
     """Split after sentence punctuation plus white space and at line breaks; pieces over 8 characters."""
-    raw = F.split(text, rf"(?<=[。！？.!?]){rules.SPACE}+|\n+")
+    raw = F.split(text, rf"(?!{rules.PRINTABLE})(?:(?<=[。！？.!?]){rules.SPACE}+|\n+)")
     return F.transform(F.filter(raw, lambda s: F.length(strip(s)) > rules.MIN_SENTENCE), compact)
 
 
 def fact_points(sentence: Column, outcome_words: Sequence[str] = rules.OUTCOME_WORDS) -> Column:
     length = F.length(sentence)
     return (
-        F.when(sentence.rlike(rules.FACT_PATTERN), 3).otherwise(0)
+        F.when(sentence.rlike("[0-9]") & sentence.rlike(rules.FACT_PATTERN), 3).otherwise(0)
         + F.when(contains_any(casefold(sentence), outcome_words), 2).otherwise(0)
         + F.when(length.between(rules.FACT_MIN_CHARS, rules.FACT_MAX_CHARS), 1).otherwise(0)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from lorebase import rules
 
 
+# White space that is not a single blank. The look-ahead turns away almost every character at once.
+_UNTIDY = rf"(?!{rules.PRINTABLE})(?:{rules.WIDE_SPACE}{rules.SPACE}*| {rules.SPACE}+)"
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, where it is needed several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Both ends trimmed of every Unicode white-space character."""
     return F.btrim(text, F.lit(rules.SPACE_CHARS))
@@ -25,7 +34,7 @@ def rstrip(text: Column) -> Column:
 
 def compact(text: Column) -> Column:
     """White-space runs become one blank, ends are trimmed. Single blanks are not rewritten."""
-    return F.trim(F.regexp_replace(text, rf"{rules.WIDE_SPACE}{rules.SPACE}*| {rules.SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, _UNTIDY, " "))
 
 
 def is_blank(text: Column) -> Column:
@@ -55,16 +64,29 @@ def matches_any(text: Column, patterns: Iterable[str]) -> Column:
     return found
 
 
-def redact(text: Column, rule_set: Sequence[tuple[str, str]] = rules.INDEX_REDACTION) -> Column:
-    """Apply the (pattern, replacement) rules in order.
+def suspicious(text: Column) -> Column:
+    """False for texts that no redaction rule can match: plain substring tests, cheap next to six patterns."""
+
+    def has_clue(low: Column) -> Column:
+        found = contains_any(low, rules.REDACTION_CLUES)
+        for first, second in rules.REDACTION_CLUE_PAIRS:
+            found = found | (F.contains(low, F.lit(first)) & F.contains(low, F.lit(second)))
+        numbered = F.contains(low, F.lit(":")) & low.rlike(rules.REDACTION_NUMBER_CLUE)
+        cjk = (F.octet_length(low) > F.length(low)) & contains_any(low, rules.REDACTION_CJK_CLUES)
+        return found | numbered | cjk
 
-    Most texts hold no secret at all: a plain substring test decides whether the patterns have to run.
-    """
-    cleaned = text
+    return bind(F.lower(text), has_clue)
+
+
+def apply_rules(text: Column, rule_set: Sequence[tuple[str, str]]) -> Column:
     for pattern, replacement in rule_set:
-        cleaned = F.regexp_replace(cleaned, pattern, replacement)
-    suspicious = F.exists(F.array(F.lower(text)), lambda low: contains_any(low, rules.REDACTION_CLUES))
-    return F.when(suspicious, cleaned).otherwise(text)
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
+def redact(text: Column, rule_set: Sequence[tuple[str, str]] = rules.INDEX_REDACTION) -> Column:
+    """Apply the (pattern, replacement) rules in order, to the texts that can match one at all."""
+    return F.when(suspicious(text), apply_rules(text, rule_set)).otherwise(text)
 
 
 def redact_all(values: Column, rule_set: Sequence[tuple[str, str]] = rules.INDEX_REDACTION) -> Column:
@@ -92,12 +114,14 @@ def as_list(value: Column) -> Column:
 
 
 def normalise_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def normalise_export(text: Column) -> Column:
     """Line ends unified, three or more line breaks become two, ends trimmed."""
-    return strip(F.regexp_replace(normalise_newlines(text), r"\n{3,}", "\n\n"))
+    lines = normalise_newlines(text)
+    many = F.contains(lines, F.lit("\n\n\n"))
+    return strip(F.when(many, F.regexp_replace(lines, r"\n{3,}", "\n\n")).otherwise(lines))
 
 
 def normalise_entry(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lorebase import rules
 from lorebase.functions import distill as D
 from lorebase.operators.grouping import top_per_key
+from lorebase.session import persist_table
 
 
 def distill_pages(pages: DataFrame, keywords: Sequence[tuple[str, str]] = rules.KEYWORD_TAGS,
@@ -50,8 +51,12 @@ def section_facts(distilled: DataFrame, limit: int = rules.SECTION_FACTS,
 def section_rollup(distilled: DataFrame) -> DataFrame:
     """One row per section: page count, top tags, highlight facts, summary sentence.
 
-    Pages are counted, and tags and facts cut to their dozen, before anything is collected per section.
+    The distillation is written once, as three aggregates read it. Pages are counted, and tags and facts cut to
+    their dozen, before anything is collected per section.
     """
+    distilled = persist_table(distilled.select(
+        "section", "ordinal", "tags", F.slice("important_facts", 1, rules.SECTION_FACTS_PER_PAGE).alias("important_facts")
+    ), "distilled")
     pages = distilled.groupBy("section").agg(F.count("*").alias("page_count"))
     tags = section_tags(distilled).groupBy("section").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda e: e["tag"]).alias("top_tags")

@@ -25,15 +25,23 @@ def chunk_sources(sources: DataFrame) -> DataFrame:
 
     Chunks with fewer than 30 characters after white-space collapse are left out but keep their number.
     """
-    pieces = F.transform(paragraph_chunks(F.col("text")), lambda piece: T.redact(T.strip(piece)))
+    pieces = paragraph_chunks(F.col("text"))
+    # a cut can lay bare a secret, so pieces are redacted again; a text without any clue has no such piece
+    cleaned = F.transform(pieces, lambda piece: T.apply_rules(piece, rules.INDEX_REDACTION))
+    pieces = F.when(T.suspicious(F.col("text")), cleaned).otherwise(pieces)
     exploded = sources.select(
         "ordinal", "source_id", "source_type", "section", "title", "path", "date", "author",
         T.sha256(F.col("text")).alias("source_hash"),
         T.redact_map(F.col("metadata")).alias("metadata"),
         F.posexplode(pieces).alias("position", "text"),
     )
+    def long_enough(text: F.Column) -> F.Column:
+        return F.length(T.compact(text)) >= rules.CHUNK_MIN
+
+    # the beginning decides for nearly every chunk; only the others are looked at as a whole
+    start = F.substring("text", 1, 4 * rules.CHUNK_MIN)
     return (
-        exploded.filter(F.length(T.compact(F.col("text"))) >= rules.CHUNK_MIN)
+        exploded.filter(long_enough(start) | long_enough(F.col("text")))
         .withColumn("chunk_index", F.col("position") + 1)
         .withColumn("text_hash", T.sha256(F.col("text")))
         .withColumn("chunk_id", T.chunk_id(F.col("source_id"), F.col("chunk_index"), F.col("text_hash")))

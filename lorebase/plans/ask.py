@@ -15,6 +15,7 @@ from lorebase import rules
 from lorebase.functions import terms as Q
 from lorebase.operators import search
 from lorebase.providers.base import Provider
+from lorebase.session import persist_table
 
 
 @dataclass
@@ -42,8 +43,9 @@ def candidates(index: DataFrame, question: str, provider: Provider | None, top_k
 
 def ask(index: DataFrame, question: str, provider: Provider, top_k: int = rules.DEFAULT_TOP_K) -> Answer:
     """The whole lifecycle for one question."""
-    found, error = candidates(index, question, provider)
-    shown = [row.asDict(recursive=True) for row in found.drop("vector").limit(rules.RERANK_WIDTH).collect()]
+    ranked, error = candidates(index, question, provider)
+    found = persist_table(ranked.drop("vector"), "candidates")  # read twice below, scanned once
+    shown = [row.asDict(recursive=True) for row in found.orderBy(F.desc("score"), F.desc("lexical_score"), F.desc("date"), "ordinal", "chunk_index").limit(rules.RERANK_WIDTH).collect()]
     if not shown:
         return Answer(question, error=error)
     wanted = set(provider.rerank(question, shown, max(1, min(top_k, rules.MAX_TOP_K))))

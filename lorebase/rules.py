@@ -12,7 +12,9 @@ SPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-# The same without the plain blank.
+# Characters that are no white space, for a quick look-ahead in front of the long classes.
+PRINTABLE = r"[!-~\x{A1}-\x{167F}\x{3001}-\x{10FFFF}]"
+# The same as SPACE without the plain blank.
 WIDE_SPACE = r"[\t-\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NON_SPACE = r"[^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -36,12 +38,11 @@ POLLED_CHAT_REDACTION = PUSH_CHAT_REDACTION + (
     (r"(?i)(app[_ -]?secret[\"'=:\\s]+)[A-Za-z0-9_-]{8,}", "$1<redacted>"),
     (r"(?i)(encrypt[_ -]?key[\"'=:\\s]+)[A-Za-z0-9_-]{8,}", "$1<redacted>"),
 )
-# A text that has none of these in lower case cannot match any rule above, so no pattern is run on it.
-REDACTION_CLUES = (
-    ":", "sk-", "dashscope-", "password", "passwd", "apikey", "api_key", "api-key", "api key", "secret", "token",
-    "cli_", "encryptkey", "encrypt_key", "encrypt-key", "encrypt key",
-    "密码", "口令", "密钥", "令牌", "验证码", "校验码",
-)
+# A lower-case text without any of these cannot match a rule above, so no pattern is run on it.
+REDACTION_CLUES = ("sk-", "dashscope-", "passw", "secret", "token", "cli_")
+REDACTION_CLUE_PAIRS = (("api", "key"), ("encrypt", "key"))
+REDACTION_CJK_CLUES = ("密码", "口令", "密钥", "令牌", "验证码", "校验码")
+REDACTION_NUMBER_CLUE = r"[0-9]{6}:|bot[0-9]+:"
 
 # --- publish gate ------------------------------------------------------------------------------------------
 PUBLISH_SECRET_PATTERNS = (

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import html as H
 from lorebase.functions.text import compact, redact, sha256
+from lorebase.session import spread_small
+
+
+TEXT_TABLES = ("documents", "pages")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread_small(df) if name in TEXT_TABLES else df
 
 
 def document_sources(documents: DataFrame) -> DataFrame:
