@@ -25,10 +25,12 @@ def chunk_sources(sources: DataFrame) -> DataFrame:
 
     Chunks with fewer than 30 characters after white-space collapse are left out but keep their number.
     """
-    pieces = paragraph_chunks(F.col("text"))
-    # a cut can lay bare a secret, so pieces are redacted again; a text without any clue has no such piece
-    cleaned = F.transform(pieces, lambda piece: T.apply_rules(piece, rules.INDEX_REDACTION))
-    pieces = F.when(T.suspicious(F.col("text")), cleaned).otherwise(pieces)
+    def clean(pieces: F.Column) -> F.Column:
+        # a cut can lay bare a secret, so pieces are redacted again; a text without any clue has no such piece
+        cleaned = F.transform(pieces, lambda piece: T.apply_rules(piece, rules.INDEX_REDACTION))
+        return F.when(T.suspicious(F.col("text")), cleaned).otherwise(pieces)
+
+    pieces = T.bind(paragraph_chunks(F.col("text")), clean)
     exploded = sources.select(
         "ordinal", "source_id", "source_type", "section", "title", "path", "date", "author",
         T.sha256(F.col("text")).alias("source_hash"),

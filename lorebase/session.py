@@ -34,12 +34,16 @@ def build_session(app: str = "lorebase", master: str | None = None, shuffle_part
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: what the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, a laptop) a fresh folder is made and set.
+    Where that is unset a local session (tests, a laptop) gets a folder of its own; a cluster has to name one, as a
+    folder on one machine would be lost to the others.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="lorebase-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lorebase-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
