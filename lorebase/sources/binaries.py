@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import email
-import email.policy
 import io
 import zipfile
+from email import message_from_bytes
+from email.policy import default as modern_policy
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -66,7 +66,7 @@ def mail_parts(content: pd.Series) -> pd.DataFrame:
     def one(data: bytes | None) -> tuple:
         if data is None:
             return (None,) * 8
-        message = email.message_from_bytes(data, policy=email.policy.default)
+        message = message_from_bytes(data, policy=modern_policy)
         bodies: dict[str, list[str]] = {"text/plain": [], "text/html": []}
         for part in message.walk():
             kind = part.get_content_type()
@@ -88,7 +88,7 @@ def mail_parts(content: pd.Series) -> pd.DataFrame:
 def _web_archive_parts(content: pd.Series) -> pd.Series:
     """Kind and text of the text parts of a web archive."""
     def one(data: bytes | None) -> list[dict]:
-        parts = email.message_from_bytes(data).walk() if data is not None else []
+        parts = message_from_bytes(data).walk() if data is not None else []
         return [
             {"kind": part.get_content_type(), "text": (part.get_payload(decode=True) or b"").decode(
                 part.get_content_charset() or "utf-8", errors="replace")}
