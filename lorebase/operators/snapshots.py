@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, StringType
 from lorebase import rules
 from lorebase.functions.text import compact
 from lorebase.operators.grouping import last_per_key
+from lorebase.session import persist_table
 
 
 def page_key() -> F.Column:
@@ -153,7 +154,8 @@ def upsert_pages(existing: DataFrame, new: DataFrame) -> DataFrame:
         first = existing.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min("ordinal").alias("_old"))
         return new.select(F.col("ordinal").alias("_new"), column).join(first, column).select("_new", "_old")
 
-    matches = hits("html").unionByName(hits("source_sha256")).groupBy("_new").agg(F.min("_old").alias("_old"))
+    both = hits("html").unionByName(hits("source_sha256")).groupBy("_new").agg(F.min("_old").alias("_old"))
+    matches = persist_table(both, "matches")  # pairs of ordinals, read four times below
     # two new pages may hit the same existing one: the later of them stays
     winners = matches.groupBy("_old").agg(F.max("_new").alias("_new"))
     placed = new.withColumn("_new", F.col("ordinal")).join(winners, "_new").withColumn("ordinal", F.col("_old"))

@@ -11,11 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorebase import rules
+from lorebase.operators.grouping import with_last_known
+from lorebase.sources.files import or_empty
 
 POLL_SECONDS = 5
 
 
-def file_feed(spark: SparkSession, folder: str, name: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
+def file_feed(spark: SparkSession, folder: str, name: str, schema: str, files_per_batch: int = 64) -> DataFrame:
     """Landed parquet files as a stream (push feeds land their events as files)."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(folder)
@@ -34,26 +36,30 @@ def day_counts(feed: DataFrame, time: str, delay: str, *keys: str) -> DataFrame:
     )
 
 
-_MODE_OUT = "chat_id BIGINT, event_id BIGINT, mode STRING"
-
-
-def _follow_mode(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    mode = state.get[0] if state.exists else "ask"
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    switched = rows["command"].map({"record_on": "record", "record_off": "ask"})
-    modes = switched.ffill().fillna(mode)
-    state.update((modes.iloc[-1],))
-    yield pd.DataFrame({"chat_id": key[0], "event_id": rows["event_id"], "mode": modes})
+def follow_modes(commands: DataFrame, folder: str, block_minutes: int = 1) -> StreamingQuery:
+    """Mode of every message, kept per chat across batches; writes ``folder/modes`` and ``folder/state``.
 
+    ``commands``: chat_id, event_id, ts, command. Each batch runs the batch operator, which splits chats of any size
+    into time blocks, and fills what the batch leaves open from the state table. Batch n reads state n - 1 and
+    overwrites its own output, so a repeated batch changes nothing.
+    """
+    spark = commands.sparkSession
 
-def modes(commands: DataFrame) -> DataFrame:
-    """Mode of every message, kept per chat across batches. ``commands``: chat_id, event_id, ts, command.
+    def handle(batch: DataFrame, number: int) -> None:
+        block = F.floor(F.unix_timestamp("ts") / (60 * block_minutes))
+        switch = F.when(F.col("command") == "record_on", "record").when(F.col("command") == "record_off", "ask")
+        known = with_last_known(batch, ["chat_id"], ["ts", "event_id"], block, switch, "mode").select("chat_id", "event_id", "ts", "mode")
+        before = or_empty(spark, "chat_id BIGINT, mode STRING", lambda: spark.read.parquet(f"{folder}/state/{number - 1}"))
+        carried = known.join(before.withColumnRenamed("mode", "carried"), "chat_id", "left")
+        modes = carried.select("chat_id", "event_id", F.coalesce("mode", "carried", F.lit("ask")).alias("mode"))
+        modes.write.mode("overwrite").parquet(f"{folder}/modes/batch={number}")
+        at = F.struct("ts", "event_id")
+        latest = known.groupBy("chat_id").agg(F.max_by("mode", F.when(F.col("mode").isNotNull(), at)).alias("latest"))
+        after = before.join(latest, "chat_id", "full_outer").select("chat_id", F.coalesce("latest", "mode").alias("mode"))
+        after.filter(F.col("mode").isNotNull()).write.mode("overwrite").parquet(f"{folder}/state/{number}")
 
-    The rows of one chat within one batch are handled together: bound a batch with ``maxFilesPerTrigger``.
-    """
-    return commands.groupBy("chat_id").applyInPandasWithState(
-        _follow_mode, _MODE_OUT, "mode STRING", "append", GroupStateTimeout.NoTimeout
-    )
+    writer = commands.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint")
+    return writer.trigger(availableNow=True).start()
 
 
 _KEPT = rules.CONTEXT_KEPT
@@ -76,7 +82,11 @@ _TURNS, _AGE = rules.CONTEXT_TURNS, rules.CONTEXT_AGE_SECONDS
 
 
 def contexts(turns: DataFrame) -> DataFrame:
-    """How many earlier turns each turn may refer to. ``turns``: chat_id, event_id, ts, seconds."""
+    """How many earlier turns each turn may refer to. ``turns``: chat_id, event_id, ts, seconds.
+
+    State per chat are ten times. The rows of one chat within one batch are handled together, so the batch size of the
+    feed bounds what one task holds.
+    """
     return turns.groupBy("chat_id").applyInPandasWithState(
         _remember, _TURN_OUT, "times ARRAY<BIGINT>", "append", GroupStateTimeout.NoTimeout
     )

@@ -233,3 +233,24 @@ def test_message_text(spark):
     assert got == ["hi there", 'T\none\ntwo "q"', "f.pdf", "N\nU"]
     items = [r[0] for r in df.select(I.file_items(F.col("c"), F.col("t"), F.lit("m1"))).collect()]
     assert [len(i) for i in items] == [0, 0, 1, 0] and items[2][0]["file_name"] == "f.pdf"
+
+
+def test_sessions(spark):
+    rng = random.Random(2)
+    minute = 60 * 1_000_000
+    rows, at = [], 0
+    for _ in range(400):
+        at += rng.choice([1, 5, 29 * 60, 30 * 60, 31 * 60, 7200]) * 1_000_000
+        rows.append((1, at))
+    want, start, last, count = [], None, None, 0
+    for _, t in rows:
+        if last is not None and t - last < 30 * minute:
+            last, count = t, count + 1
+            continue
+        if last is not None:
+            want.append((start, last + 30 * minute, count))
+        start, last, count = t, t, 1
+    want.append((start, last + 30 * minute, count))
+    df = spark.createDataFrame(rows, "c INT, at BIGINT")
+    got = messages.sessions(df, "c", F.col("at")).collect()
+    assert sorted((r["started"], r["ended"], r["messages"]) for r in got) == want
