@@ -259,3 +259,30 @@ def mail_addresses(spark, folder):
     return table(spark, folder, "supplier").select(
         "s_suppkey", V.first_address(angled).alias("angled"), V.first_address(address).alias("bare")
     )
+
+
+@query("compact_records", """
+    SELECT 'lark-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS id, conv_id, role AS person, text FROM conversations""")
+def compact_records(spark, folder):
+    records = digest.numbered_records(
+        table(spark, folder, "conversations"), "lark", ["conv_id"], ["turn"], F.floor(F.col("turn") / 64)
+    ).select("id", F.col("conv_id").alias("time"), F.col("role").alias("person"), F.lit("chat").alias("kind"), "text")
+    return digest.compact_records(records).select("id", F.col("time").alias("conv_id"), "person", "text")
+
+
+@query("attachment_paths", """
+    SELECT user_id, 'files/' || json_extract_string(props, '$.k') AS path, min(event_id) AS first FROM events
+    WHERE event_type <> 'view' GROUP BY 1, 2""")
+def attachment_paths(spark, folder):
+    path = F.when(F.col("event_type") != "view", F.concat(F.lit("files/"), F.get_json_object("props", "$.k")))
+    events = table(spark, folder, "events").withColumn("ordinal", F.col("event_id"))
+    return digest.attachment_paths(events, path, ["user_id"])
+
+
+@query("largest_variant", """
+    SELECT user_id, max_by(event_id, value * 1000000 + event_id) AS file_id, max(value) AS file_size FROM events GROUP BY 1""")
+def largest_variant(spark, folder):
+    """value is a size; equal sizes go to the later one."""
+    sized = table(spark, folder, "events").select("user_id", F.col("event_id").alias("file_id"), (F.col("value") * 1000000 + F.col("event_id")).alias("file_size"))
+    best = digest.largest_variant(sized, ["user_id"])
+    return best.select("user_id", "file_id", F.round((F.col("file_size") - F.col("file_id")) / 1000000, 2).alias("file_size"))

@@ -171,6 +171,11 @@ def quoted_list(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
+def json_object_text(reply: Column) -> Column:
+    """The JSON object inside a model reply: code fences and chatter around it are dropped; '' without one."""
+    return F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+
+
 # --- names ---------------------------------------------------------------------------------------------------
 def _or_fallback(text: Column, fallback: Column | str) -> Column:
     return F.when(text == "", fallback if isinstance(fallback, Column) else F.lit(fallback)).otherwise(text)

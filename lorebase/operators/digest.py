@@ -108,6 +108,31 @@ def numbered_records(records: DataFrame, channel: str, keys: Sequence[str], orde
     return numbered.withColumn("id", F.concat(F.lit(channel + "-"), F.col("_n"))).drop("_n")
 
 
+def compact_records(records: DataFrame, limit: int | None = None) -> DataFrame:
+    """What a classifier is shown of each record; ``limit`` cuts the text to what its service takes."""
+    text = F.coalesce("text", F.lit(""))
+    return records.select("id", "time", "person", "kind", (F.substring(text, 1, limit) if limit else text).alias("text"))
+
+
+def attachment_paths(records: DataFrame, path: Column, keys: Sequence[str]) -> DataFrame:
+    """Distinct attachment paths per key with their first place; blank paths are left out."""
+    named = records.withColumn("path", path).filter(F.coalesce("path", F.lit("")) != "")
+    return named.groupBy(*keys, "path").agg(F.min("ordinal").alias("first"))
+
+
+def largest_variant(files: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of several sizes of one picture, the largest."""
+    return files.groupBy(*keys).agg(F.max_by("file_id", "file_size").alias("file_id"), F.max("file_size").alias("file_size"))
+
+
+def handoff_problems() -> Column:
+    """Fields of a hand-off payload that break its rules; expects the hand-off columns."""
+    def blank(name: str) -> Column:
+        return F.when(F.trim(F.coalesce(F.col(name), F.lit(""))) == "", F.lit(name))
+
+    return F.array_compact(F.array(blank("session_id"), blank("actor"), blank("objective")))
+
+
 def entry_violations(entries: DataFrame, require_confidence: bool = False) -> DataFrame:
     """Adds ``violations``: the constraints of the entry schema a row breaks."""
     def bad(name: str, condition: Column) -> Column:

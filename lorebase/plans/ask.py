@@ -70,6 +70,18 @@ def render(answer: Answer) -> str:
     return "\n".join(lines + ([answer.error] if answer.error else [])).rstrip() + "\n"
 
 
+def short_reply(evidence: list[dict[str, Any]], words: tuple[str, ...] = rules.REPLY_PRIORITY_WORDS, limit: int = 4) -> str:
+    """Up to four bullets of the best page hit without a model: the first events, then items with a priority word, then
+    the rest. ``evidence`` are at most a handful of ranked pages."""
+    if not evidence:
+        return rules.UNKNOWN_ANSWER
+    happened, decided, facts = (evidence[0].get(k) or [] for k in ("what_happened", "decisions_or_conclusions", "important_facts"))
+    everything = [*happened, *decided, *facts]
+    urgent = [item for item in everything if any(word in item for word in words)]
+    ordered = dict.fromkeys(text for item in [*happened[:2], *urgent, *everything] if (text := item.strip()))
+    return "\n".join(f"- {item}" for item in list(ordered)[:limit]) or evidence[0].get("summary", "") or rules.UNKNOWN_ANSWER
+
+
 def follow_up_question(previous: str, message: str) -> str:
     """Stand-alone question of a follow-up when no model rewrites it."""
     return f"{previous} {message}".strip()

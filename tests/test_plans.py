@@ -127,3 +127,24 @@ def test_streams_keep_state_across_batches(spark, landed):
 
 def test_small_inputs_are_spread(spark):
     assert spread_small(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lorebase.__main__ import main
+
+    sources(spark, TEXTS).write.parquet(str(tmp_path / "sources"))
+    main(["build-index", "--sources", str(tmp_path / "sources"), "--index", str(tmp_path / "idx"), "--version", "v1"])
+    main(["ask", "--index", str(tmp_path / "idx" / "v1"), "What finesse does the cavity have?"])
+    assert "Note 0" in capsys.readouterr().out
+    write(tmp_path / "e" / "one.md", "---\nid: one\ntitle: Laser\n---\nlaser body")
+    main(["search-memory", "--entries", str(tmp_path / "e"), "laser"])
+    assert "laser body" in capsys.readouterr().out
+    write(tmp_path / "in" / "a.txt", "some text")
+    main(["ingest", str(tmp_path / "in"), "--day", "2026-06-11", "--out", str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).collect()[0]["entry_id"] == "2026-06-11-a"
+
+
+def test_short_reply():
+    item = {"what_happened": ["a", "b", "c"], "decisions_or_conclusions": ["结论 d"], "important_facts": ["e", "a"]}
+    assert ask.short_reply([item]) == "- a\n- b\n- 结论 d\n- c"
+    assert ask.short_reply([]) == rules.UNKNOWN_ANSWER
