@@ -26,7 +26,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     repeats = int(os.environ.get("BENCH_REPEATS", "2"))
-    spark = build_session("bench", f"local[{cpus}]", int(cpus))
+    spark = build_session("bench", f"local[{cpus}]", int(cpus), os.environ.get("BENCH_MEMORY", "8g"))
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in sys.argv[1:] or HEADLINE:

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "lorebase", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "lorebase", master: str | None = None, shuffle_partitions: int | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
     """A session with the settings the operators count on.
 
     On a cluster ``master`` and ``shuffle_partitions`` stay unset: the submitter picks the master, and AQE
@@ -26,6 +27,8 @@ def build_session(app: str = "lorebase", master: str | None = None, shuffle_part
     )
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
