@@ -9,6 +9,7 @@ from lorebase.catalogue.registry import any_of, query, redact
 from lorebase.functions import text as T
 from lorebase.functions import values as V
 from lorebase.operators import digest, messages
+from lorebase.operators.grouping import ROWS_PER_BLOCK, TEXTS_PER_BLOCK
 from lorebase.sources.adapters import table
 
 NOW = "2024-01-30 12:00:00"
@@ -26,7 +27,7 @@ def _day():
 def char_budget(spark, folder):
     records = table(spark, folder, "conversations")
     header = F.concat(F.lit("["), F.col("role"), F.lit("] "))
-    block = F.floor(F.col("turn") / 64)
+    block = F.floor(F.col("turn") / TEXTS_PER_BLOCK)
     chat = digest.within_budget(records, ["conv_id"], ["turn"], block, header, F.col("text"), 2000)
     left = (F.lit(2000) - F.col("prefix")).cast("int")
     return chat.select(
@@ -48,7 +49,7 @@ _FILE_CUT = "substr(text, 1, 3000) || chr(10) || chr(10) || '[TRUNCATED after 30
 def doc_budget(spark, folder):
     docs = table(spark, folder, "documents")
     fitted = digest.doc_budget(
-        docs, ["source"], ["doc_id"], F.floor(F.col("doc_id") / 1024), F.col("text"), F.col("lang") == "de", per_file=3000, total=30000
+        docs, ["source"], ["doc_id"], F.floor(F.col("doc_id") / TEXTS_PER_BLOCK), F.col("text"), F.col("lang") == "de", per_file=3000, total=30000
     )
     return fitted.select("doc_id", "prefix", "included")
 
@@ -126,7 +127,7 @@ def late_reorder(spark, folder):
     """Rows older than something that arrived before them; the event time lags the arrival by k minutes."""
     created = V.micros(F.col("ts")) - F.get_json_object("props", "$.k").cast("bigint") * 60000000
     arrived = table(spark, folder, "events").select("event_id", created.alias("created"))
-    late = messages.late_rows(arrived, "event_id", "created", F.floor(F.col("event_id") / 1024))
+    late = messages.late_rows(arrived, "event_id", "created", F.floor(F.col("event_id") / ROWS_PER_BLOCK))
     return late.select("event_id", "created", (F.col("latest_before") - F.col("created")).alias("late_by"))
 
 
@@ -149,7 +150,7 @@ def day_people(spark, folder):
     SELECT event_id, 'lark-' || row_number() OVER (PARTITION BY ts::DATE ORDER BY event_id) AS id FROM events""")
 def record_ids(spark, folder):
     records = table(spark, folder, "events").withColumn("day", F.to_date("ts"))
-    return digest.numbered_records(records, "lark", ["day"], ["event_id"], F.floor(F.col("event_id") / 256)).select("event_id", "id")
+    return digest.numbered_records(records, "lark", ["day"], ["event_id"], F.floor(F.col("event_id") / ROWS_PER_BLOCK)).select("event_id", "id")
 
 
 _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -265,7 +266,7 @@ def mail_addresses(spark, folder):
     SELECT 'lark-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS id, conv_id, role AS person, text FROM conversations""")
 def compact_records(spark, folder):
     records = digest.numbered_records(
-        table(spark, folder, "conversations"), "lark", ["conv_id"], ["turn"], F.floor(F.col("turn") / 64)
+        table(spark, folder, "conversations"), "lark", ["conv_id"], ["turn"], F.floor(F.col("turn") / TEXTS_PER_BLOCK)
     ).select("id", F.col("conv_id").alias("time"), F.col("role").alias("person"), F.lit("chat").alias("kind"), "text")
     return digest.compact_records(records).select("id", F.col("time").alias("conv_id"), "person", "text")
 

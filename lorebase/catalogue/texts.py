@@ -253,7 +253,7 @@ def slug_names(spark, folder):
     SELECT doc_id, CASE WHEN n = 1 THEN name ELSE name || '-' || n END AS unique_name FROM counted""")
 def unique_names(spark, folder):
     names = table(spark, folder, "documents").select("doc_id", F.concat_ws("-", "lang", "source").alias("name"))
-    counted = grouping.numbered_within(names, ["name"], ["doc_id"], F.floor(F.col("doc_id") / 1024), "n")
+    counted = grouping.numbered_within(names, ["name"], ["doc_id"], F.floor(F.col("doc_id") / grouping.ROWS_PER_BLOCK), "n")
     return counted.select(
         "doc_id", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat_ws("-", "name", "n")).alias("unique_name")
     )

@@ -2,7 +2,8 @@
 
 A window over a hot key would put all its rows into one task. Every operator here works on (key, block) pairs
 instead: a block is a run of the order column, blocks are summed up on their own, and only one small row per
-block goes through the window that spans the whole key.
+block goes through the window that spans the whole key. A block should hold some ten thousand to some hundred thousand
+rows of the hottest key: fewer make the outer window long, more make one task slow.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+ROWS_PER_BLOCK = 1 << 18
+TEXTS_PER_BLOCK = 1 << 16
+
 
 def _edge_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
     row = F.struct(*[F.col(c) for c in df.columns if c not in keys])

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from lorebase import rules
 from lorebase.functions import text as T
 from lorebase.functions.chunking import export_chunks, paragraph_chunks
-from lorebase.operators.grouping import numbered_within
-
-FILES_PER_BLOCK = 4096
+from lorebase.operators.grouping import TEXTS_PER_BLOCK, numbered_within
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -115,11 +113,11 @@ def content_copies(sources: DataFrame) -> DataFrame:
     )
 
 
-def export_entries(files: DataFrame, day: str) -> DataFrame:
+def export_entries(files: DataFrame, day: str, ordinals_per_block: int = TEXTS_PER_BLOCK) -> DataFrame:
     """Draft entries of imported files: one per 5000-character piece, with front matter and body.
 
     ``files``: ordinal, name, archived (path of the archived copy), source_hash, text. Two pieces that would get the same
-    entry id are told apart by a running suffix.
+    entry id are told apart by a running suffix. ``ordinals_per_block`` is wider for ordinals that are not dense.
     """
     pieces = files.withColumn("pieces", export_chunks(F.col("text"))).select(
         "ordinal", "name", "archived", "source_hash", F.size("pieces").alias("chunk_total"),
@@ -137,7 +135,7 @@ def export_entries(files: DataFrame, day: str) -> DataFrame:
         "ordinal", "name", "archived", "source_hash", "chunk_total", number.alias("chunk_index"), title.alias("title"), "chunk",
         F.substring(T.compact(F.col("chunk")), 1, 180).alias("preview"),
     )
-    block = F.floor(F.col("ordinal") / FILES_PER_BLOCK)
+    block = F.floor(F.col("ordinal") / ordinals_per_block)
     unique = numbered_within(drafts, ["wanted_id"], ["ordinal", "chunk_index"], block, "clash").withColumn(
         "entry_id",
         F.when(F.col("clash") == 1, F.col("wanted_id")).otherwise(F.concat("wanted_id", F.lit("-"), F.col("clash"))),

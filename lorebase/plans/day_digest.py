@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorebase import rules
 from lorebase.operators import digest, noise, snapshots, topics
+from lorebase.operators.grouping import TEXTS_PER_BLOCK
 from lorebase.session import persist_table
 
 
@@ -29,7 +30,7 @@ def day_digest(records: DataFrame, pages: DataFrame, sections: DataFrame, channe
     kinds = rules.DIGEST_KINDS.get(channel)
     wanted = records.filter(F.col("kind").isin(*kinds)) if kinds else records
     numbered = digest.numbered_records(
-        wanted.withColumn("_day", F.lit(day)), channel, ["_day"], ["ordinal"], F.floor(F.col("ordinal") / 4096)
+        wanted.withColumn("_day", F.lit(day)), channel, ["_day"], ["ordinal"], F.floor(F.col("ordinal") / TEXTS_PER_BLOCK)
     ).drop("_day").withColumnRenamed("id", "record_id")
     gated = persist_table(noise.gate_records(numbered, decisions, "record_id"), "gated")
     kept = gated.filter("kept")

@@ -10,6 +10,8 @@ from lorebase.functions.text import base_name
 from lorebase.operators import indexing
 from lorebase.sources.binaries import export_files, read_binaries
 
+HASHES_PER_BLOCK = 1 << 43  # ordinals are 63-bit hashes here: a million blocks
+
 
 def ingest_exports(spark: SparkSession, glob: str, day: str) -> tuple[DataFrame, DataFrame]:
     """(entries, failures) of the files under a glob. A file without text is a failure with its reason, not an error
@@ -24,4 +26,4 @@ def ingest_exports(spark: SparkSession, glob: str, day: str) -> tuple[DataFrame,
     )
     reason = F.when(F.col("kind") == "unsupported", "unsupported file type").when(
         F.col("kind") == "pdf", "PDF extraction needs a PDF reader").otherwise("no text extracted")
-    return indexing.export_entries(readable, day), files.filter(~ready).select("path", reason.alias("reason"))
+    return indexing.export_entries(readable, day, HASHES_PER_BLOCK), files.filter(~ready).select("path", reason.alias("reason"))
