@@ -1,6 +1,7 @@
 """Whole jobs and streams over several batches."""
 
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,8 +117,9 @@ def test_streams_keep_state_across_batches(spark, landed):
     folder = shared_folder(spark)
     once = feeds.replay(feeds.live_messages(stream, "message_id", "ts", "1 day").select("message_id"), folder, "t-dedupe")
     assert sorted(r[0] for r in once.collect()) == sorted({f"m{n}" for n in range(40)})
-    feeds.follow_modes(stream.select("chat_id", "event_id", "ts", "command"), f"{folder}/t-modes").awaitTermination()
-    streamed = spark.read.parquet(f"{folder}/t-modes/modes")
+    table = f"{folder}/t-modes-{uuid.uuid4().hex}"  # a kept folder would resume an earlier run
+    feeds.follow_modes(stream.select("chat_id", "event_id", "ts", "command"), table).awaitTermination()
+    streamed = spark.read.parquet(f"{table}/modes")
     assert streamed.select("batch").distinct().count() > 1
     static = messages.modes(batch, "chat_id", ["ts", "event_id"], F.floor(F.col("event_id") / 16), F.col("command"))
     assert {(r["event_id"], r["mode"]) for r in streamed.collect()} == {(r["event_id"], r["mode"]) for r in static.collect()}
