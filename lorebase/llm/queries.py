@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import packing, repair, shard
+from lorebase.llm import langid, packing, quality, repair, secrets, shard
 from lorebase.llm.common import table
 from lorebase.llm.registry import query
 from lorebase.llm.tokens import vocabulary
-from lorebase.session import shared_folder
+from lorebase.session import persist_table, shared_folder
 
 
 @query("op1_interleaved_shards")
@@ -32,3 +32,34 @@ def op7_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     repair.write_shards(repair.encode_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 50_257), path)
     shards = repair.read_shards(spark, path)
     return repair.document_starts(shards, repair.decode_shards(shards, keep_ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def _remainder(n: int):
+    """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query("op5_string_kernel_language")
+def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(_remainder(4) != 2))
+    return langid.predict(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_quadratic_discriminant")
+def op9_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statistics = persist_table(quality.with_statistics(table(spark, sf_dir, "documents")), "statistics")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(_remainder(3) != 1)
+    score = quality.score_statistics(quality.fit(statistics, labels))
+    return statistics.select("doc_id", (_remainder(3) == 1).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op8_ownership_frequency")
+def op8_ownership_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] != "token")
+    of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return spans.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+                        secrets.listed(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda x: x["verdict"] == "live")).cast("long").alias("n_live"),
+                        F.size(F.filter("spans", lambda x: x["verdict"] == "example")).cast("long").alias("n_example"))
