@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import langid, packing, quality, repair, secrets, shard
+from lorebase.llm import cws, langid, packing, quality, repair, secrets, shard
 from lorebase.llm.common import table
 from lorebase.llm.registry import query
 from lorebase.llm.tokens import vocabulary
@@ -63,3 +63,22 @@ def op8_ownership_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"),
                         secrets.listed(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda x: x["verdict"] == "live")).cast("long").alias("n_live"),
                         F.size(F.filter("spans", lambda x: x["verdict"] == "example")).cast("long").alias("n_example"))
+
+
+@query("op4_weighted_sampling")
+def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    places = persist_table(cws.neighbours(docs), "places")
+    texts = cws.with_edited(docs, places)
+    versions = F.explode(F.array(F.struct(F.lit(0).alias("version"), "text"), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text"))))
+    prints = cws.fingerprints(texts.select("k", "r", versions.alias("v")).select("k", "r", "v.version", "v.text"), ["k", "r", "version"])
+    own = prints.groupBy("k", "r").agg(F.max(F.when(F.col("version") == 0, F.col("samples"))).alias("own"), F.max(F.when(F.col("version") == 1, F.col("samples"))).alias("edit"))
+    digests = texts.select("k", F.col("r").alias("_r"), F.sha2("edited", 256).alias("edited_sha256"))
+    found = persist_table(own.join(digests, "k").where(F.col("r") == F.col("_r")).select("r", "own", "edit", "edited_sha256"), "fingerprints")
+    following = found.select(F.col("r").alias("next"), F.col("own").alias("following"))
+    order = places.select("doc_id", "r", "n", "copies", F.col("last_r"))
+    order = order.join(order.select(F.col("last_r").alias("_r"), F.col("r").alias("next")), F.col("r") == F.col("_r"))
+    rows = found.join(order, "r").join(following, "next").withColumn("_copy", F.explode(F.expr("sequence(1, copies)")))
+    return rows.select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", cws.as_text(F.col("own")).alias("fingerprint"),
+                       cws.as_text(F.col("edit")).alias("edited_fingerprint"), cws.likeness(F.col("own"), F.col("edit")).alias("near_edited"),
+                       cws.likeness(F.col("own"), F.col("following")).alias("near_next"))
