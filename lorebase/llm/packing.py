@@ -13,6 +13,7 @@ gives no rows. Only ``doc_id`` and ``text`` are read, so further columns can't c
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int =
     tail = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes reference cycles, and the remembered words are many
         encoder, seen, part = WordEncoder(vocabulary, spaced), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for few in slices(batch):
@@ -114,7 +116,10 @@ def _exchange_shortest(filling: dict[int, int], gap: int, left: np.ndarray) -> N
 
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
-    """Adds ``sequence_id, offset`` to written ``pieces`` (see token_pieces); all other columns stay as they are."""
+    """Adds ``sequence_id, offset`` to written ``pieces`` (see token_pieces); all other columns stay as they are.
+
+    Rows are joined with a small table of ranks, so leave out ``ids`` where only places are wanted.
+    """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # size rows at most
     slots, used, sequence = [], dict.fromkeys(counts, 0), 0
     for filling, times in best_two_fit(counts, size):

@@ -22,8 +22,8 @@ def op1_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_best_two_fit")
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    pieces = persist_table(packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")), "pieces")
+    return packing.pack(pieces.drop("ids")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 @query("op7_repair_shards")

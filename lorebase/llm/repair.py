@@ -12,6 +12,7 @@ text; an empty table gives no rows. Only ``doc_id`` and ``text`` are read, so fu
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -98,6 +99,7 @@ def encode_shards(docs: DataFrame, vocabulary: str, first_rule: int, end: int =
     tail = np.array([end], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes reference cycles, and the remembered words are many
         encoder, part = WordEncoder(vocabulary, spaced), TaskContext.get().partitionId()
         shard = passed = held = 0
         ids: list[int | None] = []
