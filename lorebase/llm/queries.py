@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import cws, langid, packing, quality, repair, secrets, shard
+from lorebase.llm import cws, decontam, langid, packing, quality, repair, secrets, shard
 from lorebase.llm.common import table
 from lorebase.llm.registry import query
 from lorebase.llm.tokens import vocabulary
@@ -82,3 +82,8 @@ def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", cws.as_text(F.col("own")).alias("fingerprint"),
                        cws.as_text(F.col("edit")).alias("edited_fingerprint"), cws.likeness(F.col("own"), F.col("edit")).alias("near_edited"),
                        cws.likeness(F.col("own"), F.col("following")).alias("near_next"))
+
+
+@query("op10_simhash_windows")
+def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
