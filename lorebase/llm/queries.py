@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import cws, decontam, langid, packing, quality, repair, secrets, shard
+from lorebase.llm import cws, decontam, langid, packing, partenum, quality, repair, secrets, shard
 from lorebase.llm.common import table
 from lorebase.llm.registry import query
 from lorebase.llm.tokens import vocabulary
@@ -87,3 +87,8 @@ def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_windows")
 def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_partenum_join")
+def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(table(spark, sf_dir, "documents"))
