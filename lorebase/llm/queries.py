@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import cws, decontam, langid, packing, partenum, quality, repair, secrets, shard
+from lorebase.llm import cws, decontam, langid, packing, partenum, quality, quotes, repair, secrets, shard
 from lorebase.llm.common import table
 from lorebase.llm.registry import query
 from lorebase.llm.tokens import vocabulary
@@ -92,3 +92,9 @@ def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_partenum_join")
 def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quotation_links")
+def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has turns without quotes, so they are first written as the mails in which people would have exchanged them."""
+    return quotes.conversations(quotes.as_reply_mails(table(spark, sf_dir, "conversations"))).withColumnRenamed("thread", "conv_id").withColumnRenamed("own", "text")
