@@ -3,15 +3,17 @@
 The distinct shingles of a text are 64-bit hashes; equal sets are one node. Two sets link when their Jaccard similarity
 reaches 75 %, which bounds their sizes to a ratio and their Hamming distance (shingles in one alone) to k. Sizes fall into
 bands that grow by that ratio, so linked sets lie in one band or in neighbouring ones, and a set takes part for its own
-band and for the one below. For a band the hash domain is cut into somewhat more than k + 1 partitions. At most k of these
-differ between linked sets, so one is equal: a signature is the hash of the shingles in one partition. An empty partition
-would match everything and has none. If all partitions that hold shingles may differ (there are no more than k), the set
-takes part at a level of twice as many partitions as well, and so on; a linked pair that shares no signature at one level
-has both sets at the next, as each of their partitions differs and so there are at most k. Hence no link is lost.
-
-Signatures meet in cells, blobs of some hundred thousand each. Sets that share one are candidates: a first pass checks one
-candidate per set and joins what links into components; a second checks, in blocks of bounded size, all candidates of
-different components that a bitmap bound on the Hamming distance leaves. Checks compare whole sets.
+band and for the one below. For a band the hash domain is cut into more than k / 2 partitions, so in one of these linked sets
+differ by one shingle at most; each partition is cut into three, and the subsets of two of the three are enumerated: a
+signature is the hash of the shingles in such a subset, and one subset avoids the shingle that differs. An empty subset
+would match everything and has none. A pair that shares no signature differs at least twice in each partition that holds
+shingles in two of its three parts, and once in each that holds some in one. Where that may sum up to k, the set takes part
+at a level of twice as many partitions as well, and so on; such a pair has both sets at the next level. Hence no link is lost.
+
+Signatures meet in cells, blobs of some hundred thousand each. Sets that share one are candidates: a first pass checks the
+likeliest candidate of each set and joins what links into components; a second checks, in blocks of bounded size, all
+candidates of different components that upper bounds leave (by bitmaps, then by 16 bits of each shingle). What is left is
+compared by whole sets.
 
 Defined results: a null, empty or blank text has no shingles, links with nothing and is its own component; a text with fewer
 words than a shingle is one shingle; repeated rows and rows with a null id are members like others, and a component's id is
@@ -34,7 +36,7 @@ PERCENT, WIDTH = 75, 5
 CELL_ENTRIES = 500_000
 BLOCK = 1024
 HUB_ROWS = 2048
-SPARE = 1.08
+SPARE = 1.12
 _SKETCH = 8
 
 
@@ -106,19 +108,32 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) -
             sets, level = np.flatnonzero((size > 0) & (own - below >= 0)), 0
             while len(sets):
                 group = own[sets] - below
-                parts = np.ceil(SPARE * (k_of[group] + 1) * 2.0 ** level).astype(np.uint64)
-                parts[(k_of[group] == 0) & (level == 0)] = 1
+                k = k_of[group]
+                parts = np.where((k == 0) & (level == 0), 1, np.ceil(SPARE * (k + 1) * 2.0 ** (level - 1))).astype(np.uint64)
                 n = size[sets]
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[sets], n)
                 which = np.repeat(np.arange(len(sets)), n)
-                part = ((hashes[at] >> np.uint64(32)) * parts[which]) >> np.uint64(32)
+                own_hash, own_salted = hashes[at], salted[at]
+                part = ((own_hash >> np.uint64(32)) * parts[which]) >> np.uint64(32)
+                third = ((own_hash & np.uint64(0xFFFFFFFF)) * np.uint64(3)) >> np.uint64(32)
                 opens = np.flatnonzero((np.diff(part, prepend=part[:1] + np.uint64(1)) != 0) | (np.diff(which, prepend=-1) != 0))
-                total = np.add.reduceat(salted[at], opens)
-                tag = mix((group[which[opens]].astype(np.uint64) << np.uint64(40)) + (np.uint64(level) << np.uint64(33)) + part[opens] + np.uint64(1))
-                found.append(mix(total + tag))
-                owners.append(sets[which[opens]])
-                held = np.bincount(which[opens], minlength=len(sets))
-                sets, level = sets[held <= k_of[group]], level + 1
+                holder = which[opens]
+                tag = mix((group[holder].astype(np.uint64) << np.uint64(40)) + (np.uint64(level) << np.uint64(33)) + part[opens] * np.uint64(4))
+                total = np.add.reduceat(own_salted, opens)
+                amount = np.diff(np.append(opens, len(at)))
+                filled = np.zeros(len(opens), np.int64)
+                for j in range(3):
+                    mine = third == np.uint64(j)
+                    gone, less = np.add.reduceat(np.where(mine, own_salted, np.uint64(0)), opens), np.add.reduceat(mine.astype(np.int64), opens)
+                    filled += less > 0
+                    held = np.flatnonzero((amount > less) & ((k[holder] > 0) | (level > 0)))
+                    found.append(mix(total[held] - gone[held] + tag[held] + np.uint64(j + 1)))
+                    owners.append(sets[holder[held]])
+                plain = np.flatnonzero((k[holder] == 0) & (level == 0))
+                found.append(mix(total[plain] + tag[plain]))
+                owners.append(sets[holder[plain]])
+                safe = np.bincount(holder, np.minimum(filled, 2), minlength=len(sets))
+                sets, level = sets[safe <= k], level + 1
     return np.concatenate(found), np.concatenate(owners)
 
 
@@ -189,15 +204,19 @@ def _shared(cell: pa.Table) -> pa.Table:
     return pa.table({"list": pa.array([n for n, _ in out], pa.int64()), "nodes": pa.array([v for _, v in out], pa.list_(pa.int64()))})
 
 
+def _apart(a: str, b: str) -> Column:
+    """A lower bound of the Hamming distance of two nodes, by their bitmaps."""
+    return sum((F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(_SKETCH)), F.lit(0))
+
+
 def _near(a: str, b: str, percent: int) -> Column:
     """Whether sizes and bitmaps of two nodes leave their similarity open."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    apart = sum((F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(_SKETCH)), F.lit(0))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_apart(a, b) * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node, shingles`` for at least the wanted nodes, some more than once."""
+    """``node, shingles, brief`` of the wanted nodes, some more than once; ``brief`` has 16 bits of each shingle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
         for batch in batches:
@@ -210,35 +229,48 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 for i, node in enumerate(keys.tolist()):
                     if node and node not in passed:
                         passed.add(node)
-                        rows.append((node, hashes[bounds[i]:bounds[i + 1]].tobytes()))
+                        own = hashes[bounds[i]:bounds[i + 1]]
+                        rows.append((node, own.tobytes(), (own & np.uint64(0xFFFF)).astype("<u2").tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                                                     names=["node", "shingles", "brief"])
+
+    return docs.select("text").mapInArrow(run, "node long, shingles binary, brief binary").join(wanted, "node", "left_semi")
 
-    return docs.select("text").mapInArrow(run, "node long, shingles binary").join(wanted, "node", "left_semi")
 
+def verify(edges: DataFrame, sets: DataFrame, percent: int = PERCENT, brief: bool = False) -> DataFrame:
+    """The candidates ``a, b`` that link; with ``brief``, those that 16 bits of each shingle don't rule out.
 
-def verify(edges: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The candidates ``a, b`` that link. Members b meet their hub a sorted, so a task streams them; large hubs are salted."""
+    Members b meet their hub a sorted, so a task streams them; large hubs are salted.
+    """
+    own_sets = sets.select("node", F.col("brief" if brief else "shingles").alias("own"))
     salts = edges.groupBy("a").agg((F.floor(F.count(F.lit(1)) / HUB_ROWS) + 1).alias("salts"))
     salted = edges.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    members = salted.join(sets, salted["b"] == sets["node"]).select("a", "salt", F.lit(1).alias("role"), "b", "shingles")
+    members = salted.join(own_sets, salted["b"] == own_sets["node"]).select("a", "salt", F.lit(1).alias("role"), "b", "own")
     hubs = salts.select("a", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"))
-    hubs = hubs.join(sets, hubs["a"] == sets["node"]).select("a", "salt", F.lit(0).alias("role"), F.lit(0).cast("long").alias("b"), "shingles")
+    hubs = hubs.join(own_sets, hubs["a"] == own_sets["node"]).select("a", "salt", F.lit(0).alias("role"), F.lit(0).cast("long").alias("b"), "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, shingles = None, np.zeros(0, np.uint64)
+        hub, whole = None, np.zeros(0, np.uint64)
+        marked = np.zeros(1 << 16, bool)
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                own = np.frombuffer(row["shingles"], "<u8")
-                if row["role"] == 0:
-                    hub, shingles = row["a"], own
-                elif row["a"] == hub:
-                    place = np.searchsorted(shingles, own)
-                    place[place == len(shingles)] = 0
-                    both = int((shingles[place] == own).sum())
-                    if 100 * both >= percent * (len(own) + len(shingles) - both):
-                        out.append((row["a"], row["b"]))
+            for a, role, b, data in zip(batch["a"].to_pylist(), batch["role"].to_pylist(), batch["b"].to_pylist(), batch["own"].to_pylist(), strict=True):
+                own = np.frombuffer(data, "<u2" if brief else "<u8")
+                if role == 0:
+                    if a != hub:
+                        marked[whole if brief else whole[:0].astype(np.intp)] = False
+                        hub, whole = a, own
+                        marked[own if brief else own[:0].astype(np.intp)] = True
+                elif a == hub:
+                    if brief:
+                        both = int(np.count_nonzero(marked[own]))
+                    else:
+                        place = np.searchsorted(whole, own)
+                        place[place == len(whole)] = 0
+                        both = int(np.count_nonzero(whole[place] == own))
+                    if 100 * both >= percent * (len(own) + len(whole) - both):
+                        out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
@@ -246,20 +278,30 @@ def verify(edges: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
 
 def _across(percent: int):
-    """Candidates of different components within two blocks of one list."""
-    def run(block: pa.Table) -> pa.Table:
-        node, part, n, side = (block[c].to_numpy() for c in ("node", "component", "n_shingles", "side"))
-        sketch = np.stack([block[f"s{j}"].to_numpy() for j in range(_SKETCH)], 1)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        a, b = [], []
-        for i in left.tolist():
-            other = right[(part[right] != part[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)]
-            apart = np.bitwise_count((sketch[other] ^ sketch[i]).view(np.uint64)).sum(1, dtype=np.int64)
-            other = other[apart * (100 + percent) <= (n[other] + n[i]) * (100 - percent)]
-            a.append(np.minimum(node[other], node[i]))
-            b.append(np.maximum(node[other], node[i]))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+    """Candidates of different components within the blocks of a list; ``left`` and ``right`` may be one block."""
+    def columns(block: pa.StructArray) -> tuple[np.ndarray, ...]:
+        field = lambda name: block.field(name).to_numpy(zero_copy_only=False)
+        return field("node"), field("component"), field("n_shingles"), np.stack([field(f"s{j}") for j in range(_SKETCH)], 1).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = []
+            left, right = batch["left"], batch["right"]
+            sides = [(c.offsets.to_numpy(), columns(c.values)) for c in (left, right)]
+            for row in range(batch.num_rows):
+                (node, part, n, sketch), (node_, part_, n_, sketch_) = (tuple(v[o[row]:o[row + 1]] for v in values) for o, values in sides)
+                for at in range(0, len(node), 64):
+                    few = slice(at, at + 64)
+                    open_ = (part[few, None] != part_[None]) & (np.minimum(n[few, None], n_[None]) * 100 >= np.maximum(n[few, None], n_[None]) * percent)
+                    x, y = np.nonzero(open_)
+                    apart = np.bitwise_count(sketch[few][x] ^ sketch_[y]).sum(1, dtype=np.int64)
+                    near = apart * (100 + percent) <= (n[few][x] + n_[y]) * (100 - percent)
+                    x, y = node[few][x[near]], node_[y[near]]
+                    if len(x):
+                        pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            if pairs:
+                once = np.unique(np.concatenate(pairs), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(once[:, 0])), pa.array(np.ascontiguousarray(once[:, 1]))], names=["a", "b"])
 
     return run
 
@@ -276,7 +318,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     lists = persist_table(lists.dropDuplicates(["list"]), "lists")
     chain = lists.select(F.explode(F.arrays_zip(F.expr("slice(nodes, 1, size(nodes) - 1)").alias("a"), F.expr("slice(nodes, 2, size(nodes) - 1)").alias("b"))).alias("x")).select("x.a", "x.b").distinct()
     near = chain.join(nodes.alias("p"), F.col("a") == F.col("p.node")).join(nodes.alias("q"), F.col("b") == F.col("q.node")).where(_near("p", "q", percent))
-    first = persist_table(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "candidates")
+    first = persist_table(near.groupBy("b").agg(F.min(F.struct(_apart("p", "q"), "a")).alias("x")).select("x.a", "b"), "candidates")
     listed = lists.select("list", F.explode("nodes").alias("node"))
     wanted = persist_table(listed.select("node").distinct(), "wanted")
     sets = persist_table(_whole_sets(docs, wanted, width), "shingles")
@@ -286,12 +328,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     open_ = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("list")
     blocks = lists.join(open_, "list", "left_semi").withColumn("_n", F.floor((F.size("nodes") - 1) / block).cast("int"))
     blocks = blocks.withColumn("i", F.explode(F.expr("sequence(0, _n)"))).withColumn("j", F.explode(F.expr("sequence(i, _n)")))
-    halves = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(2).alias("side"), F.expr(f"slice(nodes, i * {block} + 1, {block})").alias("own")))).otherwise(
-        F.array(*[F.struct(F.lit(s).alias("side"), F.expr(f"slice(nodes, {c} * {block} + 1, {block})").alias("own")) for s, c in ((0, "i"), (1, "j"))]))
-    blocks = blocks.select("list", "i", "j", F.explode(halves).alias("h")).select("list", "i", "j", "h.side", F.explode("h.own").alias("node"))
+    blocks = blocks.select("list", "i", "j", F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.expr(f"slice(nodes, {c} * {block} + 1, {block})").alias("own")) for n, c in enumerate("ij")])).alias("h"))
     known = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), *info)
-    pairs = blocks.join(known, "node").select("list", "i", "j", "side", "node", "component", *info).groupBy("list", "i", "j").applyInArrow(_across(percent), "a long, b long")
-    more = persist_table(verify(persist_table(pairs.distinct().join(first, ["a", "b"], "left_anti"), "candidates"), sets, percent), "links")
+    blocks = blocks.select("list", "i", "j", "h.side", F.explode("h.own").alias("node")).join(known, "node")
+    member = F.struct("node", "component", *info)
+    blocks = blocks.groupBy("list", "i", "j").agg(*[F.collect_list(F.when(F.col("side") == n, member)).alias(s) for n, s in enumerate(("left", "right"))])
+    pairs = blocks.select("left", "right").mapInArrow(_across(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    likely = persist_table(verify(persist_table(pairs, "candidates"), sets, percent, brief=True), "candidates")
+    more = persist_table(verify(likely, sets, percent), "links")
     if more.limit(1).count():
         parts = components(links.unionByName(more))
     named = nodes.select("node", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
