@@ -94,14 +94,18 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return ranked.join(last, "r").select("k", "doc_id", "r", "n", "copies", "last_k", "last_r", "last_half")
 
 
+def same(a: str, b: str) -> Column:
+    """Equality that is no join key: rows stay dealt by ``k`` alone, and it tells apart what would share a hash."""
+    return (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
+
+
 def with_edited(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``k, r, text, edited``: the last half of the code points replaced by as many from the start of the next document."""
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
     if places.where("copies > 1").limit(1).count():
         rows = rows.dropDuplicates(["doc_id", "k"])
-    rows = rows.join(places, (rows["k"] == places["k"]) & rows["doc_id"].eqNullSafe(places["doc_id"])).select(
-        rows["k"], "r", "text", "n", "last_k", "last_r", "last_half")
+    rows = rows.withColumn("_n", F.char_length("text")).join(places.drop("doc_id"), "k").where(same("n", "_n")).select("k", "r", "text", "n", "last_k", "last_r", "last_half")
     heads = rows.select(F.col("last_k").alias("k"), F.col("last_r").alias("_r"), F.expr("substring(text, 1, cast(last_half as int))").alias("head"))
-    both = rows.join(heads, "k").where(F.col("r") == F.col("_r"))
+    both = rows.join(heads, "k").where(same("r", "_r"))
     edited = F.concat(F.expr("substring(text, 1, cast(n - floor(n / 2) as int))"), "head")
     return both.select("k", "r", "text", edited.alias("edited"))

@@ -74,7 +74,7 @@ def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = cws.fingerprints(texts.select("k", "r", versions.alias("v")).select("k", "r", "v.version", "v.text"), ["k", "r", "version"])
     own = prints.groupBy("k", "r").agg(F.max(F.when(F.col("version") == 0, F.col("samples"))).alias("own"), F.max(F.when(F.col("version") == 1, F.col("samples"))).alias("edit"))
     digests = texts.select("k", F.col("r").alias("_r"), F.sha2("edited", 256).alias("edited_sha256"))
-    found = persist_table(own.join(digests, "k").where(F.col("r") == F.col("_r")).select("r", "own", "edit", "edited_sha256"), "fingerprints")
+    found = persist_table(own.join(digests, "k").where(cws.same("r", "_r")).select("r", "own", "edit", "edited_sha256"), "fingerprints")
     following = found.select(F.col("r").alias("next"), F.col("own").alias("following"))
     order = places.select("doc_id", "r", "n", "copies", F.col("last_r"))
     order = order.join(order.select(F.col("last_r").alias("_r"), F.col("r").alias("next")), F.col("r") == F.col("_r"))
