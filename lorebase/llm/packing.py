@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.llm.common import slices
-from lorebase.llm.tokens import WordEncoder
+from lorebase.llm.tokens import encoder as encoder_of
 from lorebase.session import persist_table
 
 SIZE = 2048
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes reference cycles, and the remembered words are many
-        encoder, seen, part = WordEncoder(vocabulary, spaced), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
+        encoder, seen, part = encoder_of(vocabulary, spaced), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for few in slices(batch):
                 ids, piece, start, length, pieces, crc, nth = [], [], [], [], [], [], []

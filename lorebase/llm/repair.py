@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorebase.llm.common import slices
-from lorebase.llm.tokens import WordEncoder
+from lorebase.llm.tokens import encoder as encoder_of
 
 SHARD_IDS = 1 << 20
 ROUNDS = 5
@@ -100,7 +100,7 @@ def encode_shards(docs: DataFrame, vocabulary: str, first_rule: int, end: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes reference cycles, and the remembered words are many
-        encoder, part = WordEncoder(vocabulary, spaced), TaskContext.get().partitionId()
+        encoder, part = encoder_of(vocabulary, spaced), TaskContext.get().partitionId()
         shard = passed = held = 0
         ids: list[int | None] = []
         data: list[bytes] = []

@@ -8,11 +8,11 @@ can't be shown (odd white space for the byte-level vocabulary) are encoded whole
 from __future__ import annotations
 
 import os
-from itertools import chain
+from functools import cache
 
 import numpy as np
 
-WORDS_KEPT = 1_500_000
+WORDS_KEPT = 1_200_000
 _STOPS = ".,;:!?"
 
 
@@ -122,3 +122,9 @@ class WordEncoder:
             for i in behind:
                 found[i] = map(get, cut[i])
         return [b"".join(values) for values in found]
+
+
+@cache
+def encoder(path: str, spaced: bool) -> WordEncoder:
+    """One encoder per process, so that tasks that follow one another share what it remembers."""
+    return WordEncoder(path, spaced)
