@@ -8,7 +8,8 @@ can't be shown (odd white space for the byte-level vocabulary) are encoded whole
 from __future__ import annotations
 
 import os
-from functools import cache
+import sys
+from types import ModuleType
 
 import numpy as np
 
@@ -124,7 +125,13 @@ class WordEncoder:
         return [b"".join(values) for values in found]
 
 
-@cache
 def encoder(path: str, spaced: bool) -> WordEncoder:
-    """One encoder per process, so that tasks that follow one another share what it remembers."""
-    return WordEncoder(path, spaced)
+    """One encoder per process, so that tasks that follow one another share what it remembers.
+
+    Functions reach a worker by value, with globals of their own for each task; what is to outlive a task needs a place
+    that the process has once.
+    """
+    kept = sys.modules.setdefault("_lorebase_kept", ModuleType("_lorebase_kept")).__dict__
+    if (path, spaced) not in kept:
+        kept[path, spaced] = WordEncoder(path, spaced)
+    return kept[path, spaced]
