@@ -112,17 +112,20 @@ def copy_plan(spark, folder):
 
 _UPSERT = """
     existing AS (SELECT doc_id AS ordinal, 'p/' || doc_id AS html, sha256(text) AS sha FROM documents),
-    fresh AS (SELECT 1000000000 + doc_id AS ordinal, CASE WHEN toxic = 0 THEN 'p/' || doc_id ELSE 'moved/' || doc_id END AS html,
+    fresh AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, 1000000000 + doc_id AS ordinal, CASE WHEN toxic = 0 THEN 'p/' || doc_id ELSE 'moved/' || doc_id END AS html,
         CASE WHEN quality = 1 THEN sha256(text) ELSE sha256(text || '!') END AS sha FROM documents JOIN labels USING (doc_id)),
-    hits AS (SELECT f.ordinal AS n, min(e.ordinal) AS o FROM fresh f JOIN existing e ON e.html = f.html OR e.sha = f.sha GROUP BY 1),
-    winners AS (SELECT o, max(n) AS n FROM hits GROUP BY 1)"""
+    steps AS (
+        SELECT 0::BIGINT AS n, (SELECT list({'ordinal': ordinal, 'html': html, 'sha': sha, 'origin': 'kept'} ORDER BY ordinal) FROM existing) AS pages
+        UNION ALL
+        SELECT n, CASE WHEN spot IS NULL THEN list_append(pages, {'ordinal': ordinal, 'html': html, 'sha': sha, 'origin': 'appended'}) ELSE list_concat(list_append(
+            pages[:spot - 1], {'ordinal': pages[spot].ordinal, 'html': html, 'sha': sha, 'origin': CASE pages[spot].origin WHEN 'appended' THEN 'appended' ELSE 'replaced' END}), pages[spot + 1:]) END
+        FROM (SELECT f.*, pages, list_position(list_transform(pages, lambda p: p.html = f.html OR p.sha = f.sha), true) AS spot FROM steps s JOIN fresh f ON f.n = s.n + 1)
+    )"""
 
 
 @query("upsert_or_key", f"""
-    WITH {_UPSERT}
-    SELECT ordinal, html, sha AS source_sha256, 'kept' AS origin FROM existing WHERE ordinal NOT IN (SELECT o FROM winners)
-    UNION ALL SELECT o, html, sha, 'replaced' FROM winners JOIN fresh ON n = ordinal
-    UNION ALL SELECT ordinal, html, sha, 'appended' FROM fresh WHERE ordinal NOT IN (SELECT n FROM hits)""")
+    WITH RECURSIVE {_UPSERT}
+    SELECT p.ordinal, p.html, p.sha AS source_sha256, p.origin FROM (SELECT unnest(pages) AS p FROM steps WHERE n = (SELECT max(n) FROM steps))""")
 def upsert_or_key(spark, folder):
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     existing = docs.select(

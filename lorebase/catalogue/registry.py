@@ -59,7 +59,7 @@ def count_of(x: str, term: str) -> str:
 
 SOURCES = f"""
     SELECT doc_id AS ordinal, 'doc:' || doc_id AS source_id, source AS source_type, lang AS section,
-           {compact('substr(text, 1, 80)')} AS title, {redact('text')} AS text FROM documents
+           {compact(f"substr({redact('text')}, 1, 80)")} AS title, {redact('text')} AS text FROM documents
 """
 
 # One paragraph per document: windows of 1800 characters that step by 1580.

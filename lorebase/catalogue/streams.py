@@ -49,10 +49,9 @@ def stream_context_replay(spark, folder):
 
 
 @query("stream_day_replay", """
-    SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS records FROM events
-    WHERE ts::DATE < (SELECT max(ts)::DATE FROM events) GROUP BY 1, 2""")
+    SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS records FROM events GROUP BY 1, 2""")
 def stream_day_replay(spark, folder):
-    """Days are written once they are complete, so the last, still open day is missing."""
+    """Every batch gives the counts of the days that it touched; the last ones count, so the open day is there as well."""
     feed = _feed(spark, folder).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
-    days = feeds.replay(feeds.day_counts(feed, "ts", "0 seconds", "kind"), shared_folder(spark), "days")
+    days = feeds.replay_latest(feeds.day_counts(feed, "ts", "0 seconds", "kind"), shared_folder(spark), "days", "day", "kind")
     return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "kind", "records")

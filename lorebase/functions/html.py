@@ -24,8 +24,13 @@ _LESS, _AMP, _CUT = "", "", ""
 
 
 @F.pandas_udf(StringType())
-def decode_entities(text: pd.Series) -> pd.Series:
-    return text.map(lambda value: _html.unescape(value) if value is not None and "&" in value else value)
+def _unescape(text: pd.Series) -> pd.Series:
+    return text.map(lambda value: None if value is None else _html.unescape(value))
+
+
+def decode_entities(text: Column) -> Column:
+    """Only texts with an ampersand go to Python; the others pass as null and come back as they were."""
+    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def _tag(names: Sequence[str]) -> str:
@@ -135,8 +140,9 @@ def meta(page: Column) -> Column:
         ),
         lambda e: e["key"] != "",
     )
-    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(last)
+    # bound once: the first of each key in reverse order is the last one of the page
+    return F.aggregate(F.reverse(named), F.create_map().cast("map<string,string>"),
+                       lambda seen, e: F.when(F.map_contains_key(seen, e["key"]), seen).otherwise(F.map_concat(seen, F.create_map(e["key"], e["value"]))))
 
 
 def body_preview(page: Column, length: int = rules.MANIFEST_PREVIEW) -> Column:

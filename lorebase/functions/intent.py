@@ -153,15 +153,14 @@ def message_text(content: Column, message_type: Column, mentions: Column | None
     def value_of(key: str) -> Column:
         return F.coalesce(F.get_json_object(content, f"$.{key}"), F.lit(""))
 
-    def strings(keys: Sequence[str], limit: int | None = None) -> Column:
+    def strings(keys: Sequence[str]) -> Column:
         pairs = F.regexp_extract_all(content, F.lit(rf'"(?:{"|".join(keys)})"\s*:\s*("(?:[^"\\]|\\.)*+")'), F.lit(1))
-        values = F.transform(pairs, lambda v: F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v"))
-        return F.slice(values, 1, limit) if limit else values
+        return F.transform(pairs, lambda v: F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v"))
 
     run_keys = ("text", "un_escape_text")
     post = strip(F.array_join(F.concat(F.array(value_of("title")), strings(run_keys)), "\n"))
     named = F.coalesce(*[F.nullif(value_of(k), F.lit("")) for k in ("text", "file_name", "image_key")], F.lit(""))
-    other = F.when(named != "", named).otherwise(strip(F.array_join(strings(rules.READABLE_KEYS, 40), "\n")))
+    other = F.when(named != "", named).otherwise(strip(F.array_join(strings(rules.READABLE_KEYS), "\n")))
     text = F.when(message_type == "text", value_of("text")).when(message_type == "post", post).otherwise(other)
     if mentions is not None:
         text = F.aggregate(

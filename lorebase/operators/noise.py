@@ -61,7 +61,8 @@ def gate_records(records: DataFrame, decisions: DataFrame | None, key: str, text
         judged = judged.withColumn("_keep", F.lit(None).cast("boolean")).withColumn("_why", F.lit(None).cast("string"))
     else:
         judged = judged.join(
-            decisions.select(key, F.col("keep").alias("_keep"), F.col("reason").alias("_why")), key, "left"
+            # one row per key: a skip wins over a keep, and has its own reason
+            decisions.groupBy(key).agg(F.min("keep").alias("_keep"), F.min(F.when(~F.col("keep"), F.col("reason"))).alias("_why")), key, "left"
         )
     uncertain = F.col("_weak") & (F.col("_rule") == "")
     skipped = uncertain & (F.col("_keep") == F.lit(False))

@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, StringType
 from lorebase import rules
 from lorebase.functions.text import compact
 from lorebase.operators.grouping import last_per_key
+from lorebase.operators.linking import components
 from lorebase.session import persist_table
 
 
@@ -78,7 +79,9 @@ def change_records(changes: DataFrame, previous: DataFrame, current: DataFrame,
     wide = changes.join(old, "key", "left").join(new, "key", "left")
     heads = F.array(F.lit("--- previous"), F.lit("+++ current"))
     lines = F.split(F.col("text"), "\r\n|[\n\r]")
-    shown = F.concat(heads, F.array(F.lit("@@ added page @@")), F.slice(lines, 1, max_diff_lines))
+    more = F.size(lines) - max_diff_lines
+    cut = F.when(more > 0, F.array(F.concat(F.lit("... page truncated, "), more.cast("string"), F.lit(" lines omitted ...")))).otherwise(F.array().cast("array<string>"))
+    shown = F.concat(heads, F.array(F.lit("@@ added page @@")), F.slice(lines, 1, max_diff_lines), cut)
     modified = F.col("type") == "modified"
     # unchanged sides are passed as null, so the UDF only works on modified pages
     diffed = wide.withColumn("_diff", _unified_diff(
@@ -142,30 +145,51 @@ def deletion_plan(copied: DataFrame, root: str) -> DataFrame:
     return copied.filter(F.col("status").isin("copied", "duplicate") & inside).select("path")
 
 
+_SLOT = "slot LONG, new LONG, origin STRING"
+
+
+def _place(component: pd.DataFrame) -> pd.DataFrame:
+    """Puts the new pages of one component into place one after the other; ``new`` is null where a page stays."""
+    slots = [[r.ordinal, None, "kept", r.html, r.source_sha256] for r in component[~component.fresh].sort_values("ordinal").itertuples()]
+    for r in component[component.fresh].sort_values("ordinal").itertuples():
+        same = lambda a, b: a is not None and a == b
+        slot = next((s for s in slots if same(s[3], r.html) or same(s[4], r.source_sha256)), None)
+        if slot is None:
+            slots.append([r.ordinal, r.ordinal, "appended", r.html, r.source_sha256])
+        else:
+            slot[1:] = r.ordinal, "replaced" if slot[2] != "appended" else "appended", r.html, r.source_sha256
+    return pd.DataFrame([s[:3] for s in slots], columns=["slot", "new", "origin"]).astype({"slot": "int64", "new": "Int64"})
+
+
 def upsert_pages(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """New pages replace the first existing page with the same html or the same source hash, else are appended.
+    """New pages, in their order, replace the first page that has the same html or the same source hash *by then*, else
+    are appended. Both sides: ordinal, html, source_sha256 and the same further columns.
 
-    An OR in a join condition would be a nested loop: the match is the union of two equi-joins, of which the
-    lowest existing position counts. Both sides: ordinal, html, source_sha256 and the same further columns.
-    ``new`` is the batch of one run with at most one page per html.
+    What one new page does depends on those before it, but only within pages that share an html or a hash. So only new
+    pages and the existing ones they can meet are looked at: those with an html of the batch, and of each hash of the
+    batch the first page besides (it stays the first, as whatever replaces it by hash has that hash). They fall into
+    components, each put into place in order; a component grows with the batch of a run, not with the archive.
     """
-    def hits(column: str) -> DataFrame:
-        # copies share a hash: the existing side is reduced to its first page before the join
-        first = existing.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min("ordinal").alias("_old"))
-        return new.select(F.col("ordinal").alias("_new"), column).join(first, column).select("_new", "_old")
-
-    both = hits("html").unionByName(hits("source_sha256")).groupBy("_new").agg(F.min("_old").alias("_old"))
-    matches = persist_table(both, "matches")  # pairs of ordinals, read four times below
-    # two new pages may hit the same existing one: the later of them stays
-    winners = matches.groupBy("_old").agg(F.max("_new").alias("_new"))
-    placed = new.withColumn("_new", F.col("ordinal")).join(winners, "_new").withColumn("ordinal", F.col("_old"))
-    kept = existing.join(winners.select(F.col("_old").alias("ordinal")), "ordinal", "left_anti")
-    appended = new.join(matches.select(F.col("_new").alias("ordinal")), "ordinal", "left_anti")
-    return (
-        kept.withColumn("origin", F.lit("kept"))
-        .unionByName(placed.select(*existing.columns).withColumn("origin", F.lit("replaced")))
-        .unionByName(appended.select(*existing.columns).withColumn("origin", F.lit("appended")))
-    )
+    fields = ("ordinal", "html", "source_sha256")
+    fresh, old = new.select(*fields, F.lit(True).alias("fresh")), existing.select(*fields, F.lit(False).alias("fresh"))
+    by_html = old.join(new.select("html").distinct(), "html", "left_semi").select(*fields, "fresh")
+    others = old.join(new.select("html").distinct(), "html", "left_anti").join(new.select("source_sha256").distinct(), "source_sha256", "left_semi")
+    first = others.groupBy("source_sha256").agg(F.min("ordinal").alias("ordinal"), F.min_by("html", "ordinal").alias("html")).select(*fields, F.lit(False).alias("fresh"))
+    node = F.concat(F.when(F.col("fresh"), "n:").otherwise("o:"), F.col("ordinal"))
+    rows = persist_table(fresh.unionByName(by_html).unionByName(first).withColumn("node", node), "rows")
+
+    def shared(column: str) -> DataFrame:
+        least = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min("node").alias("a"))
+        return rows.join(least, column).select("a", F.col("node").alias("b"))
+
+    parts = components(shared("html").unionByName(shared("source_sha256")))
+    placed = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    slots = persist_table(placed.select("component", "fresh", *fields).groupBy("component").applyInPandas(
+        lambda component: _place(component.astype({"html": object, "source_sha256": object}).where(component.notna(), None)), _SLOT).filter("new is not null"), "slots")
+    kept = existing.join(slots.filter("origin = 'replaced'").select(F.col("slot").alias("ordinal")), "ordinal", "left_anti")
+    rest = [c for c in existing.columns if c != "ordinal"]
+    written = new.select(F.col("ordinal").alias("new"), *rest).join(slots, "new").withColumn("ordinal", F.col("slot"))
+    return kept.withColumn("origin", F.lit("kept")).unionByName(written.select(*existing.columns, "origin"))
 
 
 def upsert_by_title(existing: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("section", "title")) -> DataFrame:

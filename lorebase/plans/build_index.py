@@ -10,8 +10,6 @@ from lorebase.operators import indexing
 from lorebase.providers.base import Provider, embed_column
 from lorebase.sources.files import or_empty
 
-EMBED_CHARS = 6000
-
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The chunks of an index; an index that does not exist is empty."""
@@ -24,7 +22,7 @@ def reusable(index: DataFrame, model: str, dimensions: int) -> DataFrame:
 
 
 def indexed_chunks(sources: DataFrame, previous: DataFrame | None, provider: Provider | None, dimensions: int = 512,
-                   embed_limit: int | None = EMBED_CHARS) -> DataFrame:
+                   embed_limit: int | None = None) -> DataFrame:
     """Chunks with vectors: taken over where the text is unchanged, embedded where not, null without a provider.
 
     Only the missing texts are sent to the provider; ``embed_limit`` is the service's input limit.

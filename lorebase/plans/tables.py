@@ -14,13 +14,13 @@ def overwrite_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_day_pages(page: DataFrame, path: str, partitions: int = 32) -> None:
+def write_day_pages(page: DataFrame, path: str) -> None:
     """Fragments of day pages as text: one folder per day, parts in page order.
 
     Rows are range-partitioned by their place in the page, so a long day becomes several part files whose names sort
     in reading order.
     """
-    ordered = page.repartitionByRange(partitions, "day", "person", "part", "at").sortWithinPartitions("day", "person", "part", "at")
+    ordered = page.repartitionByRange("day", "person", "part", "at").sortWithinPartitions("day", "person", "part", "at")
     ordered.select("day", "html").write.mode("overwrite").partitionBy("day").text(path)
 
 

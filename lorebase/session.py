@@ -58,18 +58,3 @@ def persist_table(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
-SPREAD_LIMIT = 1024 * 1024 * 1024
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores.
-
-    A table of a few megabytes is one row group and would be read, and all per-row work done, by one task. Inputs
-    over a gigabyte, or with work for every core already, keep the splits of the scan: no shuffle is added there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < min(cores * SPREAD_BYTES_PER_CORE, SPREAD_LIMIT) else df

@@ -7,15 +7,10 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import html as H
 from lorebase.functions.text import compact, redact, sha256
-from lorebase.session import spread_small
-
-
-TEXT_TABLES = ("documents", "pages")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    return spread_small(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def document_sources(documents: DataFrame) -> DataFrame:
@@ -23,7 +18,7 @@ def document_sources(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").alias("ordinal"), F.concat(F.lit("doc:"), F.col("doc_id")).alias("source_id"),
         F.col("source").alias("source_type"), F.col("lang").alias("section"),
-        compact(F.substring("text", 1, 80)).alias("title"), F.concat(F.lit("documents/"), F.col("doc_id")).alias("path"),
+        compact(F.substring(redact(F.col("text")), 1, 80)).alias("title"), F.concat(F.lit("documents/"), F.col("doc_id")).alias("path"),
         redact(F.col("text")).alias("text"), F.lit("").alias("date"), F.lit("").alias("author"),
         F.create_map(F.lit("kind"), F.col("source")).alias("metadata"),
     )
@@ -42,7 +37,7 @@ def page_sources(pages: DataFrame) -> DataFrame:
 def conversation_sources(conversations: DataFrame) -> DataFrame:
     """conversations -> one source document per turn."""
     return conversations.select(
-        (F.col("conv_id") * 100000 + F.col("turn")).alias("ordinal"),
+        (F.shiftleft(F.col("conv_id"), 32) + F.col("turn")).alias("ordinal"),
         F.concat_ws(":", F.lit("chat"), F.col("conv_id"), F.col("turn")).alias("source_id"),
         F.lit("chat").alias("source_type"), F.lit("Communication Records").alias("section"),
         F.concat(F.lit("Chat "), F.col("conv_id")).alias("title"), F.concat(F.lit("conversations/"), F.col("conv_id")).alias("path"),

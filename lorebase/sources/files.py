@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from lorebase import rules, schemas
 from lorebase.functions import html as H
@@ -29,9 +30,32 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """One JSON object per line; bad lines are skipped, or fail the job when ``strict``."""
-    mode = "FAILFAST" if strict else "DROPMALFORMED"
-    return or_empty(spark, schema, lambda: spark.read.schema(schema).option("mode", mode).json(path))
+    """One JSON object per line; lines that are no JSON are skipped, or fail the job when ``strict``."""
+    if strict:
+        return or_empty(spark, schema, lambda: spark.read.schema(schema).option("mode", "FAILFAST").json(path))
+    return or_empty(spark, schema, lambda: parse_json_lines(spark.read.text(path), schema))
+
+
+def parse_json_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """``value`` of each line -> the fields of ``schema``; other columns stay in front.
+
+    Only lines that are no JSON object are left out. Each field is cast by itself: a number written as text is a number,
+    a value that doesn't fit is null, and the rest of the record stays.
+    """
+    record = F.try_parse_json("value")
+    parsed = lines.select(*[c for c in lines.columns if c != "value"], record.alias("_json")).where(F.startswith(F.schema_of_variant("_json"), F.lit("OBJECT")))
+    return parsed.select(*[c for c in parsed.columns if c != "_json"], *[
+        _json_field(F.col("_json"), f"$['{f.name}']", f.dataType).alias(f.name) for f in StructType.fromDDL(schema).fields])
+
+
+def _json_field(record: Column, path: str, kind: DataType) -> Column:
+    here = F.try_variant_get(record, path, "variant")
+    if isinstance(kind, StructType):
+        fields = F.struct(*[_json_field(record, f"{path}['{f.name}']", f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(F.is_variant_null(here) | here.isNull(), F.lit(None)).otherwise(fields)
+    if isinstance(kind, ArrayType):
+        return F.transform(F.try_variant_get(record, path, "array<variant>"), lambda x: _json_field(x, "$", kind.elementType))
+    return F.try_variant_get(record, path, kind.simpleString())
 
 
 def _relative(root: str) -> Column:
@@ -47,13 +71,15 @@ def read_day_records(spark: SparkSession, root: str, folder: str, name: str, sch
     With ``day`` only that folder is listed, so a digest reads one day and not the archive.
     """
     pattern = f"{root.rstrip('/')}/{day or '20??-??-??'}/{folder}/*/{name}"
-    mode = "FAILFAST" if strict else "DROPMALFORMED"
     extra = ", day STRING, person STRING, record_path STRING"
 
     def load() -> DataFrame:
-        lines = spark.read.schema(schema).option("mode", mode).json(pattern)
         parts = F.split(_relative(root), "/")
-        return lines.select("*", parts[0].alias("day"), parts[2].alias("person"), F.array_join(parts, "/").alias("record_path"))
+        place = parts[0].alias("day"), parts[2].alias("person"), F.array_join(parts, "/").alias("record_path")
+        if strict:
+            return spark.read.schema(schema).option("mode", "FAILFAST").json(pattern).select("*", *place)
+        records = parse_json_lines(spark.read.text(pattern).select("value", *place), schema)
+        return records.select(*StructType.fromDDL(schema).names, "day", "person", "record_path")
 
     return or_empty(spark, schema + extra, load)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorebase import rules
 from lorebase.functions import html as H
-from lorebase.functions.text import compact, sha256, slug_mail
+from lorebase.functions.text import redact, sha256, slug_mail
 from lorebase.functions.values import first_address, iso, mail_time
 from lorebase.operators.grouping import first_per_key
 from lorebase.sources.binaries import mail_parts
@@ -50,12 +50,12 @@ def mail_sources(records: DataFrame) -> DataFrame:
     text = F.concat_ws(
         "\n", F.lit("Source: email"), F.concat(F.lit("Date: "), F.coalesce("date", F.lit(""))),
         F.concat(F.lit("From: "), F.col("from")), F.concat(F.lit("Subject: "), subject),
-        F.concat(F.lit("Preview:\n"), compact(F.col("text_preview"))), F.concat(F.lit("Body:\n"), F.col("body")),
+        F.concat(F.lit("Preview:\n"), F.coalesce("text_preview", F.lit(""))), F.concat(F.lit("Body:\n"), F.coalesce("body", F.lit(""))),
     )
     return records.select(
         F.xxhash64("path", "message_id").alias("ordinal"),
         F.concat(F.lit("email:"), sha256(F.concat("path", "message_id"), rules.RECORD_ID_HEX)).alias("source_id"),
-        F.lit("email").alias("source_type"), F.lit(rules.RECORD_SECTION).alias("section"), subject.alias("title"), "path",
-        text.alias("text"), F.coalesce("date", F.lit("")).alias("date"), F.col("from").alias("author"),
+        F.lit("email").alias("source_type"), F.lit(rules.RECORD_SECTION).alias("section"), redact(subject).alias("title"), "path",
+        redact(text).alias("text"), F.coalesce("date", F.lit("")).alias("date"), F.col("from").alias("author"),
         F.create_map(F.lit("kind"), F.lit("email")).alias("metadata"),
     )

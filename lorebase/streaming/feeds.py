@@ -29,7 +29,8 @@ def live_messages(feed: DataFrame, key: str, time: str, delay: str) -> DataFrame
 
 
 def day_counts(feed: DataFrame, time: str, delay: str, *keys: str) -> DataFrame:
-    """Records per calendar day, final once the watermark has passed the day."""
+    """Records per calendar day. In append mode a day comes once, when the watermark has passed it; in update mode every
+    batch gives the new counts of the days it touched, the open one included."""
     window = F.window(F.col(time), "1 day")
     return feed.withWatermark(time, delay).groupBy(window, *keys).agg(F.count("*").alias("records")).select(
         F.col("window.start").alias("day"), *keys, "records"
@@ -99,6 +100,22 @@ def write_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "appe
     return writer.start()
 
 
+def replay_latest(stream: DataFrame, folder: str, label: str, *keys: str) -> DataFrame:
+    """Run a stream in update mode over everything that has landed; of each key the row of its last batch."""
+    import uuid
+
+    base = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/table/batch={number}")  # a repeated batch writes the same again
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{base}/table")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
+
+
 def replay(stream: DataFrame, folder: str, label: str) -> DataFrame:
     """Run a stream over everything that has landed and read the result table."""
     import uuid

@@ -1,83 +1,54 @@
-"""HTML extraction against the standard library's parser."""
+"""HTML extraction: pages with the text each reader makes of them, and properties of any page."""
 
-import html.parser
 import re
 
 import pytest
 
 from lorebase.functions import html as H
 
-BLOCK = {"p", "div", "br", "tr", "table", "li", "h1", "h2", "h3"}
-
-
-class Reader(html.parser.HTMLParser):
-    """Data of a page with its runs; marks block starts, images and embeds."""
-
-    def __init__(self, block, skip):
-        super().__init__(convert_charrefs=True)
-        self.block, self.skip, self.hidden, self.out = block, skip, 0, []
-
-    def handle_starttag(self, tag, attrs):
-        values = {k: (v or "").strip() for k, v in attrs}
-        if tag in self.skip:
-            self.hidden += 1
-        elif not self.hidden:
-            self.out += ["\n"] * (tag in self.block)
-            if tag == "img" and values.get("alt"):
-                self.out.append(f"\n[image] {values['alt']}\n")
-            if tag == "embed" and values.get("src"):
-                label = "attachment" if self.skip else "embedded attachment"
-                self.out.append(f"\n[{label}] {values['src']}\n")
-
-    def handle_endtag(self, tag):
-        self.hidden -= tag in self.skip and self.hidden > 0
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.out.append(data)
-
-
-def read(page, block, skip):
-    reader = Reader(block, skip)
-    reader.feed(page)
-    reader.close()
-    text = re.sub(r"[ \t]+", " ", "".join(reader.out).replace("\xa0", " "))
-    return re.sub(r"\n{3,}", "\n\n", text).strip(), [d.strip() for d in reader.out if d.strip()]
-
-
 PAGES = [
-    "<p>one<p>two<br>three</p><h4>four</h4><section>five</section>",
-    "<head><style>p{}</style></head><body>a &amp; b &lt;c&gt; &#233; &copy;</body>",
-    "<script>if (a < b && c) { x = '<p>'; }</script>after",
-    "x<!-- <p>no</p> -->y<img alt=' pic ' src='a.png'><img src=b.png><embed src=\"f.pdf\">z",
-    '<a href="x" title="a > b">link</a><noscript>hidden</noscript> tail',
-    "plain text only", "", "<div><div>deep</div>\n\n\n\n</div>end",
-    "<STYLE>b</STYLE><P>Upper</P>&nbsp;&nbsp;x",
+    # page, index text, page-search text, distiller text
+    ("", "", "", ""),
+    ("plain text only", "plain text only", "plain text only", "plain text only"),
+    ("<p>one<p>two<br>three</p>", "one\ntwo\nthree", "one\ntwo\nthree", "one\ntwo\nthree"),
+    ("a<h4>b</h4>c<section>d</section>", "a\nbc\nd", "abcd", "abcd"),
+    ("<head><style>p{}</style></head><body>a &amp; b &lt;c&gt; &#233;</body>", "a & b <c> é", "a & b <c> é", "p{}a & b <c> é"),
+    ("x<script>if (a < b) { y = '<p>'; }</script>z", "xz", "xz", "xif (a < b) { y = '<p>'; }z"),
+    ("x<!-- <p>no</p> -->y", "xy", "xy", "xy"),
+    ("a<noscript>hidden</noscript>b", "ab", "ahiddenb", "ahiddenb"),
+    ("x<img alt=' pic ' src='a.png'>y", "x\n[image] pic\ny", "x\n[image] pic\ny", "x\n[image] pic\ny"),
+    ("x<img src=b.png>y", "xy", "xy", "xy"),
+    ('<a href="x" title="a > b">link</a> tail', "link tail", "link tail", "link tail"),
+    ("<div><div>deep</div>\n\n\n\n</div>end", "deep\n\nend", "deep\n\nend", "deep\n\nend"),
+    ("<STYLE>b</STYLE><P>Upper</P>&nbsp;&nbsp;x", "Upper x", "Upper x", "b\nUpper x"),
 ]
+READERS = (H.text_for_index, H.text_for_page_search, H.text_for_distiller)
 
 
-@pytest.fixture(scope="module")
-def pages(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
-    return PAGES + [r[0] for r in rows]
-
-
-def test_index_text(evaluate, pages):
-    block, skip = BLOCK | {"h4", "section", "article"}, {"script", "style", "head", "noscript"}
-    assert evaluate(H.text_for_index, *pages) == [read(p, block, skip)[0] for p in pages]
-
+@pytest.mark.parametrize("reader", range(3))
+def test_pages(evaluate, reader):
+    assert evaluate(READERS[reader], *(p[0] for p in PAGES)) == [p[1 + reader] for p in PAGES]
 
-def test_page_text(evaluate, pages):
-    assert evaluate(H.text_for_page_search, *pages) == [read(p, BLOCK, {"script", "style", "head"})[0] for p in pages]
 
+def test_import_text(evaluate):
+    assert evaluate(H.text_for_import, "<p>one </p> <p>two</p>", "a<br>b", "") == ["one\ntwo", "a\nb", ""]
 
-def test_distiller_text_keeps_scripts(evaluate, pages):
-    assert evaluate(H.text_for_distiller, *pages) == [read(p, BLOCK, set())[0] for p in pages]
 
-
-def test_import_text(evaluate, pages):
-    plain = [p for p in pages if "<img" not in p]
-    assert evaluate(H.text_for_import, *plain) == ["\n".join(read(p, set(), set())[1]) for p in plain]
+@pytest.fixture(scope="module")
+def given(spark):
+    return [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+
+
+@pytest.mark.parametrize("reader", range(3))
+def test_what_holds_for_any_page(evaluate, given, reader):
+    for page, text in zip(given, evaluate(READERS[reader], *given), strict=True):
+        assert text == text.strip() and "\n\n\n" not in text and "\xa0" not in text and "  " not in text
+        if reader < 2:
+            assert not re.search(r"</?(p|div|a|li|h1|body|script)\b[^>]*>", text)
+            for script in re.findall(r"(?s)<(?:script|style)[^>]*>(.{20,}?)</(?:script|style)>", page):
+                assert script.strip() not in text
+        words = re.findall(r"<p>([a-zA-Z]{4,}) ", page)
+        assert all(w in text for w in words)
 
 
 def test_mail_text(evaluate):

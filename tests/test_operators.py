@@ -123,6 +123,27 @@ def test_upsert_on_either_key(spark):
     assert {(r["ordinal"], r["html"], r["origin"]) for r in merged.collect()} == {(1, "h1", "kept"), (2, "h3", "replaced"), (11, "h9", "appended")}
 
 
+def test_upsert_follows_the_order_of_new_pages(spark):
+    """No new page is lost when another one matches the page it had matched, against the plain sequential rule."""
+    import random
+
+    schema, rng = "ordinal BIGINT, html STRING, source_sha256 STRING", random.Random(4)
+    cases = [([(1, "p/1", "h1")], [(101, "p/1", "hNEW"), (102, "moved/1", "h1")])]
+    for _ in range(6):
+        row = lambda i: (i, f"p/{rng.randrange(8)}", rng.choice([None, *(f"h{n}" for n in range(6))]))
+        cases.append(([(i, f"p/{i}", row(i)[2]) for i in range(6)], [row(100 + i) for i in range(rng.randrange(9))]))
+    for old, new in cases:
+        slots = [[o, h, s, "kept"] for o, h, s in old]
+        for o, h, s in new:
+            hit = next((x for x in slots if x[1] == h or x[2] is not None and x[2] == s), None)
+            if hit:
+                hit[1:] = h, s, "appended" if hit[3] == "appended" else "replaced"
+            else:
+                slots.append([o, h, s, "appended"])
+        merged = snapshots.upsert_pages(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema))
+        assert sorted(map(tuple, merged.select("ordinal", "html", "source_sha256", "origin").collect()), key=str) == sorted(map(tuple, slots), key=str)
+
+
 def test_page_keys(spark):
     pages = spark.createDataFrame([("id", "h", "s", "t", 1, "x"), ("id", "h2", "s", "t", 2, "y"), ("", "", "s", "t", 3, "z")],
                                   "onenote_page_id STRING, html STRING, section STRING, title STRING, at INT, sha STRING")
@@ -146,6 +167,8 @@ def test_gate_keeps_everything_and_fails_open(spark):
     decisions = spark.createDataFrame([("1", False, "spam"), ("4", False, "not asked")], "id STRING, keep BOOLEAN, reason STRING")
     gated = {r["id"]: (r["kept"], r["reason"]) for r in noise.gate_records(records, decisions, "id").collect()}
     assert gated == {"1": (False, "spam"), "2": (True, ""), "3": (False, rules.AD_REASON), "4": (True, "")}
+    twice = spark.createDataFrame([("1", True, "fine"), ("1", False, "spam"), ("1", True, "fine")], "id STRING, keep BOOLEAN, reason STRING")
+    assert [(r["kept"], r["reason"]) for r in noise.gate_records(records, twice, "id").filter("id = '1'").collect()] == [(False, "spam")]
 
 
 def test_every_record_gets_a_group(spark):

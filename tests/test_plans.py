@@ -11,7 +11,7 @@ from lorebase.operators import messages
 from lorebase.plans import ask, build_index, day_digest, nightly, tables
 from lorebase.operators import digest
 from lorebase.providers.offline import OfflineProvider
-from lorebase.session import shared_folder, spread_small
+from lorebase.session import shared_folder
 from lorebase.streaming import feeds
 from tests.test_sources import tree, write  # noqa: F401
 from lorebase.sources import files
@@ -94,7 +94,7 @@ def test_day_digest(spark):
 def test_day_pages_on_disk(spark, tmp_path):
     df = spark.createDataFrame([("2026-06-12", f"p{i % 3}", i, f"text {i}") for i in range(50)], "d STRING, p STRING, n BIGINT, t STRING")
     page = digest.day_page(df, F.col("d"), F.col("p"), F.col("n"), digest.record_fragment(F.col("p"), F.lit("chat"), F.col("t")), "Records")
-    tables.write_day_pages(page, str(tmp_path / "out"), 4)
+    tables.write_day_pages(page, str(tmp_path / "out"))
     folder = tmp_path / "out" / "day=2026-06-12"
     html = "".join((folder / name).read_text() for name in sorted(os.listdir(folder)) if name.startswith("part-"))
     assert html.startswith("<!DOCTYPE html>") and html.rstrip().endswith("</body></html>")
@@ -127,10 +127,6 @@ def test_streams_keep_state_across_batches(spark, landed):
     assert {r["event_id"]: r["context_turns"] for r in context.collect()} == {n: min(n // 4, 6) for n in range(120)}
 
 
-def test_small_inputs_are_spread(spark):
-    assert spread_small(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-
-
 def test_command_line(spark, tmp_path, capsys):
     from lorebase.__main__ import main
 

@@ -25,6 +25,13 @@ def test_json_readers(spark, tmp_path):
     assert [r["a"] for r in files.read_json(spark, str(tmp_path / "d.json"), "a INT").collect()] == [1]
     assert files.read_json(spark, str(tmp_path / "missing.json"), "a INT").collect() == []
     assert [r["a"] for r in files.read_json_lines(spark, str(tmp_path / "l.jsonl"), "a INT").collect()] == [1, 2]
+    schema = "user STRUCT<id: BIGINT, name: STRING>, files ARRAY<STRUCT<path: STRING, size: BIGINT>>, text STRING"
+    write(tmp_path / "odd.jsonl", '{"user":{"id":1,"name":"a"},"files":[{"path":"x","size":"3"}],"text":"one"}\n{"user":{"id":"2"},"text":"two"}\n'
+          '{"user":{"id":"z"},"files":"none","text":7}\n{"text": broken\n[1]\n')
+    odd = files.read_json_lines(spark, str(tmp_path / "odd.jsonl"), schema)
+    want = [((1, "a"), [("x", 3)], "one"), ((2, None), None, "two"), ((None, None), None, "7")]
+    assert [tuple(tuple(v) if k == "user" else [tuple(f) for f in v] if isinstance(v, list) else v for k, v in r.asDict().items()) for r in odd.collect()] == want
+    assert odd.count() == 3
     with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
         files.read_json_lines(spark, str(tmp_path / "l.jsonl"), "a INT", strict=True).collect()
 
