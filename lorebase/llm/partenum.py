@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import FOLDED_VALUES, SOLID, bytes_of, components, mix, shingle_hashes, slices, word_hashes
+from lorebase.llm.common import FOLDED_VALUES, SOLID, bytes_of, mix, shingle_hashes, slices, word_hashes
+from lorebase.operators.linking import components
 from lorebase.session import persist_table
 
 PERCENT, WIDTH = 75, 5
