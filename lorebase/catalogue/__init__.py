@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorebase.catalogue import chunks, feeds, maintain, pages, streams, texts
+from lorebase.catalogue import chunks, derived, feeds, maintain, pages, streams, texts
 from lorebase.catalogue.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "chunks", "feeds", "maintain", "pages", "streams", "texts"]
+__all__ = ["ORACLE", "QUERIES", "chunks", "derived", "feeds", "maintain", "pages", "streams", "texts"]

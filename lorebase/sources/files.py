@@ -98,7 +98,7 @@ def parse_entries(files: DataFrame) -> DataFrame:
     """``files``: path, text. The header is no YAML: lines ``key: value``, lists in brackets split at commas, outer
     quotes dropped, later keys win."""
     header = F.split(F.regexp_extract("text", _FRONT, 1), "\n")
-    lines = F.filter(F.transform(header, F.trim), lambda l: F.contains(l, F.lit(":")) & ~F.startswith(l, F.lit("#")))
+    lines = F.filter(F.transform(header, lambda l: F.trim(l)), lambda l: F.contains(l, F.lit(":")) & ~F.startswith(l, F.lit("#")))
     pairs = F.transform(lines, lambda l: F.struct(
         F.trim(F.substring_index(l, ":", 1)).alias("key"), F.trim(F.substring(l, F.instr(l, ":") + 1, F.length(l))).alias("value")
     ))
