@@ -13,7 +13,7 @@ at a level of twice as many partitions as well, and so on; such a pair has both
 Signatures meet in cells, blobs of some hundred thousand each. Sets that share one are candidates: a first pass checks the
 likeliest candidate of each set and joins what links into components; a second checks, in blocks of bounded size, all
 candidates of different components that upper bounds leave (by bitmaps, then by 16 bits of each shingle). What is left is
-compared by whole sets.
+compared by 48 bits of each shingle.
 
 Defined results: a null, empty or blank text has no shingles, links with nothing and is its own component; a text with fewer
 words than a shingle is one shingle; repeated rows and rows with a null id are members like others, and a component's id is
@@ -34,7 +34,8 @@ from lorebase.operators.linking import components
 from lorebase.session import persist_table
 
 PERCENT, WIDTH = 75, 5
-CELL_ENTRIES = 500_000
+CELL_ENTRIES = 3_000_000
+FILTER_BITS = 23
 BLOCK = 1024
 HUB_ROWS = 2048
 SPARE = 1.12
@@ -143,7 +144,7 @@ def _cells(docs: DataFrame, cells: int, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
         for batch in batches:
-            for few in slices(batch, most=4 << 20):
+            for few in slices(batch, most=2 << 20):
                 hashes, bounds = _sets(few.column("text"), width)
                 keys = _keys(hashes, bounds)
                 fresh = np.zeros(len(keys), bool)
@@ -216,66 +217,87 @@ def _near(a: str, b: str, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_apart(a, b) * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node, shingles, brief`` of the wanted nodes, some more than once; ``brief`` has 16 bits of each shingle."""
+def _sieve(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits in which the bits of ``nodes`` are set: a megabyte, however many there are."""
+    place = F.col("node").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = nodes.select(F.shiftright(place, 6).alias("word"), F.lit(1).cast("long").alias("one"), place.bitwiseAND(63).cast("int").alias("at"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for row in words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, at)")).alias("bits")).collect():  # as many rows as ``out`` has words at most
+        out[row["word"]] = row["bits"]
+    return out.view(np.uint64)
+
+
+def _whole_sets(docs: DataFrame, sieve: np.ndarray, width: int, brief: bool) -> DataFrame:
+    """``node, own``: the shingles of the sets that pass the sieve, some more than once, a join sorts out the rest.
+
+    48 bits of each shingle, the upper 32 of all and then the lower 16 of all; with ``brief`` the lower 16 alone.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
         for batch in batches:
             for few in slices(batch):
                 hashes, bounds = _sets(few.column("text"), width)
                 keys = _keys(hashes, bounds)
+                place = keys & ((1 << FILTER_BITS) - 1)
+                chosen = np.flatnonzero((keys != 0) & ((sieve[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)) == 1))
                 if len(passed) > 1_000_000:
                     passed.clear()
                 rows = []
-                for i, node in enumerate(keys.tolist()):
-                    if node and node not in passed:
+                for i in chosen.tolist():
+                    node = int(keys[i])
+                    if node not in passed:
                         passed.add(node)
                         own = hashes[bounds[i]:bounds[i + 1]]
-                        rows.append((node, own.tobytes(), (own & np.uint64(0xFFFF)).astype("<u2").tobytes()))
+                        rows.append((node, (b"" if brief else (own >> np.uint64(16)).astype("<u4").tobytes()) + own.astype("<u2").tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                                                     names=["node", "shingles", "brief"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["node", "own"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles binary, brief binary").join(wanted, "node", "left_semi")
+    return docs.select("text").mapInArrow(run, "node long, own binary")
 
 
-def verify(edges: DataFrame, sets: DataFrame, percent: int = PERCENT, brief: bool = False) -> DataFrame:
-    """The candidates ``a, b`` that link; with ``brief``, those that 16 bits of each shingle don't rule out.
+def verify(edges: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, brief: bool = False) -> DataFrame:
+    """The candidates ``a, b`` (a written table) that link; with ``brief``, those that 16 bits of each shingle don't rule out.
 
-    Members b meet their hub a sorted, so a task streams them; large hubs are salted.
+    Sets are made from the texts again and only those of candidates are dealt out. Members b meet their hub a sorted,
+    so a task streams them; large hubs are salted.
     """
-    own_sets = sets.select("node", F.col("brief" if brief else "shingles").alias("own"))
     salts = edges.groupBy("a").agg((F.floor(F.count(F.lit(1)) / HUB_ROWS) + 1).alias("salts"))
-    salted = edges.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    members = salted.join(own_sets, salted["b"] == own_sets["node"]).select("a", "salt", F.lit(1).alias("role"), "b", "own")
-    hubs = salts.select("a", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"))
-    hubs = hubs.join(own_sets, hubs["a"] == own_sets["node"]).select("a", "salt", F.lit(0).alias("role"), F.lit(0).cast("long").alias("b"), "own")
+    members = edges.join(salts, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.lit(1).alias("role"))
+    hubs = salts.select(F.col("a").alias("node"), "a", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("role"))
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    met = members.unionByName(hubs).join(_whole_sets(docs, _sieve(ends), width, brief), "node")
+
+    def whole(data: bytes) -> np.ndarray:
+        n = len(data) // 6
+        return (np.frombuffer(data, "<u4", n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(data, "<u2", n, 4 * n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, whole = None, np.zeros(0, np.uint64)
-        marked = np.zeros(1 << 16, bool)
+        hub, size, own_hub, marked = None, 0, np.zeros(0, np.uint64), np.zeros(1 << 16, bool)
         for batch in batches:
             out = []
-            for a, role, b, data in zip(batch["a"].to_pylist(), batch["role"].to_pylist(), batch["b"].to_pylist(), batch["own"].to_pylist(), strict=True):
-                own = np.frombuffer(data, "<u2" if brief else "<u8")
+            for node, a, role, data in zip(*(batch[c].to_pylist() for c in ("node", "a", "role", "own")), strict=True):
+                own = np.frombuffer(data, "<u2") if brief else whole(data)
                 if role == 0:
                     if a != hub:
-                        marked[whole if brief else whole[:0].astype(np.intp)] = False
-                        hub, whole = a, own
-                        marked[own if brief else own[:0].astype(np.intp)] = True
+                        hub, size = a, len(own)
+                        if brief:
+                            marked[:] = False
+                            marked[own] = True
+                        else:
+                            own_hub = np.sort(own)
                 elif a == hub:
                     if brief:
                         both = int(np.count_nonzero(marked[own]))
                     else:
-                        place = np.searchsorted(whole, own)
-                        place[place == len(whole)] = 0
-                        both = int(np.count_nonzero(whole[place] == own))
-                    if 100 * both >= percent * (len(own) + len(whole) - both):
-                        out.append((a, b))
+                        place = np.searchsorted(own_hub, own)
+                        place[place == size] = 0
+                        both = int(np.count_nonzero(own_hub[place] == own))
+                    if 100 * both >= percent * (len(own) + size - both):
+                        out.append((a, node))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return members.unionByName(hubs).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a long, b long")
+    return met.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a long, b long")
 
 
 def _across(percent: int):
@@ -321,9 +343,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     near = chain.join(nodes.alias("p"), F.col("a") == F.col("p.node")).join(nodes.alias("q"), F.col("b") == F.col("q.node")).where(_near("p", "q", percent))
     first = persist_table(near.groupBy("b").agg(F.min(F.struct(_apart("p", "q"), "a")).alias("x")).select("x.a", "b"), "candidates")
     listed = lists.select("list", F.explode("nodes").alias("node"))
-    wanted = persist_table(listed.select("node").distinct(), "wanted")
-    sets = persist_table(_whole_sets(docs, wanted, width), "shingles")
-    links = persist_table(verify(first, sets, percent), "links")
+    links = persist_table(verify(first, docs, percent, width), "links")
     parts = components(links)
     placed = listed.join(parts, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
     open_ = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("list")
@@ -335,8 +355,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     member = F.struct("node", "component", *info)
     blocks = blocks.groupBy("list", "i", "j").agg(*[F.collect_list(F.when(F.col("side") == n, member)).alias(s) for n, s in enumerate(("left", "right"))])
     pairs = blocks.select("left", "right").mapInArrow(_across(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    likely = persist_table(verify(persist_table(pairs, "candidates"), sets, percent, brief=True), "candidates")
-    more = persist_table(verify(likely, sets, percent), "links")
+    likely = persist_table(verify(persist_table(pairs, "candidates"), docs, percent, width, brief=True), "candidates")
+    more = persist_table(verify(likely, docs, percent, width), "links")
     if more.limit(1).count():
         parts = components(links.unionByName(more))
     named = nodes.select("node", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
