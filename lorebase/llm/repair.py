@@ -1,7 +1,7 @@
 """Token ids in files compressed by Re-Pair grammars.
 
 Each shard of about a million ids gets rules: rounds count neighbouring pairs, turn the most frequent ones into
-nonterminals and replace them, until no pair is frequent enough. A shard stores its rules, the length each nonterminal
+nonterminals and replace them, until no pair is frequent enough or a round gains next to nothing. A shard stores its rules, the length each nonterminal
 expands to, the compressed ids and where each document starts in them, so a document is decoded by reading its own slice.
 Documents are encoded and written in ascending id; a shard never holds more than its bound (a longer document is a shard
 of its own), and no pair spans two documents.
@@ -29,6 +29,7 @@ SHARD_IDS = 1 << 20
 ROUNDS = 5
 RULES_A_ROUND = 1024
 LEAST_COUNT = 64
+LEAST_GAIN = 0.02
 _BINS = 1 << 18
 SHARD = ("part int, shard int, start_in_part long, n_ids long, least_doc long, most_doc long, first_rule int, rules binary, lengths binary, ids binary, doc_ids binary, "
          "doc_null binary, doc_places binary, doc_sizes binary")
@@ -70,7 +71,9 @@ def compress(ids: np.ndarray, borders: np.ndarray, first_rule: int, rounds: int
         keep = np.ones(len(ids), bool)
         keep[at + 1] = False
         borders = np.concatenate([[0], np.cumsum(keep)])[borders]
-        ids = ids[keep]
+        ids, before = ids[keep], len(ids)
+        if before - len(ids) < LEAST_GAIN * before:
+            break
     return ids, borders, rules, lengths
 
 
