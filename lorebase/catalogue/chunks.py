@@ -10,6 +10,7 @@ from lorebase.functions import scoring as S
 from lorebase.functions.text import compact as flat
 from lorebase.functions.text import sha256
 from lorebase.operators import indexing, search
+from lorebase.session import persist_table
 from lorebase.sources.adapters import (
     conversation_sources, document_sources, page_sources, query_vector, table, url_path,
 )
@@ -142,7 +143,7 @@ def evidence_records(spark, folder):
     FROM chunks LEFT JOIN old USING (text_hash)""")
 def vector_reuse(spark, folder):
     """The previous index held the labelled documents; what of today's index can keep its vectors?"""
-    chunks = document_chunks(spark, folder)
+    chunks = persist_table(document_chunks(spark, folder).select("ordinal", "text_hash"), "chunks")  # chunked once, read twice
     labelled = table(spark, folder, "labels").select(F.col("doc_id").alias("ordinal"))
     return indexing.reuse_counts(chunks, chunks.join(labelled, "ordinal", "left_semi"))
 

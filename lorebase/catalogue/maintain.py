@@ -47,12 +47,37 @@ def change_counts(spark, folder):
     return snapshots.change_counts(snapshots.diff_snapshots(*two_snapshots(spark, folder)))
 
 
-@query("change_records")
+def _starts(sign):
+    return lambda line: F.startswith(line, F.lit(sign))
+
+
+_NET = """array_to_string(list_sort(flatten(list_transform(list_distinct({0}), lambda l: list_transform(
+    range(greatest(0, len(list_filter({0}, lambda x: x = l)) - len(list_filter({1}, lambda x: x = l)))), lambda i: l)))), chr(10))"""
+
+
+@query("change_records", f"""
+    WITH {_OLD}, {_NEW}, c AS (SELECT coalesce(old.key, new.key) AS key, coalesce(old.doc_id, new.doc_id) AS doc_id,
+        CASE WHEN old.key IS NULL THEN 'added' WHEN new.key IS NULL THEN 'removed' ELSE 'modified' END AS type
+        FROM old FULL JOIN new ON old.key = new.key WHERE old.sha IS DISTINCT FROM new.sha),
+    l AS (SELECT key, type, lang AS section, CASE WHEN type = 'added' THEN substr({compact(redact('text'))}, 1, 1000) END AS text_preview,
+        string_split(text, chr(10)) AS o, string_split({redact('text')}, chr(10)) AS n FROM c JOIN documents USING (doc_id))
+    SELECT key, type, section, text_preview, CASE WHEN type = 'modified' THEN {_NET.format('o', 'n')} END AS net_removed,
+        CASE WHEN type = 'modified' THEN {_NET.format('n', 'o')} END AS net_added FROM l""")
 def change_records(spark, folder):
-    """Line diffs of the changed pages; SQL has no unified diff, tests compare with difflib."""
+    """What the line diffs of the changed pages take away and add in the end, moved lines left out."""
     previous, current = two_snapshots(spark, folder)
-    records = snapshots.change_records(snapshots.diff_snapshots(previous, current), previous, current, "2026-06-12T02:00:00+00:00")
-    return records.select("key", "type", "section", "text_preview", F.array_join("diff", "\n").alias("diff"))
+    records = snapshots.change_records(snapshots.diff_snapshots(previous, current), previous, current, "2026-06-12T02:00:00+00:00", 1 << 30)
+    body = F.expr("slice(diff, 3, greatest(size(diff) - 2, 0))")
+    lines = records.select("key", "type", "section", "text_preview", *[
+        F.transform(F.filter(body, _starts(sign)), lambda x: F.substr(x, F.lit(2))).alias(name)
+        for sign, name in (("-", "gone"), ("+", "come"))])
+
+    def net(one: str, other: str) -> F.Column:
+        count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
+        each = F.transform(F.array_distinct(one), lambda x: F.array_repeat(x, F.greatest(F.lit(0), count(one, x) - count(other, x))))
+        return F.when(F.col("type") == "modified", F.array_join(F.sort_array(F.flatten(each)), "\n"))
+
+    return lines.select("key", "type", "section", "text_preview", net("gone", "come").alias("net_removed"), net("come", "gone").alias("net_added"))
 
 
 @query("change_log", f"""

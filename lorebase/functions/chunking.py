@@ -17,6 +17,7 @@ from lorebase.functions.text import bind, lstrip, normalise_export, normalise_ne
 
 BLOCK = 65536
 _NO_STRINGS = "array<string>"
+_PARAGRAPHS = 256
 
 
 def _blocks(text: Column) -> Column:
@@ -76,13 +77,24 @@ def paragraph_chunks(text: Column, limit: int = rules.CHUNK_CHARS, overlap: int
             F.length(joined) <= limit, F.struct(joined.alias("open"), ready.alias("done"))
         ).otherwise(F.struct(carried.alias("open"), F.array_append(ready, pending).alias("done")))
 
+    def take(state: Column, block: Column) -> Column:
+        # chunks gather per block of paragraphs, so that no paragraph copies all chunks before it
+        start = F.struct(state["open"].alias("open"), F.array().cast(_NO_STRINGS).alias("done"))
+        return bind(F.aggregate(block, start, pack), lambda s: F.struct(
+            s["open"].alias("open"), F.array_append(state["done"], s["done"]).alias("done")))
+
+    def in_blocks(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / _PARAGRAPHS).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_, b * _PARAGRAPHS + 1, F.lit(_PARAGRAPHS)))
+        return F.when(F.size(all_) > 0, cut).otherwise(F.array().cast("array<array<string>>"))
+
     paragraphs = F.filter(
         F.transform(F.split(normalise_newlines(text), rf"\n{rules.SPACE}*\n"), strip), lambda p: p != ""
     )
-    start = F.struct(F.lit("").alias("open"), F.array().cast(_NO_STRINGS).alias("done"))
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<array<string>>").alias("done"))
     return F.aggregate(
-        paragraphs, start, pack,
-        lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])),
+        bind(paragraphs, in_blocks), start, take,
+        lambda s: F.flatten(F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], F.array(s["open"])))),
     )
 
 

@@ -52,13 +52,12 @@ PUBLISH_SECRET_PATTERNS = (
 )
 PUBLISH_DENIED_NAME_PARTS = ("token_cache", ".onepkg", ".onetoc2")
 PUBLISH_MAX_BYTES = 10 * 1024 * 1024
-BINARY_SNIFF_BYTES = 8192
 
 # --- relevance hints and noise markers (substring tests on case-folded text) ------------------------------
 INDEX_HINTS = (
     "lab", "实验", "采购", "报价", "invoice", "quotation", "quote", "order", "shipment", "delivery", "laser",
     "cavity", "finesse", "finess", "vacuum", "dds", "artiq", "yb", "ion", "atom", "optical", "moku",
-    "liquid instruments", "hku",
+    "liquid instruments",
 )
 INDEX_NOISE = (
     "verification code", "login code", "security code", "one-time code", "验证码", "登录码", "安全码",
@@ -124,7 +123,7 @@ HIGH_BAND, MEDIUM_BAND = 20.0, 8.0
 CANDIDATES, CANDIDATES_MIN, RERANK_WIDTH, ANSWER_WIDTH = 40, 10, 24, 8
 DEFAULT_TOP_K, MAX_TOP_K = 5, 8
 PAGE_TOP_K, MEMORY_TOP_K, FILE_TOP_K = 5, 10, 3
-CHUNK_SNIPPET, PAGE_SNIPPET, MEMORY_SNIPPET, RERANK_SNIPPET = 900, 360, 220, 1000
+CHUNK_SNIPPET, MEMORY_SNIPPET, RERANK_SNIPPET = 900, 220, 1000
 UNKNOWN_ANSWER = "no clear record found"
 
 # --- chunking ----------------------------------------------------------------------------------------------
@@ -151,7 +150,7 @@ FACT_PATTERN = (
     r"(\d+(?:\.\d+)?\s?(?:nm|MHz|GHz|kHz|mW|W|V|A|mm|cm|m|Torr|Pa|℃|C|dbm|dBm|USD|HKD|RMB|¥|%))"
     r"|(\b20\d{2}[-/]\d{1,2}[-/]\d{1,2}\b)|(\b\d{1,2}/\d{1,2}/20\d{2}\b)"
 )
-MAX_TAGS, MAX_FACTS, MAX_STEPS, MAX_ATTACHMENTS, SUMMARY_CHARS = 12, 8, 6, 30, 320
+MAX_TAGS, MAX_FACTS, MAX_STEPS, SUMMARY_CHARS = 12, 8, 6, 320
 SECTION_FACTS_PER_PAGE, SECTION_FACTS, SECTION_TAGS, SECTION_SUMMARY_TAGS = 2, 12, 12, 8
 MIN_SENTENCE, FACT_MIN_CHARS, FACT_MAX_CHARS = 8, 20, 260
 MANIFEST_PREVIEW, ADDED_PREVIEW = 260, 1000
@@ -170,12 +169,8 @@ UNSORTED_SECTION = "Unsorted Communication Records"
 RECORD_SECTION, ATTACHMENT_SECTION = "Communication Records", "Communication Attachments"
 CONTEXT_TURNS, CONTEXT_AGE_SECONDS, CONTEXT_KEPT = 6, 1800, 10
 SEEN_LIMIT = 5000
-MAIL_BATCH = 50
 MILLIS_THRESHOLD = 10_000_000_000
-BODY_CHARS, EXTRACT_CHARS = 60000, 80000
-DIGEST_BUDGET = {"email": 40000, "telegram": 12000, "lark": 16000}
 SELF_DOC_FILE_CHARS, SELF_DOC_TOTAL_CHARS = 18000, 125000
-REPLY_CHARS = {"telegram": 3800, "lark": 1800}
 MAX_DIFF_LINES, DIFF_CONTEXT = 500, 3
 
 # --- files -------------------------------------------------------------------------------------------------
@@ -240,7 +235,6 @@ READABLE_KEYS = (
 REPLY_PRIORITY_WORDS = ("解决", "正常", "成功", "结论", "滤波", "功放", "避免", "参数", "温度", "时间")
 
 # --- memory entries ----------------------------------------------------------------------------------------
-ENTRY_REQUIRED = ("id", "title", "type", "status", "date", "source_refs", "summary")
 ENTRY_ID_PATTERN = r"^[a-z0-9][a-z0-9_-]{2,80}$"
 ENTRY_DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 ENTRY_TYPES = (
