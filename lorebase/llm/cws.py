@@ -48,7 +48,7 @@ def _sample(word: Column, log_weight: Column, number: int, r_table: Column, c_ta
     r = F.get(r_table, h.bitwiseAND(QUANTILES - 1).cast("int"))
     log_c = F.get(c_table, F.shiftrightunsigned(h, 10).bitwiseAND(QUANTILES - 1).cast("int"))
     b = F.shiftrightunsigned(h, 20).bitwiseAND(0xFFFFF).cast("double") * F.lit(2.0 ** -20)
-    t = F.floor(log_weight / r + b)
+    t = F.when(log_weight > 0, F.floor(log_weight / r + b)).otherwise(F.lit(0).cast("long"))  # 0 for the many words that occur once
     value = ((log_c - r * (t - b + 1) + 64) * F.lit(2.0 ** 31)).cast("long")
     return F.shiftleft(value, 24).bitwiseOR(F.shiftrightunsigned(h, 40).bitwiseXOR(t * 7919).bitwiseAND(_LOW))
 
