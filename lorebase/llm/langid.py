@@ -28,6 +28,7 @@ from lorebase.llm.common import mix, slices
 
 GRAMS = 4
 BITS = 15
+SALTS = 64
 PER_LANGUAGE, MOST, LANDMARKS, RIDGE, SHARPNESS = 300, 3000, 256, 1e-2, 6.0
 
 
@@ -70,9 +71,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, lan
     """Learns from the rows of ``docs`` whose language is not null."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
     shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    order = Window.partitionBy("lang").orderBy("_mix", "doc_id")
-    picked = (rows.select("doc_id", "lang", shuffled.alias("_mix")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
-              .orderBy("_n", "lang").limit(most))
+    first = Window.partitionBy("lang", "_salt").orderBy("_mix", "doc_id")  # a language is spread over tasks first
+    picked = rows.select("doc_id", "lang", shuffled.alias("_mix"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("_salt"))
+    picked = picked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
+    picked = picked.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_mix", "doc_id"))).where(F.col("_n") <= per_language)
+    picked = picked.orderBy("_n", "lang").limit(most)
     chosen = rows.join(F.broadcast(picked.select("doc_id", "lang", "_n").distinct()), ["doc_id", "lang"])  # at most ``most`` rows
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
