@@ -16,6 +16,8 @@ so further columns can't clash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,22 @@ def link(parsed: DataFrame) -> DataFrame:
     return best.select("thread", "m", "level", F.col("b.o.turn").alias("turn"), F.col("b.o.m").alias("original"))
 
 
+def _to_roots(step: DataFrame) -> DataFrame:
+    """Pointer doubling over ``thread, m, up, up_turn, depth``: ``up`` becomes the root, ``depth`` the way to it.
+
+    Only messages that are not there yet take part in a round, so short threads leave a long one's rounds.
+    """
+    done, active = [step.where("depth = 0")], step.where("depth > 0")
+    while True:
+        above = reduce(DataFrame.unionByName, [active, *done[1:]]).select("thread", F.col("m").alias("up"), F.col("up").alias("next"), F.col("up_turn").alias("next_turn"), F.col("depth").alias("more"))
+        fresh = persist_table(active.join(above, ["thread", "up"], "left").select(
+            "thread", "m", F.coalesce("next", "up").alias("up"), F.coalesce("next_turn", "up_turn").alias("up_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "replies")
+        done.append(fresh.where("not moved").drop("moved"))
+        active = fresh.where("moved").drop("moved")
+        if not active.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+
+
 def conversations(messages: DataFrame, thread: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``thread, turn, role, copies, own, n_quotes, n_linked, reply_to, root, depth, place`` of every message.
 
@@ -83,14 +101,7 @@ def conversations(messages: DataFrame, thread: str = "conv_id", turn: str = "tur
     nodes = parsed.select("thread", "turn", "role", "m", "copies", "own", F.size("quotes").alias("n_quotes"))
     nodes = nodes.join(parents, ["thread", "m"], "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0)).cast("int"))
     step = nodes.select("thread", "m", F.coalesce("p.original", "m").alias("up"), F.coalesce(-F.col("p.back"), "turn").alias("up_turn"), F.col("p").isNotNull().cast("int").alias("depth"))
-    step = persist_table(step, "replies")
-    while True:
-        above = step.select("thread", F.col("m").alias("up"), F.col("up").alias("next"), F.col("up_turn").alias("next_turn"), F.col("depth").alias("more"))
-        fresh = persist_table(step.join(above.where("more > 0"), ["thread", "up"], "left").select(
-            "thread", "m", F.coalesce("next", "up").alias("up"), F.coalesce("next_turn", "up_turn").alias("up_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "replies")
-        step = fresh.drop("moved")
-        if not fresh.where("moved").limit(1).count():
-            break
+    step = _to_roots(persist_table(step, "replies"))
     placed = nodes.join(step, ["thread", "m"], "left")
     placed = placed.select("thread", "turn", "role", "copies", "own", "n_quotes", "n_linked", (-F.col("p.back")).alias("reply_to"), F.coalesce("up_turn", "turn").alias("root"),
                            F.coalesce("up", "m").alias("root_m"), F.coalesce("depth", F.lit(0)).alias("depth"), "m")
