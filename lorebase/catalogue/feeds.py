@@ -229,7 +229,7 @@ def allow_list(spark, folder):
 @query("retained_ids", """
     SELECT id FROM (SELECT DISTINCT event_id::VARCHAR AS id FROM events) ORDER BY id DESC LIMIT 5000""")
 def retained_ids(spark, folder):
-    return messages.retained_ids(table(spark, folder, "events").select(F.col("event_id").alias("id")), "id")
+    return messages.retained_ids(table(spark, folder, "events").select(F.col("event_id").alias("id")), "id", rules.SEEN_LIMIT)
 
 
 @query("append_once", """

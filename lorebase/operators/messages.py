@@ -35,8 +35,9 @@ def bootstrap_split(messages: DataFrame, bootstrapped_chats: DataFrame, seen: Da
     return routed.withColumn("action", action).drop("_known", "_seen")
 
 
-def retained_ids(ids: DataFrame, key: str, limit: int = rules.SEEN_LIMIT) -> DataFrame:
-    """The ids a mail state keeps: the last ``limit`` in string order."""
+def retained_ids(ids: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ids a mail state of bounded length keeps: the last ``limit`` in string order, so older ids may come back as new.
+    Use a watermark on the stream (``live_messages``) where that matters."""
     return ids.select(F.col(key).cast("string").alias(key)).distinct().orderBy(F.desc(key)).limit(limit)
 
 
