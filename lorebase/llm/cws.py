@@ -3,8 +3,9 @@
 A text is a bag of words, each weighted by how often it occurs. For every word and every sample number the hash of both
 gives two gamma variables r, c and a uniform one b, the same in every text. With t = floor(ln(weight) / r + b) the sample
 is the pair (word, t) for which ln(c) - r * (t - b + 1) is least, and two texts have equal samples with a chance equal to
-their generalised Jaccard similarity, sum of least over sum of greatest weights. Gamma variables come from tables of their
-quantiles, so that a sample costs no logarithm. A fingerprint is the list of hashed samples.
+their generalised Jaccard similarity, sum of least over sum of greatest weights. A gamma variable is minus the logarithm of the
+product of two uniform ones, of 32 bits each for c and 22 for r: the tails that decide a minimum over many words are whole.
+A fingerprint is the list of hashed samples.
 
 All on Spark's functions: words are counted and minima taken by hash aggregates over rows that already lie together by
 document, so no word is shuffled.
@@ -15,42 +16,29 @@ rows. Only the named columns are read, so further columns can't clash.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.session import persist_table
 
 SAMPLES = 64
-QUANTILES = 1024
 _LOW = (1 << 24) - 1
 
 
-def gamma_quantiles(n: int = QUANTILES) -> np.ndarray:
-    """The middle of each of ``n`` equal shares of the gamma distribution of shape 2, by bisection."""
-    share = (np.arange(n) + 0.5) / n
-    low, high = np.zeros(n), np.full(n, 60.0)
-    for _ in range(80):
-        middle = (low + high) / 2
-        below = 1 - np.exp(-middle) * (1 + middle) < share
-        low, high = np.where(below, middle, low), np.where(below, high, middle)
-    return low
+def _uniform(h: Column, at: int, bits: int) -> Column:
+    """The middle of one of 2**bits equal shares of (0, 1), by the bits of ``h`` from ``at`` on."""
+    return (F.shiftrightunsigned(h, at).bitwiseAND((1 << bits) - 1).cast("double") + 0.5) * F.lit(2.0 ** -bits)
 
 
-def _table(values: np.ndarray) -> Column:
-    """A constant array; as one text it stays a small expression until Spark folds it."""
-    return F.split(F.lit(",".join(f"{v:.7g}" for v in values)), ",").cast("array<double>")
-
-
-def _sample(word: Column, log_weight: Column, number: int, r_table: Column, c_table: Column) -> Column:
+def _sample(word: Column, log_weight: Column, number: int) -> Column:
     """What is least for the sampled word: the sampling value above, 24 bits of (word, t) below."""
-    h = F.xxhash64(word, F.lit(number))
-    r = F.get(r_table, h.bitwiseAND(QUANTILES - 1).cast("int"))
-    log_c = F.get(c_table, F.shiftrightunsigned(h, 10).bitwiseAND(QUANTILES - 1).cast("int"))
-    b = F.shiftrightunsigned(h, 20).bitwiseAND(0xFFFFF).cast("double") * F.lit(2.0 ** -20)
+    h, g = F.xxhash64(word, F.lit(number)), F.xxhash64(word, F.lit(~number))
+    log_c = F.log(-F.log(_uniform(h, 0, 32) * _uniform(h, 32, 32)))
+    r = -F.log(_uniform(g, 0, 22) * _uniform(g, 22, 22))
+    b = _uniform(g, 44, 20)
     t = F.when(log_weight > 0, F.floor(log_weight / r + b)).otherwise(F.lit(0).cast("long"))  # 0 for the many words that occur once
-    value = ((log_c - r * (t - b + 1) + 64) * F.lit(2.0 ** 31)).cast("long")
-    return F.shiftleft(value, 24).bitwiseOR(F.shiftrightunsigned(h, 40).bitwiseXOR(t * 7919).bitwiseAND(_LOW))
+    value = ((log_c - r * (t - b + 1) + 96) * F.lit(2.0 ** 31)).cast("long")
+    return F.shiftleft(value, 24).bitwiseOR(word.bitwiseXOR(t * 7919).bitwiseAND(_LOW))  # no bits that the value depends on
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -61,9 +49,7 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str = "text", samples:
     words = rows.select(*keys, F.explode(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), "\n\r\t", "   "), " ")).alias("_word"))
     weights = words.select(*keys, F.xxhash64("_word").alias("_w")).groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n"))
     weights = weights.select(*keys, "_w", F.log(F.col("_n").cast("double")).alias("_ln"))
-    quantiles = gamma_quantiles()
-    r_table, c_table = _table(quantiles), _table(np.log(quantiles))
-    least = weights.groupBy(*keys).agg(*[F.min(_sample(F.col("_w"), F.col("_ln"), i, r_table, c_table)).alias(f"_s{i}") for i in range(samples)])
+    least = weights.groupBy(*keys).agg(*[F.min(_sample(F.col("_w"), F.col("_ln"), i)).alias(f"_s{i}") for i in range(samples)])
     return least.select(*keys, F.array(*[F.col(f"_s{i}").bitwiseAND(_LOW).cast("int") for i in range(samples)]).alias("samples"))
 
 

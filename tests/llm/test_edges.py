@@ -15,6 +15,20 @@ def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).collect() == []
 
 
+def test_samples_of_long_texts_come_from_words_by_weight(spark):
+    """20,000 distinct words, half of them with weight 8: against the heavy half alone the samples agree in 8 of 9."""
+    from lorebase.llm import cws
+
+    rows = []
+    for i in range(8):
+        heavy = " ".join(f"h{i}x{j}" for j in range(10_000))
+        light = " ".join(f"l{i}x{j}" for j in range(10_000))
+        rows += [(i, "a", " ".join([heavy] * 8 + [light])), (i, "b", " ".join([heavy] * 8))]
+    prints = cws.fingerprints(spark.createDataFrame(rows, "i INT, side STRING, text STRING").repartition(4), ["i", "side"]).collect()
+    sides = {(r["i"], r["side"]): np.array(r["samples"]) for r in prints}
+    assert abs(np.mean([sides[i, "a"] == sides[i, "b"] for i in range(8)]) - 8 / 9) < 0.04
+
+
 def test_packing_plan_covers_the_counts_and_never_overfills():
     rng = random.Random(1)
     for _ in range(30):
