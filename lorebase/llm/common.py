@@ -123,7 +123,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int = 5) -> tup
         n = len(words)
         rolled = np.zeros(max(0, n - width + 1), np.uint64)
         for j in range(width):
-            rolled += words[j:n - width + 1 + j] * np.uint64(pow(_ODD, j + 1, 1 << 64))
+            rolled += words[j:j + len(rolled)] * np.uint64(pow(_ODD, j + 1, 1 << 64))
         long = np.flatnonzero(counts >= width)
         texts = np.repeat(long, counts[long] - width + 1)
         at = np.arange(len(texts)) - np.repeat(np.cumsum(counts[long] - width + 1) - (counts[long] - width + 1), counts[long] - width + 1)

@@ -142,10 +142,11 @@ class Items:
                 slack = stride + np.abs(self.sizes[item] - size) + 1
                 low = np.maximum(starts[window] - slack, bounds[text[window]])
                 high = np.minimum(stop[window] + slack, bounds[text[window] + 1])
-                full = known[high] - known[low] >= self.needed[item]
+                # a text's run of fewer words than a shingle is not among its shingles, so such items are always verified
+                full = (self.sizes[item] < self.width) | (known[high] - known[low] >= self.needed[item])
                 for w, i, lo, hi in zip(window[full].tolist(), item[full].tolist(), low[full].tolist(), high[full].tolist(), strict=True):
                     key = int(text[w]), i
-                    if (key[0], i, lo) in tried:
+                    if (key[0], i, lo) in tried or best.get(key, (0.0,))[0] == 1.0:
                         continue
                     tried.add((key[0], i, lo))
                     n = int(self.sizes[i])

@@ -143,6 +143,18 @@ def test_leaks_are_found_at_any_place_and_with_edits():
     assert len(found & {(i, i) for i in want}) >= 59 and len(found) <= 60
 
 
+def test_items_of_one_to_four_words_are_found_in_long_texts():
+    from tests.llm.test_results import best_similarity, plain_words
+
+    rng = random.Random(4)
+    items = ["alone", "two words", "three word item", "item of four words", "absent", "words two"]
+    texts = [" ".join([prose(rng, rng.randint(0, 60)), item, prose(rng, rng.randint(6, 60)), item]) for item in items[:4]] + ["two words", "alone", prose(rng, 40), "word"]
+    index = decontam.Items(list(range(len(items))), items)
+    found = {(row, index.ids[item]): value for row, item, *_, value in index.leaks(pa.array(texts))}
+    pairs = {(i, j): best_similarity(plain_words(t), plain_words(x)) for i, t in enumerate(texts) for j, x in enumerate(items)}
+    assert found == {k: v for k, v in pairs.items() if v >= 0.75} and len(found) == 6
+
+
 def test_more_items_than_fit_one_group(spark, folder):
     docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
     key = lambda df: {(r["doc_id"], r["item_id"]) for r in df.collect()}
