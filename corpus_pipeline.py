@@ -1,8 +1,8 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 1. ``quality``: texts that the quadratic discriminant scores below one half go.
-2. ``near_duplicates``: of each component of linked texts the document with the smallest id stays. Rows of one id and text
-   count once. Rows without an id can't be named as a copy and stay.
+2. ``near_duplicates``: of each component of linked texts the document with the smallest id stays; where several of its texts
+   have that id, one of them. Rows of one id and text count once. Rows without an id can't be named as a copy and stay.
 3. ``decontamination``: documents that hold a benchmark item go.
 4. ``secrets``: secrets that are not widely copied examples are masked; every document stays.
 5. ``packing``: what is left becomes sequences of at most 2048 tokens; a row per piece.
@@ -30,8 +30,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = partenum.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("_digest", F.xxhash64("text")).dropDuplicates(["doc_id", "_digest"])
+    keyed = docs.withColumn("_digest", F.xxhash64("text"))
+    first = partenum.near_duplicates(keyed, digest="_digest").where("doc_id = component_id")
+    linked = first.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("x")).select("x.*")
+    kept = linked.unionByName(first.where("component is null").select("doc_id", "digest")).distinct().withColumnRenamed("digest", "_digest")
+    once = keyed.join(kept, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"])
     return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

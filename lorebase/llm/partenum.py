@@ -64,8 +64,12 @@ def _keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size > 0, out | np.uint64(1), np.uint64(0)).astype(np.uint64).view(np.int64)
 
 
-def describe(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, node, s0..s7``: the set of each row; ``s`` is a bitmap in which each shingle turns one bit."""
+def describe(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", digest: str | None = None) -> DataFrame:
+    """``doc_id, n_shingles, node, s0..s7``: the set of each row; ``s`` is a bitmap in which each shingle turns one bit.
+
+    ``digest`` names a long column to be carried along as ``digest``.
+    """
+    carried = ["digest"] if digest else []
     names = [f"s{j}" for j in range(_SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +81,12 @@ def describe(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str
                 odd = (np.bincount(owner * 512 + place, minlength=few.num_rows * 512) & 1).astype(np.uint8).reshape(-1, 512)
                 sketch = np.packbits(odd, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [few.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_keys(hashes, bounds)), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(_SKETCH))],
-                    names=["doc_id", "n_shingles", "node", *names])
+                    [few.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_keys(hashes, bounds)), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(_SKETCH)), *(few.column(c) for c in carried)],
+                    names=["doc_id", "n_shingles", "node", *names, *carried])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, node long, " + ", ".join(f"{s} long" for s in names))
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *[F.col(digest).alias(c) for c in carried]).mapInArrow(
+        run, f"doc_id {kind}, n_shingles long, node long, " + ", ".join(f"{s} long" for s in [*names, *carried]))
 
 
 def bands(most: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
@@ -330,10 +334,15 @@ def _across(percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, key: str = "doc_id", text: str = "text",
-                    cell_entries: int = CELL_ENTRIES, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
+                    cell_entries: int = CELL_ENTRIES, block: int = BLOCK, digest: str | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row.
+
+    With ``digest``, a long column that tells apart the texts of one id, also ``digest`` and ``component``: the component itself,
+    as two may have the same least id; null for an empty set.
+    """
+    extra = ["digest", "component"] if digest else []
+    described = persist_table(describe(docs, width, key, text, digest), "sets")
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    described = persist_table(describe(docs, width), "sets")
     info = ["n_shingles", *(f"s{j}" for j in range(_SKETCH))]
     nodes = persist_table(described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.max(c).alias(c) for c in info]), "nodes")
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
@@ -361,6 +370,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
         parts = components(links.unionByName(more))
     named = nodes.select("node", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = persist_table(named.join(least, "component").select("node", "component_id"), "components")
-    full = described.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = persist_table(named.join(least, "component").select("node", "component_id", *extra[1:]), "components")
+    full = described.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id", *extra)
+    alone = described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *extra[:1])
+    return full.unionByName(alone, allowMissingColumns=True)

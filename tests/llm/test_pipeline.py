@@ -43,3 +43,11 @@ def test_empty(spark, empty):
 
 def test_whole_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 50
+
+
+def test_repeated_ids_are_told_apart_by_their_texts(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(3, one), (7, one + " more"), (7, two), (7, three), (9, three + " more"), (7, two + " more"), (5, ""), (5, None), (7, two)]
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id LONG, text STRING"), "").collect()]
+    pair = [x for x in kept if x[1] in (two, two + " more")]
+    assert len(pair) == 1 and {x for x in kept if x not in pair} == {(3, one), (7, three), (5, ""), (5, None)} and len(kept) == 5
