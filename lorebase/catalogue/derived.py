@@ -5,6 +5,7 @@ Each input is one expression, written once and put into both engines, e.g. the t
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorebase import rules
@@ -13,6 +14,7 @@ from lorebase.functions import html as H
 from lorebase.functions import intent as I
 from lorebase.functions import text as T
 from lorebase.operators import publish
+from lorebase.operators.grouping import TEXTS_PER_BLOCK
 from lorebase.sources import chat, files, mail
 from lorebase.sources.adapters import host, table, url_path
 from lorebase.sources.binaries import decode_text
@@ -166,9 +168,18 @@ def decoded_files(spark, folder):
 @query("manifest_rows", f"""
     SELECT {_HOST} AS section, url AS html, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) - 1 AS page_order FROM pages""")
 def manifest_rows(spark, folder):
-    """A nested manifest, one document per host, back to one row per page."""
+    """A nested manifest, a document per host and block of pages, back to one row per page."""
     pages = table(spark, folder, "pages").select("page_id", host(F.col("url")).alias("section"), "url")
-    nested = pages.groupBy("section").agg(F.sort_array(F.collect_list(F.struct("page_id", F.col("url").alias("html")))).alias("p"))
-    page = F.transform("p", lambda x, i: F.struct(i.cast("bigint").alias("page_order"), x["html"].alias("html")))
-    manifest = nested.select(F.array(F.struct("section", page.alias("pages"))).alias("sections"))
-    return files.flatten_manifest(manifest).select("section", "html", "page_order")
+    return files.flatten_manifest(_host_manifest(pages)).select("section", "html", "page_order")
+
+
+def _host_manifest(pages, block_pages: int = TEXTS_PER_BLOCK):
+    """Manifest documents of ``page_id, section, url``; only a count per block crosses the window of a whole host."""
+    blocked = pages.withColumn("block", F.expr(f"page_id div {block_pages}"))
+    counts = blocked.groupBy("section", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("section").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("section").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    nested = blocked.groupBy("section", "block").agg(F.sort_array(F.collect_list(F.struct("page_id", F.col("url").alias("html")))).alias("p"))
+    nested = nested.join(offsets, F.col("section").eqNullSafe(F.col("s")) & F.col("block").eqNullSafe(F.col("b")))
+    page = F.transform("p", lambda x, i: F.struct((i + F.col("offset")).cast("bigint").alias("page_order"), x["html"].alias("html")))
+    return nested.select(F.array(F.struct("section", page.alias("pages"))).alias("sections"))

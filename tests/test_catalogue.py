@@ -40,3 +40,15 @@ def test_query(spark, sql, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns
+
+
+def test_a_manifest_document_holds_one_block_of_a_host(spark):
+    from lorebase.catalogue.derived import _host_manifest
+    from lorebase.sources.files import flatten_manifest
+
+    rows = [(i, None if i % 7 == 0 else "hot", f"u{i}") for i in range(100)]
+    manifest = _host_manifest(spark.createDataFrame(rows, "page_id LONG, section STRING, url STRING"), block_pages=10)
+    assert max(len(r["sections"][0]["pages"]) for r in manifest.collect()) <= 10
+    want = {(s, u, n) for name in (None, "hot") for n, (_, s, u) in enumerate(r for r in rows if r[1] == name)}
+    out = flatten_manifest(manifest).collect()
+    assert len(out) == 100 and {(r["section"], r["html"], r["page_order"]) for r in out} == want
