@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import cws, decontam, langid, packing, partenum, quality, quotes, repair, secrets, shard
+from lorebase.llm import cws, decontam, langid, linededup, packing, partenum, quality, quotes, repair, resample, runs, secrets, shard
 from lorebase.llm.common import table
 from lorebase.llm.registry import query
 from lorebase.llm.tokens import vocabulary
@@ -110,3 +110,37 @@ def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table has turns without quotes, so they are first written as the mails in which people would have exchanged them."""
     return quotes.conversations(quotes.as_reply_mails(table(spark, sf_dir, "conversations"))).withColumnRenamed("thread", "conv_id").withColumnRenamed("own", "text")
+
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("op11_line_keep_bitmaps", rf"""
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS n, unnest(lines) AS line FROM d),
+    k AS (SELECT *, translate(trim(line, {_WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+    SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+    FROM k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id""")
+def op11_line_keep_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
+    return kept.select("doc_id", F.col("kept_n_lines").alias("n_lines"), F.col("kept_n_dropped").alias("n_dropped"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_grammar_runs")
+def op12_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.with_planted_runs(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.periodic_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_importance_draw")
+def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return resample.draw(scored).select("doc_id", "n_features", "weight", "score", "rank")
