@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from lorebase import rules
-from lorebase.operators.grouping import with_last_known
-from lorebase.sources.files import or_empty
 
 POLL_SECONDS = 5
 
@@ -37,60 +29,10 @@ def day_counts(feed: DataFrame, time: str, delay: str, *keys: str) -> DataFrame:
     )
 
 
-def follow_modes(commands: DataFrame, folder: str, block_minutes: int = 1) -> StreamingQuery:
-    """Mode of every message, kept per chat across batches; writes ``folder/modes`` and ``folder/state``.
-
-    ``commands``: chat_id, event_id, ts, command. Each batch runs the batch operator, which splits chats of any size
-    into time blocks, and fills what the batch leaves open from the state table. Batch n reads state n - 1 and
-    overwrites its own output, so a repeated batch changes nothing.
-    """
-    spark = commands.sparkSession
-
-    def handle(batch: DataFrame, number: int) -> None:
-        block = F.floor(F.unix_timestamp("ts") / (60 * block_minutes))
-        switch = F.when(F.col("command") == "record_on", "record").when(F.col("command") == "record_off", "ask")
-        known = with_last_known(batch, ["chat_id"], ["ts", "event_id"], block, switch, "mode").select("chat_id", "event_id", "ts", "mode")
-        before = or_empty(spark, "chat_id BIGINT, mode STRING", lambda: spark.read.parquet(f"{folder}/state/{number - 1}"))
-        carried = known.join(before.withColumnRenamed("mode", "carried"), "chat_id", "left")
-        modes = carried.select("chat_id", "event_id", F.coalesce("mode", "carried", F.lit("ask")).alias("mode"))
-        modes.write.mode("overwrite").parquet(f"{folder}/modes/batch={number}")
-        at = F.struct("ts", "event_id")
-        latest = known.groupBy("chat_id").agg(F.max_by("mode", F.when(F.col("mode").isNotNull(), at)).alias("latest"))
-        after = before.join(latest, "chat_id", "full_outer").select("chat_id", F.coalesce("latest", "mode").alias("mode"))
-        after.filter(F.col("mode").isNotNull()).write.mode("overwrite").parquet(f"{folder}/state/{number}")
-
-    writer = commands.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint")
-    return writer.trigger(availableNow=True).start()
-
-
-_KEPT = rules.CONTEXT_KEPT
-_TURN_OUT = "chat_id BIGINT, event_id BIGINT, context_turns INT"
-
-
-def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the times of the last ten turns; a turn's context are those of the last six that are young enough."""
-    times = list(state.get[0]) if state.exists else []
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    counts = []
-    for now in rows["seconds"]:
-        counts.append(sum(1 for t in times[-_TURNS:] if now - t <= _AGE))
-        times = (times + [int(now)])[-_KEPT:]
-    state.update((times,))
-    yield pd.DataFrame({"chat_id": key[0], "event_id": rows["event_id"], "context_turns": counts})
-
-
-_TURNS, _AGE = rules.CONTEXT_TURNS, rules.CONTEXT_AGE_SECONDS
-
-
-def contexts(turns: DataFrame) -> DataFrame:
-    """How many earlier turns each turn may refer to. ``turns``: chat_id, event_id, ts, seconds.
-
-    State per chat are ten times. The rows of one chat within one batch are handled together, so the batch size of the
-    feed bounds what one task holds.
-    """
-    return turns.groupBy("chat_id").applyInPandasWithState(
-        _remember, _TURN_OUT, "times ARRAY<BIGINT>", "append", GroupStateTimeout.NoTimeout
-    )
+def land(rows: DataFrame, folder: str, arrival: str, files: int) -> None:
+    """Rows as landed files, one after the other along ``arrival`` (0 to files - 1), as a connector would leave them."""
+    for n in range(files):
+        rows.where(F.col(arrival) == n).drop(arrival).coalesce(1).write.mode("append").parquet(folder)
 
 
 def write_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = True) -> StreamingQuery:

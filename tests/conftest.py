@@ -1,11 +1,13 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 # message services are found by module name in the Python processes Spark starts
+os.environ["POLLED_SIZES"] = os.path.join(tempfile.mkdtemp(prefix="polled-"), "sizes.json")
 os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH", "")])
 
 from lorebase.session import build_session  # noqa: E402

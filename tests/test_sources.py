@@ -5,6 +5,7 @@ import json
 import os
 import zipfile
 from email.message import EmailMessage
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,11 +169,45 @@ def test_polled_service(spark, tmp_path):
     polled.register(spark)
     batch = spark.read.format("polled_messages").option("fetch", "polled_service:page").option("chats", "a,b").load()
     assert sorted(r["message_id"] for r in batch.collect()) == ["a1", "a2", "a3", "b1"]
-    stream = spark.readStream.format("polled_messages").option("fetch", "polled_service:updates").load()
-    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "t")).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
-    query.awaitTermination(60)
-    query.stop()
-    assert sorted(r["message_id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["3", "4", "5", "6", "7"]
+
+
+@pytest.mark.parametrize("ranged", [False, True])
+def test_feed_of_several_chats(spark, tmp_path, ranged):
+    """Chats grow between runs and one appears late; a run that failed before its commit reads the same positions again."""
+    sizes = Path(os.environ["POLLED_SIZES"])
+    polled.register(spark)
+    stream = spark.readStream.format("polled_messages").option("chatlist", "polled_service:chat_list").option("fetch", "polled_service:newest_first")
+    if ranged:
+        stream = stream.option("heads", "polled_service:heads").option("between", "polled_service:between").option("positionsperpartition", 3)
+    batches = []
+
+    def run(fail=False):
+        def keep(batch, number):
+            rows = sorted((r["chat_id"], int(r["message_id"])) for r in batch.collect())
+            batches.append((number, rows))
+            if fail:
+                raise RuntimeError("killed")
+
+        query = stream.load().writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination(120)
+        except Exception:
+            assert fail
+
+    sizes.write_text('{"a": 9, "b": 2, "c": 0}')
+    run()
+    assert batches == [(0, [("a", n) for n in range(9)] + [("b", 0), ("b", 1)])]
+    sizes.write_text('{"a": 9, "b": 8, "c": 0}')
+    run(fail=True)
+    sizes.write_text('{"a": 20, "b": 11, "c": 1, "d": 7}')
+    run()
+    run()
+    assert batches[1] == batches[2] == (1, [("b", n) for n in range(2, 8)])
+    everything = batches[0][1] + batches[2][1] + [x for _, rows in batches[3:] for x in rows]
+    assert sorted(everything) == sorted((c, n) for c, size in {"a": 20, "b": 11, "c": 1, "d": 7}.items() for n in range(size))
+    if not ranged:  # pages of a range are fetched in the tasks' processes
+        pids = {line.split()[1] for line in Path(f"{sizes}.calls").read_text().splitlines()}
+        assert len(pids) > 1 and str(os.getpid()) not in pids
 
 
 def test_polled_records(spark):
