@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lorebase.catalogue.registry import any_of, compact, fold, matches, query, redact
 from lorebase.functions.text import redact as redacted
 from lorebase.functions.text import sha256
-from lorebase.operators import digest, noise, snapshots, topics
+from lorebase.operators import digest, linediff, noise, snapshots, topics
 from lorebase.sources.adapters import table
 
 # The earlier run knew the English, French and German documents as they were; this run sees the English, German and
@@ -55,7 +55,7 @@ _NET = """array_to_string(list_sort(flatten(list_transform(list_distinct({0}), l
     range(greatest(0, len(list_filter({0}, lambda x: x = l)) - len(list_filter({1}, lambda x: x = l)))), lambda i: l)))), chr(10))"""
 
 
-@query("change_records", f"""
+@query("change_net_lines", f"""
     WITH {_OLD}, {_NEW}, c AS (SELECT coalesce(old.key, new.key) AS key, coalesce(old.doc_id, new.doc_id) AS doc_id,
         CASE WHEN old.key IS NULL THEN 'added' WHEN new.key IS NULL THEN 'removed' ELSE 'modified' END AS type
         FROM old FULL JOIN new ON old.key = new.key WHERE old.sha IS DISTINCT FROM new.sha),
@@ -63,7 +63,7 @@ _NET = """array_to_string(list_sort(flatten(list_transform(list_distinct({0}), l
         string_split(text, chr(10)) AS o, string_split({redact('text')}, chr(10)) AS n FROM c JOIN documents USING (doc_id))
     SELECT key, type, section, text_preview, CASE WHEN type = 'modified' THEN {_NET.format('o', 'n')} END AS net_removed,
         CASE WHEN type = 'modified' THEN {_NET.format('n', 'o')} END AS net_added FROM l""")
-def change_records(spark, folder):
+def change_net_lines(spark, folder):
     """What the line diffs of the changed pages take away and add in the end, moved lines left out."""
     previous, current = two_snapshots(spark, folder)
     records = snapshots.change_records(snapshots.diff_snapshots(previous, current), previous, current, "2026-06-12T02:00:00+00:00", 1 << 30)
@@ -80,6 +80,35 @@ def change_records(spark, folder):
     return lines.select("key", "type", "section", "text_preview", net("gone", "come").alias("net_removed"), net("come", "gone").alias("net_added"))
 
 
+# A redacted line stays where it was, so changed places show what a diff of these pages has to be.
+@query("change_hunks", f"""
+    WITH {_OLD}, {_NEW}, c AS (SELECT old.key, string_split(d.text, chr(10)) AS o, string_split({redact('d.text')}, chr(10)) AS n
+        FROM old JOIN new ON old.key = new.key JOIN documents d ON d.doc_id = old.doc_id WHERE old.sha <> new.sha),
+    l AS (SELECT key, unnest(range(1, len(o) + 1)) AS i, unnest(o) AS a, unnest(n) AS b FROM c),
+    s AS (SELECT *, max(CASE WHEN a <> b THEN i END) OVER (PARTITION BY key ORDER BY i) AS last,
+        min(CASE WHEN a <> b THEN i END) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM l),
+    h AS (SELECT *, coalesce(i - last <= 3, false) OR coalesce(next - i <= 3, false) AS near FROM s),
+    g AS (SELECT *, sum(CASE WHEN near THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY i) AS hunk, sum(CASE WHEN a = b THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i) AS run FROM h),
+    r AS (SELECT key, hunk, i, run, 2 AS kind, ' ' || a AS line FROM g WHERE near AND a = b
+        UNION ALL SELECT key, hunk, i, run, 3, '-' || a FROM g WHERE a <> b UNION ALL SELECT key, hunk, i, run, 4, '+' || b FROM g WHERE a <> b)
+    SELECT key, (row_number() OVER (PARTITION BY key ORDER BY hunk))::INT AS hunk, min(i) AS old_start, count(DISTINCT i) AS old_lines, min(i) AS new_start,
+        count(DISTINCT i) AS new_lines, string_agg(line, chr(10) ORDER BY run, kind, i) AS body FROM r GROUP BY key, hunk""")
+def change_hunks(spark, folder):
+    """The line diffs of the changed pages, hunk by hunk, with three lines around each change."""
+    previous, current = two_snapshots(spark, folder)
+    changed = snapshots.diff_snapshots(previous, current).where("type = 'modified'").select("key")
+    pages = changed.join(previous.select("key", F.col("text").alias("old_text")), "key").join(current.select("key", "text"), "key")
+    hunks = linediff.line_hunks(pages)
+    return hunks.withColumn("body", F.array_join(F.transform("lines", lambda x: F.concat(x["sign"], x["text"])), "\n")).drop("lines")
+
+
+@query("change_records")
+def change_records(spark, folder):
+    """The change log's rows with their diff."""
+    previous, current = two_snapshots(spark, folder)
+    return snapshots.change_records(snapshots.diff_snapshots(previous, current), previous, current, "2026-06-12T02:00:00+00:00")
+
+
 @query("change_log", f"""
     WITH {_OLD}, {_NEW}, removed AS (SELECT 'doc:' || doc_id AS key, lang, source, doc_id, sha256(text) AS sha FROM documents WHERE lang = 'fr')
     SELECT key, '## REMOVED | ' || lang || ' / ' || source || chr(10) || chr(10) || '- HTML: `documents/' || doc_id || '`' || chr(10)

@@ -5,15 +5,13 @@ Joins compare keys and hashes only. Text is fetched afterwards, for the changed
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from lorebase import rules
 from lorebase.functions.text import compact
+from lorebase.operators import linediff
 from lorebase.operators.grouping import last_per_key
 from lorebase.operators.linking import components
 from lorebase.session import persist_table
@@ -52,21 +50,6 @@ def change_counts(changes: DataFrame) -> DataFrame:
     return changes.agg(*[F.count_if(F.col("type") == t).alias(t) for t in ("added", "modified", "removed")])
 
 
-_CONTEXT = rules.DIFF_CONTEXT
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _unified_diff(previous: pd.Series, current: pd.Series, max_lines: pd.Series) -> pd.Series:
-    def one(old: str | None, new: str | None, limit: int) -> list[str]:
-        lines = list(difflib.unified_diff(
-            (old or "").splitlines(), (new or "").splitlines(), "previous", "current", lineterm="", n=_CONTEXT
-        ))
-        left_out = len(lines) - limit
-        return lines if left_out <= 0 else [*lines[:limit], f"... diff truncated, {left_out} lines omitted ..."]
-
-    return pd.Series([one(o, n, m) for o, n, m in zip(previous, current, max_lines)])
-
-
 def change_records(changes: DataFrame, previous: DataFrame, current: DataFrame, detected_at: str,
                    max_diff_lines: int = rules.MAX_DIFF_LINES) -> DataFrame:
     """Change log rows with preview and line diff. Only changed keys bring their text along.
@@ -83,17 +66,15 @@ def change_records(changes: DataFrame, previous: DataFrame, current: DataFrame,
     cut = F.when(more > 0, F.array(F.concat(F.lit("... page truncated, "), more.cast("string"), F.lit(" lines omitted ...")))).otherwise(F.array().cast("array<string>"))
     shown = F.concat(heads, F.array(F.lit("@@ added page @@")), F.slice(lines, 1, max_diff_lines), cut)
     modified = F.col("type") == "modified"
-    # unchanged sides are passed as null, so the UDF only works on modified pages
-    diffed = wide.withColumn("_diff", _unified_diff(
-        F.when(modified, F.col("old_text")), F.when(modified, F.col("text")), F.lit(max_diff_lines)
-    ))
+    diffs = linediff.unified(linediff.line_hunks(wide.where(modified).select("key", "old_text", "text")), max_diff_lines)
+    diffed = wide.join(diffs.withColumnRenamed("diff", "_diff"), "key", "left")
     return diffed.select(
         "type", F.lit(detected_at).alias("detected_at"), "key",
         *[F.coalesce(F.col(c), F.col(f"old_{c}"), F.lit("")).alias(c) for c in meta[:-1]],
         F.coalesce("previous_sha256", F.lit("")).alias("previous_sha256"),
         F.coalesce("current_sha256", F.lit("")).alias("current_sha256"),
         F.when(F.col("type") == "added", F.substring(compact(F.col("text")), 1, rules.ADDED_PREVIEW)).alias("text_preview"),
-        F.when(modified, F.col("_diff"))
+        F.when(modified, F.coalesce("_diff", F.array().cast("array<string>")))
         .when(F.col("type") == "added", shown)
         .otherwise(F.concat(heads, F.array(F.lit("@@ removed page @@")))).alias("diff"),
     )
