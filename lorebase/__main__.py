@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None) -> None:
         sources = spark.read.parquet(args.sources)
         build_index.build_index(spark, sources, args.index, args.version, provider, args.previous, args.force).show(truncate=False)
     elif args.command == "ask":
-        index = build_index.read_index(spark, args.index)
+        index = build_index.open_index(spark, args.index)
         print(ask.render(ask.ask(index, args.question, OfflineProvider(), args.top_k)), end="")
     elif args.command == "search-pages":
         hits = search.rank_pages(read_distillation(spark, args.distillation), args.query, "html", top_k=args.top_k)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lorebase.catalogue.registry import CHUNKS, FOLDED, SOURCES, compact, count_of, fold, lexical, query, quoted
+from lorebase.catalogue.registry import CHUNKS, FOLDED, ORACLE, SOURCES, compact, count_of, fold, lexical, query, quoted
 from lorebase.catalogue.texts import DISTILLED, distilled_documents
 from lorebase.functions import scoring as S
 from lorebase.functions.text import compact as flat
 from lorebase.functions.text import sha256
-from lorebase.operators import indexing, search
-from lorebase.session import persist_table
+from lorebase.operators import indexing, postings, search
+from lorebase.session import persist_table, shared_folder
 from lorebase.sources.adapters import (
     conversation_sources, document_sources, page_sources, query_vector, table, url_path,
 )
@@ -125,6 +127,27 @@ def hybrid_topk(spark, folder):
     return top.select("chunk_id", "lexical_score", "semantic_score", "score")
 
 
+def stored_index(spark, chunks):
+    """An index version as a run would leave it; blocks are small so that the small tables have several."""
+    path = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    postings.write_blocks(chunks, path, 256)
+    return postings.Blocks(spark.read.parquet(path), spark.read.parquet(f"{path}-grams"))
+
+
+@query("stored_lexical_topk", ORACLE["lexical_topk"])
+def stored_lexical_topk(spark, folder):
+    """The flagship question over a stored index."""
+    top = search.with_snippet(stored_index(spark, document_chunks(spark, folder)).rank(QUESTION), QUESTION)
+    return top.select("chunk_id", "source_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "lexical_score", "score", "snippet")
+
+
+@query("stored_hybrid_topk", ORACLE["hybrid_topk"])
+def stored_hybrid_topk(spark, folder):
+    vector = query_vector(table(spark, folder, "embeddings"))
+    top = stored_index(spark, vectored_chunks(spark, folder)).rank(QUESTION, vector)
+    return top.select("chunk_id", "lexical_score", "semantic_score", "score")
+
+
 @query("evidence_records", f"""
     WITH RECURSIVE {CHUNKS}, {FOLDED}, scored AS (SELECT *, {lexical(QUESTION, TERMS)} AS lex FROM folded),
     top AS (SELECT *, round(lex, 4) AS lexical_score, round(lex / (lex + 10.0), 6) AS score FROM scored WHERE lex > 0 {_TOP} LIMIT 8)

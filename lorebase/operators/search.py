@@ -14,7 +14,10 @@ from lorebase.functions.text import base_name, casefold, flatten_list, suffix
 from lorebase.operators.grouping import top_per_key
 
 
-def _folded(chunks: DataFrame) -> DataFrame:
+def with_search_text(chunks: DataFrame) -> DataFrame:
+    """Chunks with the folded texts they are searched in; an index that stores these is left as it is."""
+    if "hay" in chunks.columns:
+        return chunks
     return chunks.select(
         "*", S.chunk_haystack().alias("hay"), casefold(F.col("title")).alias("title_cf"),
         casefold(F.col("section")).alias("section_cf"),
@@ -28,8 +31,6 @@ def _lexical(question: str, alias_rules: Q.AliasRules) -> Column:
     )
 
 
-
-
 def _best_first() -> list[Column]:
     """Score, lexical score, then the date as a string; ties keep index order."""
     return [F.desc(c) for c in ("score", "lexical_score", "date")] + [F.asc("ordinal"), F.asc("chunk_index")]
@@ -47,7 +48,7 @@ def rank_chunks(
     Rows without any score are dropped after the limit: they sort last, so the result is the same, and the
     filter does not make Spark evaluate the score twice.
     """
-    folded = _folded(chunks).withColumn("_lex", _lexical(question, alias_rules))
+    folded = with_search_text(chunks).withColumn("_lex", _lexical(question, alias_rules))
     if query_vector is None:
         scored = folded.withColumn("_sem", F.lit(0.0)).withColumn("_final", S.saturate(F.col("_lex")))
     else:
@@ -81,7 +82,7 @@ def rank_question_set(
         F.struct(F.lit(n).alias("question_no"), _lexical(q, alias_rules).alias("lex"))
         for n, q in enumerate(questions, start=1)
     ])
-    hits = _folded(chunks).select(*chunks.columns, F.explode(F.filter(scores, lambda s: s["lex"] > 0)).alias("hit"))
+    hits = with_search_text(chunks).select(*chunks.columns, F.explode(F.filter(scores, lambda s: s["lex"] > 0)).alias("hit"))
     scored = hits.select(
         "hit.question_no", *chunks.columns, F.round("hit.lex", 4).alias("lexical_score"),
         F.round(S.saturate(F.col("hit.lex")), 6).alias("score"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lorebase import rules
 from lorebase.functions import terms as Q
-from lorebase.operators import search
+from lorebase.operators import postings, search
 from lorebase.providers.base import Provider
 from lorebase.session import persist_table
 
@@ -29,7 +29,7 @@ class Answer:
     error: str = ""
 
 
-def candidates(index: DataFrame, question: str, provider: Provider | None, top_k: int = rules.CANDIDATES) -> tuple[DataFrame, str]:
+def candidates(index: DataFrame | postings.Blocks, question: str, provider: Provider | None, top_k: int = rules.CANDIDATES) -> tuple[DataFrame, str]:
     """Top candidates and the embedding error, if any: without a question vector the ranking is lexical only."""
     vector, error = None, ""
     if provider is not None:
@@ -37,11 +37,12 @@ def candidates(index: DataFrame, question: str, provider: Provider | None, top_k
             vector = provider.embed(["\n".join([question, *Q.aliases(question)])])[0]
         except Exception as failure:  # noqa: BLE001 - any failure of the service means lexical ranking
             error = f"{type(failure).__name__}: {failure}"
-    ranked = search.rank_chunks(index, question, vector, max(rules.CANDIDATES_MIN, top_k))
+    top_k = max(rules.CANDIDATES_MIN, top_k)
+    ranked = index.rank(question, vector, top_k) if isinstance(index, postings.Blocks) else search.rank_chunks(index, question, vector, top_k)
     return search.with_snippet(ranked, question, rules.RERANK_SNIPPET), error
 
 
-def ask(index: DataFrame, question: str, provider: Provider, top_k: int = rules.DEFAULT_TOP_K) -> Answer:
+def ask(index: DataFrame | postings.Blocks, question: str, provider: Provider, top_k: int = rules.DEFAULT_TOP_K) -> Answer:
     """The whole lifecycle for one question."""
     ranked, error = candidates(index, question, provider)
     found = persist_table(ranked.drop("vector"), "candidates")  # read twice below, scanned once

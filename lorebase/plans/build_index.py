@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase import schemas
-from lorebase.operators import indexing
+from lorebase.operators import indexing, postings
 from lorebase.providers.base import Provider, embed_column
+from lorebase.session import persist_table
 from lorebase.sources.files import or_empty
 
 
@@ -16,6 +18,16 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return or_empty(spark, schemas.CHUNK + ", model STRING, dimensions INT, reused BOOLEAN", lambda: spark.read.parquet(path))
 
 
+def open_index(spark: SparkSession, path: str) -> postings.Blocks | DataFrame:
+    """An index to be searched by blocks; one without grams, or none at all, is a plain table of chunks."""
+    try:
+        return postings.Blocks(spark.read.parquet(path), spark.read.parquet(f"{path}-grams"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return read_index(spark, path)
+
+
 def reusable(index: DataFrame, model: str, dimensions: int) -> DataFrame:
     """Vectors of another model or size are of no use."""
     return index.filter((F.col("model") == model) & (F.col("dimensions") == dimensions))
@@ -39,7 +51,7 @@ def indexed_chunks(sources: DataFrame, previous: DataFrame | None, provider: Pro
 
 
 def build_index(spark: SparkSession, sources: DataFrame, path: str, version: str, provider: Provider | None = None,
-                previous_version: str | None = None, force: bool = False) -> DataFrame:
+                previous_version: str | None = None, force: bool = False, block_chunks: int = postings.BLOCK_CHUNKS) -> DataFrame:
     """Write ``path/<version>`` and return its manifest row.
 
     Each run writes a new version next to the old one and reads the old one for reuse, so a lost executor or a failed
@@ -50,5 +62,5 @@ def build_index(spark: SparkSession, sources: DataFrame, path: str, version: str
         old = reusable(read_index(spark, f"{path}/{previous_version}"), provider.model, 512)
     columns = [f.split()[0] for f in schemas.CHUNK.replace("MAP<STRING,STRING>", "MAP").split(", ")]
     index = indexed_chunks(sources, old, provider).select(*columns, "model", "dimensions", "reused")
-    index.write.mode("errorifexists").parquet(f"{path}/{version}")
+    postings.write_blocks(persist_table(index, "index"), f"{path}/{version}", block_chunks)
     return indexing.index_manifest(spark.read.parquet(f"{path}/{version}"))
