@@ -5,6 +5,8 @@ Each input is one expression, written once and put into both engines, e.g. the t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from lorebase.functions import intent as I
 from lorebase.functions import text as T
 from lorebase.operators import publish
 from lorebase.operators.grouping import TEXTS_PER_BLOCK
+from lorebase.plans.versions import VersionedTable
+from lorebase.session import shared_folder
 from lorebase.sources import chat, files, mail
 from lorebase.sources.adapters import host, table, url_path
 from lorebase.sources.binaries import decode_text
@@ -183,3 +187,37 @@ def _host_manifest(pages, block_pages: int = TEXTS_PER_BLOCK):
     nested = nested.join(offsets, F.col("section").eqNullSafe(F.col("s")) & F.col("block").eqNullSafe(F.col("b")))
     page = F.transform("p", lambda x, i: F.struct((i + F.col("offset")).cast("bigint").alias("page_order"), x["html"].alias("html")))
     return nested.select(F.array(F.struct("section", page.alias("pages"))).alias("sections"))
+
+
+@query("page_tree_manifest", """
+    WITH p AS (SELECT page_id, page_id // 40 AS n, 's' || (page_id // 40) || '/' || CASE WHEN page_id % 2 = 0 THEN 'P' ELSE 'p' END || page_id || '.html' AS html FROM pages)
+    SELECT 's' || n AS section, row_number() OVER (PARTITION BY n ORDER BY CASE WHEN n % 2 = 0 THEN -page_id END, lower(html), html) AS "order", html, 'Page ' || page_id AS title
+    FROM p WHERE n % 2 = 1 OR page_id % 3 <> 0""")
+def page_tree_manifest(spark, folder):
+    """A page tree of many sections. Even ones link two thirds of their pages, newest first, and the rest of their folder does
+    not count; odd ones link nothing and list their folder by name, whatever its case."""
+    n = F.expr("page_id div 40")
+    rows = table(spark, folder, "pages").select("page_id", n.alias("n"), F.concat(F.lit("s"), n).alias("section"), "html")
+    rel = F.concat("section", F.lit("/"), F.when(F.col("page_id") % 2 == 0, "P").otherwise("p"), "page_id", F.lit(".html"))
+    pages = rows.select(rel.alias("rel"), F.concat(F.lit("<title>Page "), "page_id", F.lit("</title>"), "html").alias("text"))
+    linked = F.when((F.col("n") % 2 == 0) & (F.col("page_id") % 3 != 0), F.struct((-F.col("page_id")).alias("at"), rel.alias("rel")))
+    anchors = F.transform(F.sort_array("linked"), lambda x: F.concat(F.lit('<a href="./'), x["rel"], F.lit('">page</a>')))
+    index = rows.groupBy("section").agg(F.collect_list(linked).alias("linked")).select(F.concat("section", F.lit(".html")).alias("rel"), F.array_join(anchors, "\n").alias("text"))
+    manifest = files.tree_manifest(pages.unionByName(index))
+    return manifest.select("section", F.col("order").cast("bigint").alias("order"), "html", "title")
+
+
+@query("state_versions", f"""
+    SELECT 1 AS version, doc_id, sha256(text) AS sha256 FROM documents WHERE lang IN ('en', 'fr', 'de')
+    UNION ALL SELECT 2, doc_id, sha256({redact('text')}) FROM documents WHERE lang IN ('en', 'de', 'es')""")
+def state_versions(spark, folder):
+    """The state of two runs in a versioned table, the earlier one still readable; a third run that changes nothing adds none."""
+    docs = table(spark, folder, "documents")
+    path = f"{shared_folder(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    state = VersionedTable(spark, path, "doc_id LONG, sha256 STRING", ["doc_id"], buckets=16)
+    first = state.write(docs.where(F.col("lang").isin("en", "fr", "de")).select("doc_id", T.sha256(F.col("text")).alias("sha256")))
+    now = docs.where(F.col("lang").isin("en", "de", "es")).select("doc_id", T.sha256(T.redact(F.col("text"))).alias("sha256"))
+    second = state.write(now, docs.where("lang = 'fr'"))
+    if state.write(now, docs.where("lang = 'fr'")) != second:
+        raise AssertionError("a run without changes wrote a version")
+    return state.read(first).select(F.lit(1).alias("version"), "doc_id", "sha256").unionByName(state.read(second).select(F.lit(2).alias("version"), "doc_id", "sha256"))

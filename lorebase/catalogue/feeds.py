@@ -127,7 +127,7 @@ def late_reorder(spark, folder):
     """Rows older than something that arrived before them; the event time lags the arrival by k minutes."""
     created = V.micros(F.col("ts")) - F.get_json_object("props", "$.k").cast("bigint") * 60000000
     arrived = table(spark, folder, "events").select("event_id", created.alias("created"))
-    late = messages.late_rows(arrived, "event_id", "created", F.floor(F.col("event_id") / ROWS_PER_BLOCK))
+    late = messages.late_rows(arrived, "event_id", "created")
     return late.select("event_id", "created", (F.col("latest_before") - F.col("created")).alias("late_by"))
 
 

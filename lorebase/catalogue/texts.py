@@ -8,6 +8,7 @@ from lorebase import rules
 from lorebase.catalogue.registry import SOURCES, compact, fold, matches, query, quoted, redact, strip
 from lorebase.functions import distill as D
 from lorebase.functions import intent as I
+from lorebase.functions import nested
 from lorebase.functions import scoring as S
 from lorebase.functions import terms as Q
 from lorebase.functions import text as T
@@ -226,6 +227,65 @@ def section_rollup(spark, folder):
     )
 
 
+def _merged(column):
+    return f"""SELECT notebook, ordinal, position, item, row_number() OVER (PARTITION BY notebook, section ORDER BY ordinal, position) AS place FROM (
+        SELECT notebook, section, ordinal, generate_subscripts({column}[1:2], 1) AS position, unnest({column}[1:2]) AS item FROM book)"""
+
+
+@query("notebook_rollup", f"""
+    WITH {DISTILLED}, book AS (SELECT *, 'notebook-' || ordinal % 3 AS notebook FROM distilled),
+    tag_rows AS (SELECT notebook, ordinal, generate_subscripts(tags, 1) AS position, unnest(tags) AS tag FROM book),
+    tag_ranks AS (SELECT notebook, tag, row_number() OVER (PARTITION BY notebook ORDER BY pages DESC, first) AS rank FROM (
+        SELECT notebook, tag, count(*) AS pages, min(ordinal * 100 + position) AS first FROM tag_rows GROUP BY 1, 2)),
+    topics AS (SELECT notebook, string_agg(tag, ', ' ORDER BY rank) AS top_topics, string_agg(tag, ', ' ORDER BY rank) FILTER (rank <= 8) AS named
+        FROM tag_ranks WHERE rank <= 12 GROUP BY 1),
+    facts AS (SELECT notebook, string_agg(item, ' | ' ORDER BY rank) AS highlight_facts FROM (
+        SELECT *, row_number() OVER (PARTITION BY notebook ORDER BY place, ordinal, position) AS rank FROM ({_merged('facts')}) WHERE place <= 12) WHERE rank <= 12 GROUP BY 1),
+    steps AS (SELECT notebook, string_agg(item, ' | ' ORDER BY rank) AS open_questions FROM (
+        SELECT *, row_number() OVER (PARTITION BY notebook ORDER BY place, ordinal, position) AS rank FROM ({_merged('steps')}) WHERE place <= 12) WHERE rank <= 12 GROUP BY 1),
+    counted AS (SELECT notebook, count(*) AS page_count, count(DISTINCT section) AS section_count FROM book GROUP BY 1)
+    SELECT notebook, section_count, page_count, notebook || ' contains ' || page_count || ' pages in ' || section_count || ' sections. Main topics: '
+        || coalesce(named, 'none detected') || '.' AS summary, coalesce(top_topics, '') AS top_topics, coalesce(highlight_facts, '') AS highlight_facts,
+        coalesce(open_questions, '') AS open_questions
+    FROM counted LEFT JOIN topics USING (notebook) LEFT JOIN facts USING (notebook) LEFT JOIN steps USING (notebook)""")
+def notebook_rollup(spark, folder):
+    """Three notebooks, a section per language."""
+    pages = distilled_documents(spark, folder).withColumn("notebook", F.concat(F.lit("notebook-"), F.col("ordinal") % 3))
+    joined = [F.array_join(c, sep).alias(c) for c, sep in (("top_topics", ", "), ("highlight_facts", " | "), ("open_questions", " | "))]
+    return distill.notebook_rollup(pages).select("notebook", "section_count", "page_count", "summary", *joined)
+
+
+# A value per turn: lists in objects in lists, with nulls, empty lists and a depth that grows with the turn.
+def _nested():
+    text, turn = F.to_json(F.array("text")), F.col("turn").cast("string")
+    quoted = F.substring(text, F.lit(2), F.length(text) - 2)
+    inner = F.concat(F.lit('{"chat" : '), F.col("conv_id"), F.lit(', "none":null,"turn":{"role":"'), F.col("role"), F.lit('","parts":[null,'), quoted, F.lit(', {"again":'), quoted,
+                     F.lit(',"gone": null ,"deep":[['), turn, F.lit(',true,null],[]]}]}}'))
+    depth = (F.col("turn") % 5).cast("int")
+    return F.concat(F.repeat(F.lit('[{"n\\"ull":'), depth), inner, F.repeat(F.lit("}]"), depth))
+
+
+_LINES = """repeat('n"ull: ', (turn % 5)::INT) || 'chat: ' || conv_id || chr(10) || 'turn: role: ' || role || chr(10) || 'parts: ' || {0} || chr(10) || 'again: ' || {0} || chr(10) || 'deep: ' || turn || chr(10) || 'True' || chr(10)"""
+_SECRETIVE = """(text || CASE WHEN turn % 3 = 0 THEN chr(10) || 'token = ' || chr(92) || '"x' || turn ELSE '' END)"""
+
+
+@query("nested_values", f"""
+    WITH t AS (SELECT conv_id, turn, role, {_SECRETIVE} AS text FROM conversations)
+    SELECT conv_id, turn, {_LINES.format('text')} AS flat, {_LINES.format(redact('text'))} AS redacted,
+        CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN text || '|' || {redact('text')} WHEN 2 THEN 'role: ' || role || '|text: ' || text || '|none: None' ELSE text END AS listed FROM t""")
+def nested_values(spark, folder):
+    """Values as deep as their turn, flattened, redacted inside and then flattened, and coerced to lists."""
+    more = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('\ntoken = \\"x'), F.col("turn"))).otherwise("")
+    turns = table(spark, folder, "conversations").withColumn("text", F.concat("text", more))
+    quoted = F.to_json(F.array("text"))
+    kinds = (F.when(F.col("turn") % 4 == 0, F.lit("null")).when(F.col("turn") % 4 == 1, F.to_json(F.array("text", T.redact(F.col("text")))))
+             .when(F.col("turn") % 4 == 2, F.concat(F.lit('{"role":"'), F.col("role"), F.lit('","text":'), F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(',"none":null}')))
+             .otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2)))
+    rows = turns.select("conv_id", "turn", _nested().alias("value"), kinds.alias("kind"))
+    return rows.select("conv_id", "turn", nested.flatten_json(F.col("value")).alias("flat"), nested.flatten_json(nested.redact_json(F.col("value"))).alias("redacted"),
+                       F.array_join(nested.list_json(F.col("kind")), "|").alias("listed"))
+
+
 # --- names, files, entries --------------------------------------------------------------------------------------
 _IMPORT = "trim(regexp_replace(lower({0}), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', '-', 'g'), '-')"
 

@@ -89,10 +89,6 @@ def redact(text: Column, rule_set: Sequence[tuple[str, str]] = rules.INDEX_REDAC
     return F.when(suspicious(text), apply_rules(text, rule_set)).otherwise(text)
 
 
-def redact_all(values: Column, rule_set: Sequence[tuple[str, str]] = rules.INDEX_REDACTION) -> Column:
-    return F.transform(values, lambda value: redact(value, rule_set))
-
-
 def redact_map(values: Column, rule_set: Sequence[tuple[str, str]] = rules.INDEX_REDACTION) -> Column:
     return F.transform_values(values, lambda _key, value: redact(value, rule_set))
 
@@ -108,11 +104,6 @@ def flatten_list(values: Column) -> Column:
     return F.coalesce(F.array_join(values, "\n"), F.lit(""))
 
 
-def as_list(value: Column) -> Column:
-    """null -> [], anything else -> one-element list."""
-    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array(value.cast("string")))
-
-
 def normalise_newlines(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 

@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from lorebase import rules
 from lorebase.functions.text import escape_html
 from lorebase.operators.grouping import with_prefix
+from lorebase.session import persist_table
+
+
+def _fitting(records: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, size: Column, limit: int) -> DataFrame:
+    """``records`` with ``prefix``, as far as the budget goes.
+
+    Only keys, order and sizes are summed up; what fits is a short table, so the texts are fetched by a join on keys and
+    order (which have to name a row) that leaves them where they are while Spark can broadcast that table.
+    """
+    sizes = records.select(*keys, *order, block.alias("_at"), size.alias("_size"))
+    fitting = with_prefix(sizes, keys, order, F.col("_at"), F.col("_size"), "prefix", limit)
+    return records.join(persist_table(fitting.select(*keys, *order, "prefix"), "fitting"), [*keys, *order])
 
 
 def within_budget(
@@ -21,12 +33,10 @@ def within_budget(
     The block that crosses the limit is cut. Mail cuts the whole block (``cut_header``), chat channels cut only the
     text, so their header may run over the limit. Rows past the limit are left out.
     """
-    size = F.length(header) + F.length(text)
-    summed = with_prefix(records, keys, order, block, size, "prefix")
     left = F.lit(limit) - F.col("prefix")
     whole = F.concat(header, text)
     cut = F.substring(whole, F.lit(1), left) if cut_header else F.concat(header, F.substring(text, F.lit(1), left))
-    return summed.withColumn("block", cut).filter(left > 0)
+    return _fitting(records, keys, order, block, F.length(header) + F.length(text), limit).withColumn("block", cut)
 
 
 def doc_budget(
@@ -36,17 +46,18 @@ def doc_budget(
     """Adds ``included`` (text as shown) and ``included_chars``: at most ``per_file`` characters of a file, the tail
     for a log, and ``total`` characters per key; cuts are marked."""
     over = F.length(text) > per_file
+    tail, cut_off = "[TRUNCATED: latest work-log tail only]\n", f"\n\n[TRUNCATED after {per_file} chars]"
     shown = (
-        F.when(over & is_log, F.concat(F.lit("[TRUNCATED: latest work-log tail only]\n"), F.right(text, F.lit(per_file))))
-        .when(over, F.concat(F.substring(text, 1, per_file), F.lit(f"\n\n[TRUNCATED after {per_file} chars]")))
+        F.when(over & is_log, F.concat(F.lit(tail), F.right(text, F.lit(per_file))))
+        .when(over, F.concat(F.substring(text, 1, per_file), F.lit(cut_off)))
         .otherwise(text)
     )
-    capped = docs.withColumn("_shown", shown)
-    summed = with_prefix(capped, keys, order, block, F.length("_shown"), "prefix")
+    size = F.when(over & is_log, F.lit(len(tail) + per_file)).when(over, F.lit(per_file + len(cut_off))).otherwise(F.length(text))
+    fitting = _fitting(docs, keys, order, block, size, total).withColumn("_shown", shown)
     left = F.lit(total) - F.col("prefix")
     cut = F.concat(F.substring(F.col("_shown"), F.lit(1), left), F.lit("\n\n[TRUNCATED by total prompt budget]"))
     fitted = F.when(F.length("_shown") > left, cut).otherwise(F.col("_shown"))
-    return summed.filter(left > 0).withColumn("included", fitted).withColumn("included_chars", F.length("included")).drop("_shown")
+    return fitting.withColumn("included", fitted).withColumn("included_chars", F.length("included")).drop("_shown")
 
 
 def day_summary(records: DataFrame, day: Column, person: Column, files: Column, keys: Sequence[str] = ()) -> DataFrame:

@@ -75,6 +75,40 @@ def section_rollup(distilled: DataFrame) -> DataFrame:
     )
 
 
+def _merged_best(items: DataFrame, levels: Sequence[str], limit: int) -> DataFrame:
+    """The first ``limit`` items of each notebook, from the first ``limit`` of each section below it: a section hands on its
+    best only, in page order, and the notebook takes them in turn, the first of every section before any second one."""
+    best = top_per_key(items, list(levels), [F.asc("ordinal"), F.asc("position")], limit, "place")
+    return top_per_key(best, [levels[0]], [F.asc("place"), F.asc("ordinal"), F.asc("position")], limit)
+
+
+def notebook_rollup(distilled: DataFrame, notebook: str = "notebook", limit: int = rules.SECTION_FACTS) -> DataFrame:
+    """One row per notebook over all its sections: pages, topics, highlight facts, open questions, a summary sentence.
+
+    Every level is a merge of bounded or counted rows of the level below: tags are counted per section and then summed up,
+    facts and questions cut to the best of a section and then of the notebook. What is collected per notebook is a dozen rows.
+    """
+    per_page = rules.SECTION_FACTS_PER_PAGE
+    pages = persist_table(distilled.select(notebook, "section", "ordinal", "tags", F.slice("important_facts", 1, per_page).alias("facts"),
+                                           F.slice("next_steps_or_questions", 1, per_page).alias("steps")), "notebook-pages")
+    sections = pages.groupBy(notebook, "section").agg(F.count("*").alias("pages"))
+    counts = sections.groupBy(notebook).agg(F.sum("pages").alias("page_count"), F.count("*").alias("section_count"))
+    tagged = pages.select(notebook, "section", "ordinal", F.posexplode("tags").alias("position", "tag")).groupBy(notebook, "section", "tag").agg(
+        F.count("*").alias("pages"), F.min(F.struct("ordinal", "position")).alias("first"))
+    topics = top_per_key(tagged.groupBy(notebook, "tag").agg(F.sum("pages").alias("pages"), F.min("first").alias("first")), [notebook],
+                         [F.desc("pages"), F.asc("first")], rules.SECTION_TAGS)
+    out = counts
+    for name, rows, value in (("top_topics", topics, "tag"),
+                              *((name, _merged_best(pages.select(notebook, "section", "ordinal", F.posexplode(source).alias("position", "item")), (notebook, "section"), limit), "item")
+                                for name, source in (("highlight_facts", "facts"), ("open_questions", "steps")))):
+        listed = rows.groupBy(notebook).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", value))), lambda e: e[value]).alias(name))
+        out = out.join(listed, notebook, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    named = F.array_join(F.slice("top_topics", 1, rules.SECTION_SUMMARY_TAGS), ", ")
+    summary = F.concat(F.col(notebook), F.lit(" contains "), F.col("page_count"), F.lit(" pages in "), F.col("section_count"), F.lit(" sections. Main topics: "),
+                       F.when(named == "", "none detected").otherwise(named), F.lit("."))
+    return out.select(notebook, "section_count", "page_count", summary.alias("summary"), "top_topics", "highlight_facts", "open_questions")
+
+
 def page_counts(pages: DataFrame) -> DataFrame:
     """Pages per section and in total (section null) in one pass."""
     return pages.rollup("section").agg(F.count("*").alias("page_count"))

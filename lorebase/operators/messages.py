@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lorebase import rules
 from lorebase.operators.grouping import first_per_key, top_per_key, with_last_known
+from lorebase.session import persist_table
+
+_NONE = np.iinfo(np.int64).min
 
 
 def unseen(messages: DataFrame, seen: DataFrame, key: str) -> DataFrame:
@@ -64,20 +72,35 @@ def modes(messages: DataFrame, chat: str, order: Sequence[str], block: Column, c
     return with_mode.withColumn("mode", F.coalesce("mode", F.lit("ask")))
 
 
-def late_rows(messages: DataFrame, arrival: str, event_time: str, block: Column) -> DataFrame:
-    """Rows that arrive after a row with a later event time; ``latest_before`` is that latest event time.
+def _running_max(event_time: str, names: Sequence[str]):
+    """Adds the number of the range and the latest event time among the range's rows before."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, top = TaskContext.get().partitionId(), None
+        for batch in batches:
+            times = pc.fill_null(batch.column(event_time), _NONE).to_numpy()
+            seen = np.maximum.accumulate(np.concatenate([[_NONE if top is None else top], times]))
+            top = seen[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(times), number, np.int32)), pa.array(seen[:-1], mask=seen[:-1] == _NONE)], names=[*names, "_range", "_local"])
+
+    return run
+
+
+def late_rows(messages: DataFrame, arrival: str, event_time: str) -> DataFrame:
+    """Rows that arrive after a row with a later event time (a whole number); ``latest_before`` is that latest event time.
 
-    The running maximum goes over arrival blocks first and over the rows of a block second.
+    Rows are range-partitioned by arrival. Each range keeps its running maximum; the tops of the ranges, one number per
+    range, are run through on the driver and added back. Rows of one arrival are in no order and end up in one range.
     """
-    keyed = messages.withColumn("_block", block)
-    tops = keyed.groupBy("_block").agg(F.max(event_time).alias("_top"))
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select("_block", F.max("_top").over(earlier).alias("_carried"))
-    inner = Window.partitionBy("_block").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    seen = keyed.withColumn("_local", F.max(event_time).over(inner)).join(carried, "_block")
-    return seen.withColumn("latest_before", F.greatest("_local", "_carried")).filter(
-        F.col(event_time) < F.col("latest_before")
-    ).drop("_block", "_local", "_carried")
+    ordered = messages.withColumn(event_time, F.col(event_time).cast("long")).repartitionByRange(arrival).sortWithinPartitions(arrival)
+    schema = StructType([*ordered.schema.fields, StructField("_range", IntegerType()), StructField("_local", LongType())])
+    kept = persist_table(ordered.mapInArrow(_running_max(event_time, messages.columns), schema), "arrivals")
+    tops, carried, top = kept.groupBy("_range").agg(F.max(event_time).alias("top")).collect(), [], None
+    for row in sorted(tops, key=lambda r: r["_range"]):
+        carried.append((row["_range"], top))
+        top = max((t for t in (top, row["top"]) if t is not None), default=None)
+    before = F.broadcast(messages.sparkSession.createDataFrame(carried, "_range INT, _carried LONG"))  # one row per range
+    return kept.join(before, "_range").withColumn("latest_before", F.greatest("_local", "_carried")).filter(
+        F.col(event_time) < F.col("latest_before")).drop("_range", "_local", "_carried")
 
 
 def sessions(messages: DataFrame, chat: str, micros: Column, gap_minutes: int = 30) -> DataFrame:

@@ -46,6 +46,14 @@ PAGE_STATE = (
     "key STRING, section STRING, title STRING, html STRING, sha256 STRING, created STRING, updated STRING, "
     "text STRING, last_seen_at STRING"
 )
+DISTILLED_ROW = (
+    "key STRING, section STRING, title STRING, html STRING, sha256 STRING, summary STRING, tags ARRAY<STRING>, "
+    "important_facts ARRAY<STRING>, next_steps_or_questions ARRAY<STRING>, text_characters INT"
+)
+CHANGE = (
+    "type STRING, detected_at STRING, key STRING, section STRING, title STRING, html STRING, created STRING, updated STRING, "
+    "previous_sha256 STRING, current_sha256 STRING, text_preview STRING, diff ARRAY<STRING>"
+)
 POLLED_MESSAGE = (
     "message_id STRING, chat_id STRING, chat_type STRING, msg_type STRING, create_time STRING, "
     "sender STRUCT<id STRING, id_type STRING, sender_type STRING, tenant_key STRING>, "

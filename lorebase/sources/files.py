@@ -11,7 +11,7 @@ from lorebase import rules, schemas
 from lorebase.functions import html as H
 from lorebase.functions.text import casefold, normalise_entry, sha256, stem, suffix
 from lorebase.functions.values import epoch_iso
-from lorebase.operators.grouping import numbered_within
+from lorebase.operators.grouping import numbered_by_range, numbered_within
 
 
 def or_empty(spark: SparkSession, schema: str, load) -> DataFrame:
@@ -155,7 +155,7 @@ def tree_manifest(files: DataFrame) -> DataFrame:
     unlinked = pages.join(linked.select("section").distinct(), "section", "left_anti").select(
         "section", "rel", casefold(F.col("rel")).alias("name"))
     ordered = numbered_within(linked, ["section"], ["at"], F.floor(F.col("at") / 1024), "order")
-    by_name = numbered_within(unlinked, ["section"], ["name", "rel"], F.substring("name", 1, 200), "order")
+    by_name = numbered_by_range(unlinked, ["section"], ["name", "rel"], "order")
     places = ordered.select("rel", "order").unionByName(by_name.select("rel", "order"))
 
     meta = H.meta(F.col("text"))

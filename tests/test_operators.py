@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lorebase import rules
+from lorebase import rules, session
 from lorebase.functions import distill as D
 from lorebase.functions import intent as I
 from lorebase.operators import digest, distill, grouping, messages, noise, publish, snapshots, topics
@@ -59,7 +59,7 @@ def test_late_rows(spark):
     rng = random.Random(9)
     rows = [(i, i * 10 - rng.randrange(0, 200)) for i in range(500)]
     df = spark.createDataFrame(rows, "a BIGINT, e BIGINT")
-    got = {r["a"]: r["latest_before"] for r in messages.late_rows(df, "a", "e", F.floor(F.col("a") / 50)).collect()}
+    got = {r["a"]: r["latest_before"] for r in messages.late_rows(df.repartition(7), "a", "e").collect()}
     top, want = None, {}
     for a, e in rows:
         if top is not None and e < top:
@@ -125,7 +125,6 @@ def test_upsert_on_either_key(spark):
 
 def test_upsert_follows_the_order_of_new_pages(spark):
     """No new page is lost when another one matches the page it had matched, against the plain sequential rule."""
-    import random
 
     schema, rng = "ordinal BIGINT, html STRING, source_sha256 STRING", random.Random(4)
     cases = [([(1, "p/1", "h1")], [(101, "p/1", "hNEW"), (102, "moved/1", "h1")])]
@@ -277,3 +276,55 @@ def test_sessions(spark):
     df = spark.createDataFrame(rows, "c INT, at BIGINT")
     got = messages.sessions(df, "c", F.col("at")).collect()
     assert sorted((r["started"], r["ended"], r["messages"]) for r in got) == want
+
+
+@pytest.fixture
+def apart(spark):
+    """Small partitions stay apart, as large ones would."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_late_rows_have_no_single_partition(spark, apart):
+
+    rng = random.Random(8)
+    rows = [(a, rng.choice([None, a - rng.randrange(9), a]), "x") for a in range(2000)]
+    late = messages.late_rows(spark.createDataFrame(rows, "a INT, e LONG, more STRING").repartition(6), "a", "e")
+    assert "SinglePartition" not in plan_of(late)
+    top, want = None, {}
+    for a, e, _ in rows:
+        if e is not None and top is not None and e < top:
+            want[a] = top
+        top = max((t for t in (top, e) if t is not None), default=None)
+    assert {r["a"]: r["latest_before"] for r in late.collect()} == want and len(want) > 200
+    assert messages.late_rows(spark.createDataFrame([], "a INT, e LONG"), "a", "e").collect() == []
+
+
+def test_budgets_do_not_shuffle_texts(spark):
+    rows = [(k, n, "t" * (20 + n)) for k in ("a", "b") for n in range(300)]
+    df = spark.createDataFrame(rows, "k STRING, n INT, t STRING").repartition(5)
+    df.write.mode("overwrite").parquet(f"{session.shared_folder(spark)}/budget-texts")
+    df = spark.read.parquet(f"{session.shared_folder(spark)}/budget-texts")
+    for got in (digest.within_budget(df, ["k"], ["n"], F.floor(F.col("n") / 10), F.lit(""), F.col("t"), 1000),
+                digest.doc_budget(df, ["k"], ["n"], F.floor(F.col("n") / 10), F.col("t"), F.lit(False), 50, 1000)):
+        assert "Exchange hashpartitioning" not in plan_of(got) and "BroadcastExchange" in plan_of(got)
+        assert got.groupBy("k").count().collect()[0]["count"] == sum(20 * n + n * (n - 1) // 2 < 1000 for n in range(300))
+
+
+def test_numbers_by_range(spark, apart):
+    """One key holds nearly all rows; its ranges are numbered on."""
+    rows = [(None if i % 50 == 0 else "big" if i % 10 else f"k{i}", f"{i % 3000:05d}", i) for i in range(9000)]
+    df = spark.createDataFrame(rows, "k STRING, name STRING, i INT").repartition(6)
+    numbered = grouping.numbered_by_range(df, ["k"], ["name", "i"], "nth")
+    want, seen = {}, {}
+    for k, name, i in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        seen[k] = seen.get(k, 0) + 1
+        want[i] = seen[k]
+    assert {r["i"]: r["nth"] for r in numbered.collect()} == want
+    plan = plan_of(df.repartitionByRange("k", "name", "i").withColumn("part", F.spark_partition_id()))
+    assert "rangepartitioning" in plan and len({r[0] for r in df.repartitionByRange("k", "name", "i").where("k = 'big'").select(F.spark_partition_id()).collect()}) > 1

@@ -1,12 +1,13 @@
 """Whole jobs and streams over several batches."""
 
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lorebase import rules, schemas
-from lorebase.plans import ask, build_index, day_digest, nightly, tables
+from lorebase.plans import ask, build_index, day_digest, nightly, tables, versions
 from lorebase.operators import digest
 from lorebase.providers.offline import OfflineProvider
 from lorebase.session import shared_folder
@@ -77,6 +78,67 @@ def test_nightly(spark, tree, tmp_path):  # noqa: F811
     assert nightly.merge_tree(later, manifest).collect()[0].asDict() == {"added_pages": 1, "updated_pages": 1, "duplicate_pages": 2}
 
 
+def test_nightly_twice_changes_nothing(spark, tree, tmp_path):  # noqa: F811
+    files.tree_manifest(files.read_html_tree(spark, str(tree))).write.parquet(str(tmp_path / "manifest"))
+    manifest, path = spark.read.parquet(str(tmp_path / "manifest")), str(tmp_path / "tables")
+    assert nightly.run_nightly(spark, manifest, path, "t1") == {"changes": 0, "distilled": 0, "state": 0}
+    assert nightly.run_nightly(spark, manifest, path, "t2") == {"changes": 0, "distilled": 0, "state": 0}
+    fewer = manifest.where("title <> 'Z'")
+    assert nightly.run_nightly(spark, fewer, path, "t3") == {"changes": 1, "distilled": 1, "state": 1}
+    found = nightly.notebook_tables(spark, path)
+    assert {r["title"] for r in found["state"].read(0).collect()} - {r["title"] for r in found["distilled"].read().collect()} == {"Z"}
+    assert Counter(r["type"] for r in found["changes"].read().collect()) == {"added": 4, "removed": 1}
+
+
+def test_versions(spark, tmp_path, monkeypatch):
+    """Only touched buckets are written; a failed write leaves the old version; pinned readers keep theirs; nulls are values."""
+    table = versions.VersionedTable(spark, str(tmp_path / "t"), "k STRING, v LONG, seen STRING", ["k"], buckets=8, ignore=["seen"])
+    frame = lambda rows: spark.createDataFrame(rows, "k STRING, v LONG, seen STRING")
+    content = lambda df: {(r["k"], r["v"], r["seen"]) for r in df.collect()}
+    assert table.version() is None and content(table.read()) == set()
+    start = [(f"k{i}", i, "a") for i in range(40)] + [(None, None, "a")]
+    assert table.write(frame(start)) == 0
+    pinned = table.read()
+    assert table.write(frame([("k1", 1, "b"), (None, None, "b")])) == 0  # only the ignored column differs
+    assert table.write(frame([("k1", None, "b"), ("new", 5, "b")]), frame([("k7", 0, ""), ("never", 0, "")])) == 1
+    after = {r for r in {(k, v, s) for k, v, s in start} if r[0] not in ("k1", "k7")} | {("k1", None, "b"), ("new", 5, "b")}
+    assert content(table.read()) == after and content(pinned) == content(table.read(0)) == set(start)
+    assert 1 <= len([d for d in os.listdir(tmp_path / "t" / "data" / "v=1") if d.startswith("bucket=")]) <= 3
+    with monkeypatch.context() as broken:
+        broken.setattr(spark, "createDataFrame", lambda *a, **b: (_ for _ in ()).throw(OSError("killed before the commit")))
+        with pytest.raises(OSError):
+            table.write(pinned.limit(3).withColumn("v", F.lit(99)))
+    assert table.version() == 1 and content(table.read()) == after
+    assert table.write(frame([("k2", 77, "c")])) == 2 and ("k2", 77, "c") in content(table.read())
+    everyone = table.read()
+    assert table.write(frame([]), everyone) == 3 and content(table.read()) == set() and content(table.read(2)) == content(everyone)
+
+
+def test_sync_notes_what_came(spark, tmp_path):
+    synced = versions.VersionedTable(spark, str(tmp_path / "s"), "id STRING, modified STRING", ["id"], buckets=4)
+    remote = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "id STRING, modified STRING")
+    asked = []
+
+    def fetch(stale):
+        asked.append(sorted(r["id"] for r in stale.collect()))
+        return stale.select("id", F.when(F.col("id") != "b", F.lit("page")).alias("content"))
+
+    nightly.sync_pages(remote, fetch, synced)
+    nightly.sync_pages(remote, fetch, synced)
+    nightly.sync_pages(remote.withColumn("modified", F.when(F.col("id") == "c", "2").otherwise(F.col("modified"))), fetch, synced)
+    assert asked == [["a", "b", "c"], ["b"], ["b", "c"]]
+
+
+def test_entries_are_rebuilt(spark, tmp_path):
+    write(tmp_path / "e" / "one.md", "---\nid: one\ntitle: One\n---\ntext")
+    write(tmp_path / "e" / "two.md", "---\nid: two\n---\ntext")
+    build = lambda: nightly.rebuild_entries(spark, str(tmp_path / "e" / "*.md"), str(tmp_path / "t"))
+    assert (build(), build()) == (0, 0)
+    os.remove(tmp_path / "e" / "two.md")
+    write(tmp_path / "e" / "three.md", "---\nid: three\n---\ntext")
+    assert build() == 1
+
+
 def test_day_digest(spark):
     records = spark.createDataFrame([(1, "note", "laser order"), (2, "query", "what?"), (3, "file", "promo code"), (4, "note", "cavity")], "ordinal BIGINT, kind STRING, text STRING")
     pages = spark.createDataFrame([("Telegram Records", "Telegram Records 2026-06-12", 9, "x"), ("Lasers", "old", 1, "y")], "section STRING, title STRING, records BIGINT, first_record STRING")
