@@ -155,7 +155,8 @@ def stored_hybrid_topk(spark, folder):
            source_type AS tags, substr({_SNIP}, 1, 1400) AS source_snippet FROM top""")
 def evidence_records(spark, folder):
     top = search.rank_chunks(document_chunks(spark, folder), QUESTION, top_k=8)
-    return search.evidence(top).select("id", "score", "section", "title", "summary", "important_facts", "tags", "source_snippet")
+    records = search.evidence(top)
+    return records.select("id", "score", "section", "title", "summary", F.array_join("important_facts", "|").alias("important_facts"), F.array_join("tags", "|").alias("tags"), "source_snippet")
 
 
 # --- vector reuse -------------------------------------------------------------------------------------------------

@@ -121,29 +121,49 @@ def json_lines(spark, folder):
 
 
 @query("entry_records", """
-    SELECT 'e/' || doc_id || '.md' AS path, 'entry-' || doc_id AS id, 'T: ' || source AS title, lang || '|' || source AS tags, '' AS status,
-        'Head Body ' || doc_id AS body_text FROM documents""")
+    SELECT 'e/' || doc_id || '.md' AS path, 'entry-' || doc_id AS id, 'T: ' || source AS title, lang || '|' || source AS tags, CASE WHEN doc_id % 3 = 0 THEN 'True' ELSE '' END AS status,
+        'Head Body ' || doc_id AS body_text, CASE WHEN doc_id % 2 = 0 THEN 'entry-' || (doc_id - 1) || '|old' ELSE '' END AS supersedes, 'entry-' || (doc_id + 1) AS superseded_by FROM documents""")
 def entry_records(spark, folder):
-    text = F.expr("""'---\n# note: none\nid: wrong\nid: "entry-' || doc_id || '"\ntitle: T: ' || source || '\ntags: [' || lang || ", '" || source || "']\nprojects: []\n---\n## Head\n\nBody   " || doc_id""")
+    text = F.expr("""'---\n# note: none\nid: wrong\nid: "entry-' || doc_id || '"\ntitle: T: ' || source || '\ntags: [' || lang || ", '" || source || "']" || CASE WHEN doc_id % 3 = 0 THEN '\nstatus: TRUE' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN '\nsupersedes: [entry-' || (doc_id - 1) || ', "old"]' ELSE '' END || '\nsuperseded_by: entry-' || (doc_id + 1) || '\nprojects: []\n---\n## Head\n\nBody   ' || doc_id""")
     entries = files.parse_entries(table(spark, folder, "documents").select(F.concat(F.lit("e/"), F.col("doc_id"), F.lit(".md")).alias("path"), text.alias("text")))
-    return entries.select("path", "id", "title", F.array_join("tags", "|").alias("tags"), "status", "body_text")
+    return entries.select("path", "id", "title", F.array_join("tags", "|").alias("tags"), "status", "body_text", F.array_join("supersedes", "|").alias("supersedes"), "superseded_by")
 
 
 _SUBJECT = "CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'password: hunter2 quote ' || doc_id END"
 
 
+# Every fifth mail carries files: a note, a picture and a blank one; every seventh is an advertisement.
+_MAILS = f"""(SELECT doc_id, {_SUBJECT} AS subject, text || CASE WHEN doc_id % 7 = 0 THEN ' newsletter' ELSE ' token = abcdef' END AS body FROM documents)"""
+_MAIL_TEXT = """'Source: email' || chr(10) || 'Date: 2026-06-11' || chr(10) || 'From: a@b.c' || chr(10) || 'Subject: ' || CASE WHEN subject = '' THEN '(no subject)' ELSE subject END
+    || chr(10) || 'Preview:' || chr(10) || substr(body, 1, 2000) || chr(10) || 'Body:' || chr(10) || body || chr(10) || 'Attachments:' || chr(10)
+    || CASE WHEN doc_id % 5 = 0 THEN 'file_name=n.txt; mime_type=text/plain; path=m/' || doc_id || '/n.txt' || chr(10) || 'file_name=p.png; path=m/p.png' || chr(10) || 'file_name=b.txt; path=x/b.txt' ELSE '' END"""
+_MAIL_KEPT = f"NOT ({any_of(fold('text'), rules.INDEX_NOISE)})"
+
+
+def _mails(spark, folder):
+    rows = table(spark, folder, "documents").select("doc_id", "text", F.expr(_SUBJECT).alias("subject"))
+    body = F.concat("text", F.when(F.col("doc_id") % 7 == 0, F.lit(" newsletter")).otherwise(F.lit(" token = abcdef")))
+    file = "named_struct('file_name', '{}', 'path', {}, 'mime_type', '{}', 'size', 1L, 'sha256', '', 'classification', '', 'text_preview', '', 'text_extract', {})"
+    files_ = F.expr("array(" + ", ".join([file.format("n.txt", "'m/' || doc_id || '/n.txt'", "text/plain", "'note ' || text"), file.format("p.png", "'m/p.png'", "", "cast(null as string)"),
+                                           file.format("", "'x/b.txt'", "", "' '")]) + ")")
+    return rows.select(
+        F.concat(F.lit("m/"), F.col("doc_id")).alias("path"), F.col("doc_id").cast("string").alias("message_id"), F.lit("2026-06-11").alias("date"), F.lit("a@b.c").alias("from"),
+        "subject", body.alias("body"), F.substring(body, 1, 2000).alias("text_preview"), F.when(F.col("doc_id") % 5 == 0, files_).alias("attachments"))
+
+
 @query("mail_sources", f"""
     SELECT title, author, {redact('text')} AS text FROM (
-        SELECT {redact("CASE WHEN subject = '' THEN '(no subject)' ELSE subject END")} AS title, 'a@b.c' AS author,
-            'Source: email' || chr(10) || 'Date: 2026-06-11' || chr(10) || 'From: a@b.c' || chr(10) || 'Subject: ' || CASE WHEN subject = '' THEN '(no subject)' ELSE subject END
-            || chr(10) || 'Preview:' || chr(10) || substr(body, 1, 2000) || chr(10) || 'Body:' || chr(10) || body AS text
-        FROM (SELECT {_SUBJECT} AS subject, text || ' token = abcdef' AS body FROM documents))""")
+        SELECT {redact("CASE WHEN subject = '' THEN '(no subject)' ELSE subject END")} AS title, 'a@b.c' AS author, {_MAIL_TEXT} AS text FROM {_MAILS}) WHERE {_MAIL_KEPT}""")
 def mail_sources(spark, folder):
-    body = F.concat("text", F.lit(" token = abcdef"))
-    records = table(spark, folder, "documents").select(
-        F.concat(F.lit("m/"), F.col("doc_id")).alias("path"), F.col("doc_id").cast("string").alias("message_id"), F.lit("2026-06-11").alias("date"), F.lit("a@b.c").alias("from"),
-        F.expr(_SUBJECT).alias("subject"), body.alias("body"), F.substring(body, 1, 2000).alias("text_preview"))
-    return mail.mail_sources(records).select("title", "author", "text")
+    return mail.mail_sources(_mails(spark, folder), hints=()).select("title", "author", "text")
+
+
+@query("mail_attachment_sources", f"""
+    SELECT 'n.txt' AS title, 'm/' || doc_id || '/n.txt' AS path, {redact("'note ' || plain")} AS text FROM (
+        SELECT m.doc_id, {_MAIL_TEXT.replace('doc_id', 'm.doc_id')} AS text, d.text AS plain FROM {_MAILS} m JOIN documents d ON d.doc_id = m.doc_id WHERE m.doc_id % 5 = 0) WHERE {_MAIL_KEPT}""")
+def mail_attachment_sources(spark, folder):
+    """Of the three files of a mail only the note has text; an advertisement's files are left out with it."""
+    return mail.mail_attachment_sources(_mails(spark, folder), hints=()).select("title", "path", "text")
 
 
 @query("chat_archive_sources", f"""

@@ -47,9 +47,9 @@ def question_terms(
     return list(dict.fromkeys(latin + grams))
 
 
-def page_question_terms(question: str) -> list[str]:
-    """Terms of the page ranker: no aliases, a shorter stop list, single characters count."""
-    return question_terms(question, (), rules.PAGE_STOP_CHARS, keep_single=True)
+def page_question_terms(question: str, alias_rules: AliasRules = ()) -> list[str]:
+    """Terms of the page ranker: no aliases unless given, a shorter stop list, single characters count."""
+    return question_terms(question, alias_rules, rules.PAGE_STOP_CHARS, keep_single=True)
 
 
 def word_tokens(text: str) -> list[str]:

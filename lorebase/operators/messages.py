@@ -43,6 +43,13 @@ def bootstrap_split(messages: DataFrame, bootstrapped_chats: DataFrame, seen: Da
     return routed.withColumn("action", action).drop("_known", "_seen")
 
 
+def known_chats(visible: DataFrame, configured: DataFrame) -> DataFrame:
+    """``chat_id, chat_type``: the chats a service lists, and configured ones that it does not, as groups; blank ids are left out."""
+    more = configured.select(F.col("chat_id").cast("string").alias("chat_id")).where("chat_id <> ''").distinct()
+    listed = visible.select("chat_id", "chat_type")
+    return listed.unionByName(more.join(listed.select("chat_id"), "chat_id", "left_anti").select("chat_id", F.lit("group").alias("chat_type")))
+
+
 def retained_ids(ids: DataFrame, key: str, limit: int) -> DataFrame:
     """The ids a mail state of bounded length keeps: the last ``limit`` in string order, so older ids may come back as new.
     Use a watermark on the stream (``live_messages``) where that matters."""

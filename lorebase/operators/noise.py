@@ -45,6 +45,21 @@ def is_uncertain(text: Column, hints: Sequence[str] = rules.DIGEST_HINTS,
     return ~hinted(folded, hints) & contains_any(folded, markers)
 
 
+def record_text(records: DataFrame) -> Column:
+    """What a record is judged by: its filled fields, then those of its attachments and files, a line each. Columns and
+    attachment fields that a channel does not have are left out."""
+    def filled(value: Column) -> Column:
+        return F.nullif(value.cast("string"), F.lit(""))
+
+    parts = [filled(F.col(c)) for c in ("sender", "subject", "text_preview", "text", "kind", "person") if c in records.columns]
+    for name in ("attachments", "files"):
+        if name in records.columns:
+            fields = [f for f in ("filename", "name", "mime_type", "text_preview") if f in records.schema[name].dataType.elementType.fieldNames()]
+            lines = F.flatten(F.transform(name, lambda item: F.array(*[filled(item[f]) for f in fields])))  # noqa: B023
+            parts.append(F.nullif(F.array_join(F.coalesce(lines, F.array().cast("array<string>")), "\n"), F.lit("")))
+    return F.concat_ws("\n", *parts)
+
+
 def gate_records(records: DataFrame, decisions: DataFrame | None, key: str, text: str = "text",
                  hints: Sequence[str] = rules.DIGEST_HINTS, otp: Sequence[str] = rules.OTP_PATTERNS,
                  ads: Sequence[str] = rules.AD_PATTERNS, markers: Sequence[str] = rules.WEAK_NOISE) -> DataFrame:

@@ -119,15 +119,20 @@ def page_fields(pages: DataFrame) -> dict[str, Column]:
 
 
 def rank_pages(pages: DataFrame, question: str, order: str, fields: Mapping[str, Column] | None = None,
-               top_k: int = rules.PAGE_TOP_K) -> DataFrame:
-    """Weighted field search over pages; ``order`` keeps ties in page order."""
+               top_k: int = rules.PAGE_TOP_K, alias_rules: Q.AliasRules = ()) -> DataFrame:
+    """Weighted field search over pages; ``order`` keeps ties in page order. The texts of aliases add terms to the question's."""
     fields = fields or page_fields(pages)
     folded = pages.select("*", *[column.alias(f"_{name}") for name, column in fields.items()])
-    score = S.page_score({n: F.col(f"_{n}") for n in fields}, question, Q.page_question_terms(question))
+    score = S.page_score({n: F.col(f"_{n}") for n in fields}, question, Q.page_question_terms(question, alias_rules))
     scored = folded.withColumn("score", F.round(score, 4)).drop(*[f"_{n}" for n in fields])
     return scored.orderBy(F.desc("score"), F.asc(order)).limit(top_k).filter(F.col("score") > 0)
 
 
+def with_page_snippet(hits: DataFrame, text: Column, question: str, length: int = rules.PAGE_SNIPPET, alias_rules: Q.AliasRules = ()) -> DataFrame:
+    """Adds the piece of each page's text around its first hit."""
+    return hits.withColumn("snippet", S.snippet(text, Q.page_question_terms(question, alias_rules), length))
+
+
 def answer_bands(hits: DataFrame) -> DataFrame:
     """likely / confidence / top score / evidence count of a ranked page list (at most k rows)."""
     top = F.coalesce(F.max("score"), F.lit(0.0))
@@ -181,23 +186,48 @@ def rank_files(files: DataFrame, request: str, top_k: int = rules.FILE_TOP_K) ->
 
 
 def evidence(candidates: DataFrame) -> DataFrame:
-    """Evidence records of selected candidates: distilled fields where the chunk has them, else its own text."""
+    """Evidence records of selected candidates: distilled fields where the chunk's page has them, else its own text."""
     from lorebase.functions.text import compact, redact
 
     flat = compact(redact(F.col("text")))
-    meta = F.col("metadata")
-    summary = F.coalesce(F.try_element_at(meta, F.lit("one_sentence_summary")), F.substring(flat, 1, rules.MANIFEST_PREVIEW))
-    facts = F.coalesce(F.try_element_at(meta, F.lit("important_facts")), F.substring(flat, 1, 1200))
+    of = lambda name: F.try_element_at("metadata", F.lit(name))
+    distilled, none = of("one_sentence_summary").isNotNull(), F.array().cast("array<string>")
+
+    def items(name: str) -> Column:
+        return F.filter(F.split(redact(F.coalesce(of(name), F.lit(""))), "\n"), lambda line: line != "")
+
+    def listed(name: str, otherwise: Column = none) -> Column:
+        return F.when(distilled, items(name)).otherwise(otherwise).alias(name)
+
+    own_facts = F.array(F.substring(flat, 1, 1200))
     return candidates.select(
         F.col("chunk_id").alias("id"), "score", "semantic_score", "lexical_score", "source_type", "section", "title",
-        F.col("path").alias("html"), F.coalesce(F.try_element_at(meta, F.lit("source_sha256")), F.lit("")).alias("source_sha256"),
-        redact(summary).alias("summary"), redact(facts).alias("important_facts"),
-        F.coalesce(F.try_element_at(meta, F.lit("tags")), F.col("source_type")).alias("tags"),
-        F.coalesce(F.try_element_at(meta, F.lit("attachments")), F.lit("")).alias("attachments"),
+        F.col("path").alias("html"), F.coalesce(of("source_sha256"), F.lit("")).alias("source_sha256"),
+        F.when(distilled, redact(of("one_sentence_summary"))).otherwise(F.substring(flat, 1, rules.MANIFEST_PREVIEW)).alias("summary"),
+        listed("what_happened"), F.when(F.size(items("important_facts")) > 0, items("important_facts")).otherwise(own_facts).alias("important_facts"),
+        listed("decisions_or_conclusions"), listed("open_questions_or_next_steps"), listed("people_organizations_equipment"),
+        listed("tags", F.array("source_type")), items("attachments").alias("attachments"),
         F.substring(flat, 1, 1400).alias("source_snippet"), "date", "author",
     )
 
 
+def page_evidence(pages: DataFrame, selected: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Evidence of the pages that a model picked from the numbered directory (1, 2, 3 ... along ``order``).
+
+    ``selected``: position, id as text. Ids that are no number or no page are left out and a repeated one counts once, at its
+    first position. The score only keeps the directory's order: 100 less the id.
+    """
+    from lorebase.operators.grouping import numbered_by_range
+
+    wanted = selected.select("position", F.expr("try_cast(id AS BIGINT)").alias("id")).where("id >= 1").groupBy("id").agg(F.min("position").alias("position"))
+    lists = [F.coalesce(f"distilled.{name}", F.array().cast("array<string>")).alias(name) for name in (
+        "what_happened", "important_facts", "decisions_or_conclusions", "open_questions_or_next_steps", "people_organizations_equipment", "tags")]
+    return numbered_by_range(pages, [], list(order), "id").join(wanted, "id").select(
+        "position", "id", (F.lit(100) - F.col("id")).alias("score"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("section", "title", "html", "source_sha256")],
+        F.coalesce("distilled.one_sentence_summary", F.lit("")).alias("summary"), *lists,
+        F.slice(F.coalesce("attachments", F.array().cast("array<string>")), 1, 10).alias("attachments"))
+
+
 def select_candidates(candidates: DataFrame, selected: DataFrame) -> DataFrame:
     """Candidates whose id was selected, in candidate order."""
     return candidates.join(selected.select("chunk_id").distinct(), "chunk_id", "left_semi")

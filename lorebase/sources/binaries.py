@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from email import message_from_bytes
@@ -11,8 +12,9 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from lorebase import rules
 from lorebase.functions import html as H
 from lorebase.functions.text import normalise_export
 from lorebase.functions.values import extractor
@@ -84,6 +86,32 @@ def mail_parts(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(data) for data in content], columns=[f.name for f in _MESSAGE.fields])
 
 
+_ATTACHMENTS = ArrayType(StructType([StructField("file_name", StringType()), StructField("mime_type", StringType()), StructField("size", LongType()),
+                                    StructField("sha256", StringType()), StructField("text", StringType())]))
+
+
+@F.pandas_udf(_ATTACHMENTS)
+def mail_attachments(content: pd.Series) -> pd.Series:
+    """The attached files of a mail: name, type, size, hash, and the text of those that are text."""
+    def one(data: bytes | None) -> list[dict]:
+        out = []
+        for part in message_from_bytes(data, policy=modern_policy).walk() if data is not None else ():
+            name = part.get_filename()
+            if part.is_multipart() or not (name or part.get_content_disposition() == "attachment"):
+                continue
+            raw = part.get_payload(decode=True) or b""
+            text = None
+            if part.get_content_maintype() == "text" or (name or "").lower().endswith(rules.INDEX_TEXT_SUFFIXES):
+                try:
+                    text = raw.decode(part.get_content_charset() or "utf-8")
+                except (LookupError, UnicodeDecodeError):
+                    text = raw.decode("utf-8", errors="replace")
+            out.append({"file_name": name or "", "mime_type": part.get_content_type(), "size": len(raw), "sha256": hashlib.sha256(raw).hexdigest(), "text": text})
+        return out
+
+    return content.map(one)
+
+
 @F.pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType())])))
 def _web_archive_parts(content: pd.Series) -> pd.Series:
     """Kind and text of the text parts of a web archive."""

@@ -112,7 +112,9 @@ def parse_entries(files: DataFrame) -> DataFrame:
         return F.get(F.reverse(F.filter("pairs", lambda p: p["key"] == key)), F.lit(0))["value"]
 
     def scalar(key: str, default: Column) -> Column:
-        return F.coalesce(unquote(raw(key)), default)
+        # bare true and false are booleans, and a boolean in a text field reads True or False
+        bare = F.when(F.lower(raw(key)).isin("true", "false"), F.initcap(F.lower(raw(key))))
+        return F.coalesce(bare, unquote(raw(key)), default)
 
     def many(key: str) -> Column:
         inner = F.trim(F.regexp_extract(raw(key), r"^\[(.*)\]$", 1))
@@ -126,6 +128,7 @@ def parse_entries(files: DataFrame) -> DataFrame:
         scalar("status", empty).alias("status"), scalar("date", empty).alias("date"), many("projects").alias("projects"),
         many("people").alias("people"), many("tags").alias("tags"), many("source_refs").alias("source_refs"),
         scalar("confidence", empty).alias("confidence"), scalar("summary", empty).alias("summary"),
+        many("supersedes").alias("supersedes"), scalar("superseded_by", empty).alias("superseded_by"),
         normalise_entry(F.col("body")).alias("body_text"),
     )
 
