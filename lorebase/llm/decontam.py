@@ -7,11 +7,11 @@ windows of it slide over every text by an eighth of it. An index of four 16-bit
 take is listed beforehand. Candidates are verified exactly: the weighted similarity of their five-word shingles (sum of
 least over sum of greatest counts) with the item-sized window that fits best nearby has to be 0.75 or more.
 
-The items are read into memory in groups of at most ``group_bytes`` of text; more groups than one mean more passes over
+The items are read into memory in groups of about ``group_bytes`` of text and index; more groups than one mean more passes over
 the documents, never a larger table in a task.
 
 Defined results: a null or empty text has no leak, nor has any text for an item without words; an item or text of fewer
-than five words is one shingle; repeated rows are found each; empty tables give no rows. Only the named columns are read,
+than five words is one shingle; an item of 2**15 words or more is found by its shingles only where its signs' sums do not wrap; repeated rows are found each; empty tables give no rows. Only the named columns are read,
 so further columns can't clash.
 """
 
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from lorebase.llm.common import ALNUM, FOLDED_VALUES, bytes_of, shingle_hashes, slices, word_hashes
 
 RADIUS, SIMILARITY, WIDTH, GROUP_BYTES = 15, 0.75, 5, 16 << 20
+#: what an item takes in the index beside its text: its place in the lists of all values near its four blocks
+ITEM_BYTES = 12_000
 _BLOCKS, _BLOCK_BITS, _FILTER_BITS = 4, 16, 22
 
 
@@ -75,11 +77,13 @@ class Items:
         for s in shingles:
             self.seen[(s >> np.uint64(64 - _FILTER_BITS)).astype(np.intp)] = True
         self.needed = np.array([int(np.ceil(similarity * len(s))) for s in shingles], np.int64)
-        self.classes: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]] = []
+        self.classes: list[tuple[int, list[tuple[np.ndarray, np.ndarray]], int, int]] = []  # window size, blocks, how far sizes differ, least needed
         at = 0
         while at < len(own):
             end = int(np.searchsorted(self.sizes, self.sizes[at] * 1.1, "right"))
-            self.classes.append((int(self.sizes[at:end].mean().round()), self._blocks(np.arange(at, end))))
+            size = int(self.sizes[at:end].mean().round())
+            least = 0 if self.sizes[at] < width else int(self.needed[at:end].min())
+            self.classes.append((size, self._blocks(np.arange(at, end)), int(np.abs(self.sizes[at:end] - size).max()), least))
             at = end
 
     def _blocks(self, members: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -114,30 +118,43 @@ class Items:
         words, bounds = _words(texts)
         if not len(words) or not self.ids:
             return []
-        sums = _running(words)
         run, run_text = shingle_hashes(words, bounds, self.width)
         counts = np.diff(bounds)
         runs = np.where(counts >= self.width, counts - self.width + 1, (counts > 0).astype(np.int64))
         order = np.argsort(run_text, kind="stable")
         shingle = np.zeros(len(words), np.uint64)  # the shingle that starts at each word
-        place = np.arange(len(run)) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(bounds[:-1], runs)
-        shingle[place] = run[order]
+        begin = np.arange(len(run)) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(bounds[:-1], runs)
+        shingle[begin] = run[order]
         known = np.zeros(len(words) + 1, np.int64)  # shingles of some item that start before each word
-        known[place + 1] = self.seen[(run[order] >> np.uint64(64 - _FILTER_BITS)).astype(np.intp)]
+        known[begin + 1] = self.seen[(run[order] >> np.uint64(64 - _FILTER_BITS)).astype(np.intp)]
         known = np.cumsum(known)
+        owner = np.repeat(np.arange(len(counts)), counts)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
-        for size, blocks in self.classes:
+        kept = []
+        for size, blocks, spread, least in self.classes:
             stride = max(1, size // 8)
             starts = np.concatenate([np.arange(0, len(words), stride), bounds[:-1], np.maximum(bounds[1:] - size, bounds[:-1])])
-            text = np.searchsorted(bounds, starts, "right") - 1
-            text[starts >= len(words)] = -1
+            starts = starts[starts < len(words)]
+            text = owner[starts]
             stop = np.minimum(starts + size, bounds[text + 1])
-            fits = (text >= 0) & (stop - starts >= np.minimum(size, np.maximum(0.7 * size, np.minimum(counts, size)[text])))
-            starts, stop, text = starts[fits], stop[fits], text[fits]
+            # no item of this class can be where too few of any item's shingles are, whatever the fingerprints say
+            slack = stride + spread + 1
+            near = known[np.minimum(stop + slack, bounds[text + 1])] - known[np.maximum(starts - slack, bounds[text])]
+            able = np.flatnonzero(near >= least)
+            starts, stop, text = starts[able], stop[able], text[able]
+            fits = stop - starts >= np.minimum(size, np.maximum(0.7 * size, np.minimum(counts, size)[text]))
+            kept.append((starts[fits], stop[fits], text[fits]))
+        wanted = np.zeros(len(counts), bool)  # texts with a window that is left; only their words are summed up
+        for _, _, text in kept:
+            wanted[text] = True
+        taken = wanted[owner]
+        sums, place = _running(words[taken]), np.concatenate([[0], np.cumsum(taken)])
+        for (size, blocks, _, _), (starts, stop, text) in zip(self.classes, kept, strict=True):
+            stride = max(1, size // 8)
             for a in range(0, len(starts), 1 << 16):
                 few = slice(a, a + (1 << 16))
-                window, item = self._candidates(_prints(sums[stop[few]] - sums[starts[few]]), blocks)
+                window, item = self._candidates(_prints(sums[place[stop[few]]] - sums[place[starts[few]]]), blocks)
                 window += a
                 slack = stride + np.abs(self.sizes[item] - size) + 1
                 low = np.maximum(starts[window] - slack, bounds[text[window]])
@@ -157,15 +174,15 @@ class Items:
                         least = sum((found & self.counts[i]).values())
                         value = least / (sum(found.values()) + sum(self.counts[i].values()) - least)
                         if value >= self.similarity and value > best.get(key, (0.0,))[0]:
-                            print_ = _prints((sums[stop_at] - sums[at])[None])[0]
+                            print_ = _prints((sums[place[stop_at]] - sums[place[at]])[None])[0]
                             best[key] = value, at - int(bounds[key[0]]), int(np.bitwise_count(print_ ^ self.prints[i]))
         return [(row, i, at, distance, value) for (row, i), (value, at, distance) in sorted(best.items())]
 
 
 def item_groups(benchmark: DataFrame, key: str = "item_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> Iterator[Items]:
-    """The items, read in groups of about ``group_bytes`` of text each."""
+    """The items, read in groups of about ``group_bytes`` of text and index each."""
     rows = benchmark.select(F.col(key).alias("item_id"), F.col(text).alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = rows.agg(F.sum(F.octet_length("text") + ITEM_BYTES)).first()[0] or 0
     groups = 1 + total // group_bytes
     for g in range(groups):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect() if groups > 1 else rows.collect()
