@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from lorebase import rules
-from lorebase.catalogue.registry import compact, fold, query, quoted, redact
+from lorebase.catalogue.registry import ESC, compact, fold, query, quoted, redact
 from lorebase.functions import intent as I
 from lorebase.functions import text as T
-from lorebase.operators import messages, noise, search, topics
+from lorebase.operators import messages, noise, render, search, topics
 from lorebase.sources import distilled
 from lorebase.sources.adapters import table
 
@@ -180,3 +180,40 @@ def command_parse_polled(spark, folder):
     """The polled channel's grammar: no modes, notes before casual talk, an unknown command is talk."""
     said = F.element_at(F.array(*[F.lit(_SAID[k]) for k in range(8)]), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
     return table(spark, folder, "conversations").select("conv_id", "turn", I.parse_command(said, "lark").alias("c")).select("conv_id", "turn", "c.*")
+
+
+# --- rendered pages -------------------------------------------------------------------------------------------------------
+_END = (1 << 62) - 1
+
+
+@query("manifest_page", f"""
+    WITH p AS (SELECT lang AS section, doc_id, '<' || source || ' & "' || doc_id || '">' AS title, substr(text, 1, 60) AS preview FROM documents)
+    SELECT section, doc_id AS at, 1 AS part, '<tr><td>' || doc_id || '</td><td><a href="h/' || doc_id || '.html">' || {ESC.format('title')} || '</a></td><td></td><td>' || {ESC.format('preview')} || '</td></tr>' AS html FROM p
+    UNION ALL SELECT section, -1, 0, '<section><h2>' || section || ' (' || count(*) || ')</h2><table>' FROM p GROUP BY section
+    UNION ALL SELECT section, {_END}, 2, '</table></section>' FROM p GROUP BY section""")
+def manifest_page(spark, folder):
+    docs = table(spark, folder, "documents")
+    pages = docs.select(F.col("lang").alias("section"), F.col("doc_id").alias("order"), F.concat(F.lit("<"), "source", F.lit(' & "'), "doc_id", F.lit('">')).alias("title"),
+                        F.concat(F.lit("h/"), "doc_id", F.lit(".html")).alias("html"), F.lit(None).cast("string").alias("updated"), F.substring("text", 1, 60).alias("text_preview"))
+    return render.manifest_fragments(pages)
+
+
+@query("digest_page", f"""
+    SELECT lang AS section, doc_id AS at, 1 AS part, '<article><h3>' || CASE WHEN doc_id % 5 <> 0 THEN 'Page ' || doc_id ELSE '' END || '</h3><p>' || coalesce({_SUMMARY}, '') || '</p>'
+        || CASE WHEN doc_id % 3 = 1 THEN '<h4>Important facts</h4><ul><li>one ' || doc_id || '</li><li>two</li></ul>' ELSE '' END || '<h4>Tags</h4><ul><li>' || lang || '</li><li>' || source || '</li></ul>'
+        || '<p><a href="h/' || doc_id || '.html">source</a></p></article>' AS html FROM documents
+    UNION ALL SELECT lang, -1, 0, '<section><h2>' || lang || '</h2><p>' || count(*) || ' pages</p>' FROM documents GROUP BY lang
+    UNION ALL SELECT lang, {_END}, 2, '</section>' FROM documents GROUP BY lang""")
+def digest_page(spark, folder):
+    pages = distilled_pages(spark, folder).select("doc_id", "section", "title", "html", F.col("distilled.one_sentence_summary").alias("summary"), "distilled.important_facts", "distilled.tags")
+    return render.digest_fragments(pages, "doc_id", [("important_facts", "Important facts"), ("tags", "Tags")])
+
+
+@query("question_page", f"""
+    SELECT 1 AS section, doc_id AS at, 1 AS part, '<article><h3>' || source || '</h3><p>' || lang || ' | score 0.500</p><p>' || {ESC.format('substr(text, 1, 80)')} || '</p><blockquote>' || {ESC.format('substr(text, 1, 300)')}
+        || '</blockquote></article>' AS html FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 5)
+    UNION ALL SELECT 1, -1, 0, '<!DOCTYPE html><html><body><h1>Is x &lt; y?</h1><p>yes &amp; no</p>' UNION ALL SELECT 1, {_END}, 2, '</body></html>'""")
+def question_page(spark, folder):
+    first = table(spark, folder, "documents").orderBy("doc_id").limit(5)
+    evidence = first.select("doc_id", F.col("source").alias("title"), F.col("lang").alias("section"), F.lit(0.5).alias("score"), F.substring("text", 1, 80).alias("summary"), F.substring("text", 1, 300).alias("source_snippet"))
+    return render.question_fragments(evidence, "Is x < y?", "yes & no", "doc_id")

@@ -26,6 +26,9 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
 def strip(x: str) -> str:
     return f"trim({x}, {quoted(rules.SPACE_CHARS)})"
 

@@ -5,9 +5,12 @@ Joins compare keys and hashes only. Text is fetched afterwards, for the changed
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorebase import rules
 from lorebase.functions.text import compact
@@ -130,16 +133,46 @@ _SLOT = "slot LONG, new LONG, origin STRING"
 
 
 def _place(component: pd.DataFrame) -> pd.DataFrame:
-    """Puts the new pages of one component into place one after the other; ``new`` is null where a page stays."""
-    slots = [[r.ordinal, None, "kept", r.html, r.source_sha256] for r in component[~component.fresh].sort_values("ordinal").itertuples()]
-    for r in component[component.fresh].sort_values("ordinal").itertuples():
-        same = lambda a, b: a is not None and a == b
-        slot = next((s for s in slots if same(s[3], r.html) or same(s[4], r.source_sha256)), None)
-        if slot is None:
-            slots.append([r.ordinal, r.ordinal, "appended", r.html, r.source_sha256])
+    """Puts the new pages of one component into place one after the other; ``new`` is null where a page stays.
+
+    Slots are found by html and by hash through heaps of their numbers, whose outdated entries are dropped when met.
+    """
+    ordered = component.sort_values(["fresh", "ordinal"])
+    slots: list[list] = []
+    where: dict[tuple[int, object], list[int]] = {}
+
+    def first(column: int, value: object) -> int | None:
+        heap = where.get((column, value), [])
+        while heap and slots[heap[0]][column] != value:
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
+    for fresh, ordinal, html, digest in zip(ordered["fresh"], ordered["ordinal"], ordered["html"], ordered["source_sha256"], strict=True):
+        at = None
+        if fresh:
+            found = [n for c, v in ((3, html), (4, digest)) if v is not None and (n := first(c, v)) is not None]
+            at = min(found, default=None)
+        if at is None:
+            at = len(slots)
+            slots.append([ordinal, ordinal if fresh else None, "appended" if fresh else "kept", html, digest])
         else:
-            slot[1:] = r.ordinal, "replaced" if slot[2] != "appended" else "appended", r.html, r.source_sha256
-    return pd.DataFrame([s[:3] for s in slots], columns=["slot", "new", "origin"]).astype({"slot": "int64", "new": "Int64"})
+            slots[at][1:] = ordinal, "replaced" if slots[at][2] != "appended" else "appended", html, digest
+        for c, v in ((3, html), (4, digest)):
+            if v is not None:
+                heapq.heappush(where.setdefault((c, v), []), at)
+    return pd.DataFrame([x[:3] for x in slots], columns=["slot", "new", "origin"]).astype({"slot": "int64", "new": "Int64"})
+
+
+def _without_overwritten(placed: DataFrame) -> DataFrame:
+    """Of new pages that follow one another in a component with one hash, each under an html that nothing else has, every one
+    takes the place of the one before. The first and the last of such a run are enough, so copies of one text, however
+    many a batch has, leave two rows."""
+    alone = placed.groupBy(F.col("html").alias("_html")).agg((F.count("*") == 1).alias("_alone"))
+    marked = placed.join(alone, F.col("html") == F.col("_html"), "left").withColumn("_alone", F.coalesce("_alone", F.lit(False)))
+    along = Window.partitionBy("component").orderBy("fresh", "ordinal")
+    goes_on = F.col("fresh") & F.lag("fresh").over(along) & F.col("_alone") & (F.col("source_sha256") == F.lag("source_sha256").over(along))
+    marked = marked.withColumn("_on", F.coalesce(goes_on, F.lit(False)))
+    return marked.withColumn("_next", F.coalesce(F.lead("_on").over(along), F.lit(False))).where(~(F.col("_on") & F.col("_next"))).select(*placed.columns)
 
 
 def upsert_pages(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -149,7 +182,7 @@ def upsert_pages(existing: DataFrame, new: DataFrame) -> DataFrame:
     What one new page does depends on those before it, but only within pages that share an html or a hash. So only new
     pages and the existing ones they can meet are looked at: those with an html of the batch, and of each hash of the
     batch the first page besides (it stays the first, as whatever replaces it by hash has that hash). They fall into
-    components, each put into place in order; a component grows with the batch of a run, not with the archive.
+    components, each put into place in order, after runs of copies that only replace one another are cut to their ends.
     """
     fields = ("ordinal", "html", "source_sha256")
     fresh, old = new.select(*fields, F.lit(True).alias("fresh")), existing.select(*fields, F.lit(False).alias("fresh"))
@@ -165,7 +198,7 @@ def upsert_pages(existing: DataFrame, new: DataFrame) -> DataFrame:
 
     parts = components(shared("html").unionByName(shared("source_sha256")))
     placed = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    slots = persist_table(placed.select("component", "fresh", *fields).groupBy("component").applyInPandas(
+    slots = persist_table(_without_overwritten(placed.select("component", "fresh", *fields)).groupBy("component").applyInPandas(
         lambda component: _place(component.astype({"html": object, "source_sha256": object}).where(component.notna(), None)), _SLOT).filter("new is not null"), "slots")
     kept = existing.join(slots.filter("origin = 'replaced'").select(F.col("slot").alias("ordinal")), "ordinal", "left_anti")
     rest = [c for c in existing.columns if c != "ordinal"]

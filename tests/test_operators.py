@@ -131,6 +131,8 @@ def test_upsert_follows_the_order_of_new_pages(spark):
     for _ in range(6):
         row = lambda i: (i, f"p/{rng.randrange(8)}", rng.choice([None, *(f"h{n}" for n in range(6))]))
         cases.append(([(i, f"p/{i}", row(i)[2]) for i in range(6)], [row(100 + i) for i in range(rng.randrange(9))]))
+    copies = [(100 + i, f"own/{i}" if rng.random() < 0.8 else f"p/{i % 3}", "h0" if rng.random() < 0.9 else "h1") for i in range(60)]
+    cases.append(([(i, f"p/{i}", f"h{i % 3}") for i in range(6)], copies))
     for old, new in cases:
         slots = [[o, h, s, "kept"] for o, h, s in old]
         for o, h, s in new:

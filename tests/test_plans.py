@@ -1,5 +1,6 @@
 """Whole jobs and streams over several batches."""
 
+import json
 import os
 from collections import Counter
 
@@ -194,6 +195,35 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "out")).collect()[0]["entry_id"] == "2026-06-11-a"
 
 
+def test_maintenance_from_the_command_line(spark, tree, tmp_path, capsys):  # noqa: F811
+    from lorebase.__main__ import main
+
+    run = lambda *args: main([str(a) for a in args])
+    run("manifest", "--html-root", tree, "--out", tmp_path / "m")
+    html = "".join((tmp_path / "m" / "index" / n).read_text() for n in sorted(os.listdir(tmp_path / "m" / "index")) if n.startswith("part-"))
+    assert html.startswith("<section><h2>Lasers (2)</h2><table>\n<tr><td>1</td>") and html.count("</section>") == 2 and html.index("Page A") < html.index("<h2>Other")
+    run("nightly", "--html-root", tree, "--tables", tmp_path / "t", "--at", "t1")
+    assert capsys.readouterr().out.strip() == "changes 0, distilled 0, state 0"
+    page = {"title": "Page A", "html": "Lasers/a.html", "attachments": ["x.pdf"], "distilled": {"one_sentence_summary": "The cavity finesse is 20000.", "important_facts": ["finesse 20000"], "tags": ["cavity"]}}
+    write(tmp_path / "d.json", json.dumps({"generated_at": "", "sections": [{"section": "Lasers", "pages": [page]}]}))
+    run("build-index", "--distillation", tmp_path / "d.json", "--html-root", tree, "--index", tmp_path / "idx", "--version", "v1")
+    assert {r["source_type"] for r in build_index.read_index(spark, str(tmp_path / "idx" / "v1")).collect()} == {"distilled_page", "source_html"}
+    answer = ask.ask(build_index.open_index(spark, str(tmp_path / "idx" / "v1")), "cavity finesse", OfflineProvider())
+    best = answer.evidence[0]
+    assert (best["summary"], best["important_facts"], best["tags"], best["attachments"]) == ("The cavity finesse is 20000.", ["finesse 20000"], ["cavity"], ["x.pdf"])
+
+
+def test_day_content(spark):
+    records = spark.createDataFrame([(1, "note", "laser order", "ann"), (2, "query", "what?", "bob"), (3, "file", "promo code", "eve"), (4, "note", "cavity", None)], "ordinal BIGINT, kind STRING, text STRING, person STRING")
+    pages = spark.createDataFrame([], "section STRING, title STRING, records BIGINT, first_record STRING")
+    sections = spark.createDataFrame([("Lasers",)], "section STRING")
+    run = day_digest.day_digest(records, pages, sections, "telegram", "2026-06-12")
+    full = day_digest.day_content(run, sections, "telegram", "2026-06-12", "d.html", "now", attachments=["a.pdf"])
+    page = full.content.collect()[0]
+    assert page["records"] == 2 and page["section"] == rules.UNSORTED_SECTION and page["distilled"]["tags"] == ["telegram", "communication-supplement", "2026-06-12"]
+    assert page["distilled"]["important_facts"] == ["telegram-1 note: laser order\nnote\nann", "telegram-3 note: cavity\nnote"] and page["distilled"]["important_assets_or_attachments"] == ["a.pdf"]
+
+
 def test_short_reply():
     item = {"what_happened": ["a", "b", "c"], "decisions_or_conclusions": ["结论 d"], "important_facts": ["e", "a"]}
     assert ask.short_reply([item]) == "- a\n- b\n- 结论 d\n- c"

@@ -149,6 +149,8 @@ def test_mail(spark):
             message.add_alternative(html, subtype="html") if plain else message.set_content(html, subtype="html")
         if attach:
             message.add_attachment("secret notes", filename="n.txt")
+            message.add_attachment("gr\u00fc\u00dfe".encode("latin-1"), maintype="text", subtype="plain", filename="l.txt", params={"charset": "latin-1"})
+            message.add_attachment(bytes(range(200, 256)), maintype="image", subtype="png", filename="p.png")
         return message.as_bytes()
 
     rows = [("u1", raw("<1>", '"Doe, J" <J@Example.org>', "plain body", "<p>html</p>", True)), ("u2", raw("<2>", "b@x.org", html="<p>one</p><br>two &amp; three")),
@@ -162,7 +164,14 @@ def test_mail(spark):
     actions = mail.new_mail(records, one("u6", "uid"), one("<5>", "message_id"), one("spam@x.org", "sender"))
     assert {r["uid"]: r["action"] for r in actions.collect()} == {"u1": "archive", "u2": "archive", "u3": "known", "u4": "ignored", "u5": "known"}
     source = mail.mail_sources(records.filter("uid = 'u1'")).collect()[0]
-    assert source["text"].startswith("Source: email\nDate: 2023-11-14T22:13:20Z\nFrom: ") and source["text"].endswith("Body:\nplain body")
+    assert source["text"].startswith("Source: email\nDate: 2023-11-14T22:13:20Z\nFrom: ") and "Body:\nplain body\nAttachments:\nfile_name=n.txt; mime_type=text/plain; path=/m/u1.eml/n.txt; text_preview=secret <redacted>\n" in source["text"]
+    files = {(f["file_name"], f["mime_type"], f["size"], f["text_extract"]) for f in got["u1"]["attachments"]}
+    assert files == {("n.txt", "text/plain", 13, "secret notes\n"), ("l.txt", "text/plain", 5, "gr\u00fc\u00dfe"), ("p.png", "image/png", 56, None)}
+    assert got["u2"]["attachments"] == []
+    own = mail.mail_attachment_sources(records).collect()
+    assert sorted((r["title"], r["text"], r["source_type"], r["metadata"]["parent_record"]) for r in own) == [
+        ("l.txt", "gr\u00fc\u00dfe", "email_file_text", "/m/u1.eml"), ("n.txt", "secret <redacted>\n", "email_file_text", "/m/u1.eml")]
+    assert mail.mail_sources(records.withColumns({"subject": F.lit("hi"), "body": F.lit("unsubscribe here"), "text_preview": F.lit("")})).count() == 0
 
 
 def test_polled_service(spark, tmp_path):
