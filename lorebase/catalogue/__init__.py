@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorebase.catalogue import chunks, derived, feeds, maintain, pages, records, streams, texts
+from lorebase.catalogue import branches, chunks, derived, feeds, maintain, pages, records, streams, texts
 from lorebase.catalogue.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "chunks", "derived", "feeds", "maintain", "pages", "records", "streams", "texts"]
+__all__ = ["ORACLE", "QUERIES", "branches", "chunks", "derived", "feeds", "maintain", "pages", "records", "streams", "texts"]
