@@ -71,12 +71,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, lan
     """Learns from the rows of ``docs`` whose language is not null."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
     shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    first = Window.partitionBy("lang", "_salt").orderBy("_mix", "doc_id")  # a language is spread over tasks first
-    picked = rows.select("doc_id", "lang", shuffled.alias("_mix"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("_salt"))
+    own = ["doc_id", "lang", "_digest"]
+    rows = rows.withColumn("_digest", F.xxhash64("text"))
+    order = ["_mix", "doc_id", "_digest"]
+    first = Window.partitionBy("lang", "_salt").orderBy(*order)  # a language is spread over tasks first
+    picked = rows.select(*own).distinct().select(*own, shuffled.alias("_mix"), F.pmod(F.xxhash64("doc_id", "_digest"), F.lit(SALTS)).alias("_salt"))  # copies count once
     picked = picked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
-    picked = picked.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_mix", "doc_id"))).where(F.col("_n") <= per_language)
-    picked = picked.orderBy("_n", "lang").limit(most)
-    chosen = rows.join(F.broadcast(picked.select("doc_id", "lang", "_n").distinct()), ["doc_id", "lang"])  # at most ``most`` rows
+    picked = picked.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_n") <= per_language)
+    picked = picked.orderBy("_n", "lang").limit(most).select(*[F.col(c).alias(f"_{c}") for c in own], "_n")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("lang") == F.col("_lang")) & (F.col("_digest") == F.col("__digest"))
+    chosen = rows.join(F.broadcast(picked), same)  # at most ``most`` rows
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +89,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, lan
                 yield pa.RecordBatch.from_arrays([few.column("lang"), few.column("_n"), pa.array([p.tobytes() for p in packed], pa.binary())],
                                                  names=["lang", "_n", "bits"])
 
-    found = chosen.select("lang", "_n", "text").mapInArrow(bits, "lang string, _n int, bits binary").collect()
+    found = chosen.select("lang", "_n", "text").mapInArrow(bits, "lang string, _n int, bits binary")
+    found = found.groupBy("lang", "_n").agg(F.min("bits").alias("bits")).collect()  # of equal rows one, so at most ``most`` rows
     found.sort(key=lambda r: (r["_n"], r["lang"], r["bits"]))
     if not found:
         return Languages([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))

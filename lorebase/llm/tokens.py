@@ -28,9 +28,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their names in a text are ordinary text
-    return found
+    return Tokenizer.from_file(path)
 
 
 class WordEncoder:
@@ -44,6 +42,8 @@ class WordEncoder:
             self.border[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
         self.stops = {c: self._whole(c) for c in _STOPS}
         self.line = self._whole("\n")
+        # how the names of added tokens begin: a text with one in it is encoded whole, as such a name may be a token anywhere
+        self.added = tuple({t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -51,6 +51,8 @@ class WordEncoder:
     def _pieces(self, text: str) -> list[str] | None:
         """Keys of ``known``. At byte level a word stands for a space and itself, after one line end for that line end
         and itself, after two for itself alone; None: white space runs or odd white space, encode the text whole."""
+        if any(a in text or a in text.lower() for a in self.added):
+            return None
         plain = text.replace("\n", " ")
         if not self.spaced:
             return plain.split(" ")
@@ -77,7 +79,8 @@ class WordEncoder:
                     later.append((word, base, b"" if word[1:2] == "\n" else self.line, stops[stop] if stop else b""))
                 continue
             base = word[:-1] if word[-1:] in stops else word
-            if base.isalpha():
+            # lower case may add a mark to a letter, which the tokenizer would join with the stop
+            if base.isalpha() and (spaced or base.isascii() or base.lower().isalpha()):
                 key = base.lower() if fold and base.isascii() else base
                 if key not in known:
                     new[key] = None

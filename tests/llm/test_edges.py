@@ -178,3 +178,42 @@ def test_held_out_quality_and_languages_on_the_given_tables(spark):
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in scored]) > 0.95
     named = [r for r in QUERIES["op5_string_kernel_language"](spark, folder).collect() if r["held_out"]]
     assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in named]) > 0.98
+
+
+@pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_ids_are_the_tokenizers_own(name, spaced):
+    """Words put together at random from letters whose folding is odd, marks, stops and names of added tokens."""
+    from tests.llm.test_results import tokenizer
+    from lorebase.llm.tokens import WordEncoder, vocabulary
+
+    rng, plain = random.Random(9), tokenizer(name)
+    pieces = ["İ", "ı", "ß", "ẞ", "Ǆ", "ﬁ", "Σ", "ς", "é", "e\u0301", "a", "B", "zoo", "ŉ", "ΐ", "中", "한", "1", "'s", ".", ",", ";", "!", "?", ":", "-", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<", "|", "\u0307"]
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y", "İ.", "Straße İ! İİ, end"]
+    for _ in range(3000):
+        words = ["".join(rng.choices(pieces, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 6))]
+        texts.append("".join(w + rng.choice([" ", " ", "\n", "\n\n", "  ", "\t"]) for w in words))
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    got = WordEncoder(vocabulary(name), spaced).encode(texts)
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_copies_are_learned_from_once(spark):
+    """400 copies of a row and as many rows of one id and language count as what they are: one text each at most."""
+    from lorebase.llm import langid
+
+    rows = [(1, "hello there my friend", "en")] * 400 + [(2, f"some text {i} of one id", "en") for i in range(60)] + [(3, "guten tag mein freund", "de"), (None, "salut mon ami", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING").repartition(4)
+    sent = []
+    collect = type(docs).collect
+
+    def counted(df):
+        out = collect(df)
+        sent.append(len(out))
+        return out
+
+    type(docs).collect = counted
+    try:
+        model = langid.fit(docs)
+    finally:
+        type(docs).collect = collect
+    assert sent == [63] and model.names == ["de", "en", "fr"]

@@ -18,9 +18,7 @@ def crc(data):
 def tokenizer(name):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(vocabulary(name))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(vocabulary(name))
 
 
 def packed_ids(ids):
