@@ -41,7 +41,7 @@ _ARRIVALS = f"""
 def _arrivals(spark, folder, far, part):
     """The events with the file they arrive in: most in the file of their time, some one later, some ``far`` later; and the
     length of a file's time, over ``part``, in seconds."""
-    events = table(spark, folder, "events").withColumn("at", V.micros(F.col("ts").cast("timestamp")))
+    events = table(spark, folder, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     t0, t1 = events.agg(F.min("at"), F.max("at")).first()
     width = t1 - t0 + 1
     slice_ = F.expr(f"({FILES} * (at - {t0})) div {width}")

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lorebase import rules
-from lorebase.functions.values import micros
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -130,7 +129,7 @@ class TurnMemory(InEventOrder):
 def _messages(feed: DataFrame, time: str, delay: str, command: str | None) -> DataFrame:
     known = F.col(command) if command else F.lit(None).cast("string")
     rows = feed.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
-    return rows.select("chat_id", F.col(time), "event_id", micros(F.col(time)).alias("at"), known.alias("command"))
+    return rows.select("chat_id", F.col(time), "event_id", F.unix_micros(F.col(time)).alias("at"), known.alias("command"))
 
 
 def modes(feed: DataFrame, delay: str, time: str = "ts", command: str = "command") -> DataFrame:

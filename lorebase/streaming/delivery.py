@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lorebase.functions.values import micros
 from lorebase.sources.files import or_empty
 from lorebase.sources.polled import named
 
@@ -115,7 +114,7 @@ def deliver_batch(batch: DataFrame, number: int, folder: str, history: Callable[
     if first and bootstrap:
         outcome = F.lit("seen")
     else:
-        is_late = F.lit(False) if watermark is None else micros(F.col("ts")) < watermark
+        is_late = F.lit(False) if watermark is None else F.unix_micros(F.col("ts")) < watermark
         outcome = F.when(F.coalesce(F.col("status"), F.lit("open")) == "open", "backfill").when(is_late, "late").otherwise("live")
     routed = stage("routed", routed.withColumn("outcome", outcome).withColumn("origin", F.lit("feed")).withColumn("watermark", F.lit(watermark).cast("long")))
     columns = ["chat_id", "message_id", "ts", "payload", "origin", "watermark"]
@@ -142,7 +141,7 @@ def deliver_batch(batch: DataFrame, number: int, folder: str, history: Callable[
         both = of("backfill").unionByName(old).groupBy("chat_id", "message_id").agg(F.min_by(F.struct(*columns[2:]), "origin").alias("_m")).select("chat_id", "message_id", "_m.*")
         counts["backfill"] = write("backfill", fresh(both, "seen", "backfill"))
         write("ledger", pages.groupBy("chat_id").agg(F.max("token").alias("token")).withColumn("status", F.when(F.col("token").isNull(), "done").otherwise("open")))
-    newest = routed.agg(F.max(micros(F.col("ts")))).first()[0]
+    newest = routed.agg(F.max(F.unix_micros(F.col("ts")))).first()[0]
     newest = max((t for t in (newest, latest) if t is not None), default=None)
     line = spark.createDataFrame([(number, newest, watermark, *(counts[o] for o in ("live", "late", "backfill", "seen")))], COMMIT)
     line.coalesce(1).write.mode("overwrite").json(f"{base}/commits/n={number}")
