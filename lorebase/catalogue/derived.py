@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorebase import rules
-from lorebase.catalogue.registry import any_of, fold, matches, query, quoted, redact
+from lorebase.catalogue.registry import any_of, fold, matches, query, redact
 from lorebase.functions import html as H
 from lorebase.functions import intent as I
 from lorebase.functions import text as T

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorebase.catalogue.registry import query
-from lorebase.functions import values as V
 from lorebase.session import shared_folder
 from lorebase.sources.adapters import table
 from lorebase.streaming import chats, delivery, feeds
