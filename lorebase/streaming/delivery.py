@@ -92,6 +92,7 @@ class Delivered:
 
 def deliver_batch(batch: DataFrame, number: int, folder: str, history: Callable[[DataFrame], DataFrame], delay_seconds: int, bootstrap: bool) -> None:
     spark, base = batch.sparkSession, folder.rstrip("/")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")  # streams turn it off for the sake of their state; this one keeps none
     before = Delivered(spark, folder, number)
     latest = before.latest()
     watermark = None if latest is None else latest - 1_000_000 * delay_seconds
