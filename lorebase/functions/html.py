@@ -6,7 +6,9 @@ Mark-up is turned into private-use marker characters first, so one scan of the p
 from __future__ import annotations
 
 import html as _html
+import re
 from collections.abc import Sequence
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,9 +30,26 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda value: None if value is None else _html.unescape(value))
 
 
-def decode_entities(text: Column) -> Column:
-    """Only texts with an ampersand go to Python; the others pass as null and come back as they were."""
-    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
+_CLOSED = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _closed(reference: re.Match) -> str:
+    name = reference.group()
+    return _html.unescape(name) if name[1] == "#" or name[1:] in html5 else name
+
+
+@F.pandas_udf(StringType())
+def _unescape_closed(text: pd.Series) -> pd.Series:
+    return text.map(lambda value: None if value is None else _CLOSED.sub(_closed, value))
+
+
+def decode_entities(text: Column, closed: bool = False) -> Column:
+    """Only texts with an ampersand go to Python; the others pass as null and come back as they were.
+
+    Parsers also decode ``&amp`` without its semicolon; with ``closed`` such remnants of a cut text stay as they are.
+    """
+    decode = _unescape_closed if closed else _unescape
+    return F.coalesce(decode(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def _tag(names: Sequence[str]) -> str:
@@ -76,42 +95,42 @@ def _labelled(page: Column, tag: str, attr: str, label: str) -> Column:
     return F.regexp_replace(page, value, "\n" + label + " $1$2\n")
 
 
-def _visible(page: Column, block: Sequence[str], skip: Sequence[str], image: str, attachment: str) -> Column:
+def _visible(page: Column, block: Sequence[str], skip: Sequence[str], image: str, attachment: str, closed: bool) -> Column:
     page = _drop_elements(page, skip) if skip else _protect_raw_text(page)
     page = F.regexp_replace(page, _COMMENT, "")
     page = _labelled(_labelled(page, "img", "alt", image), "embed", "src", attachment)
     page = F.regexp_replace(F.regexp_replace(page, _tag(block), "\n"), _ANY_TAG, "")
-    text = decode_entities(page)
+    text = decode_entities(page, closed)
     return _tidy(text if skip else F.translate(text, _LESS + _AMP, "<&"))
 
 
-def text_for_index(page: Column) -> Column:
+def text_for_index(page: Column, closed: bool = False) -> Column:
     """Chunk index: no script, style, head or noscript; headings to h4, section and article break lines."""
-    return _visible(page, rules.INDEX_BLOCK_TAGS, rules.INDEX_SKIP_TAGS, "[image]", "[attachment]")
+    return _visible(page, rules.INDEX_BLOCK_TAGS, rules.INDEX_SKIP_TAGS, "[image]", "[attachment]", closed)
 
 
-def text_for_page_search(page: Column) -> Column:
-    return _visible(page, rules.PAGE_BLOCK_TAGS, rules.PAGE_SKIP_TAGS, "[image]", "[attachment]")
+def text_for_page_search(page: Column, closed: bool = False) -> Column:
+    return _visible(page, rules.PAGE_BLOCK_TAGS, rules.PAGE_SKIP_TAGS, "[image]", "[attachment]", closed)
 
 
-def text_for_distiller(page: Column, image_label: str = "[image]") -> Column:
+def text_for_distiller(page: Column, image_label: str = "[image]", closed: bool = False) -> Column:
     """Distillers read everything, script and style bodies and the title included."""
-    return _visible(page, rules.PAGE_BLOCK_TAGS, (), image_label, "[embedded attachment]")
+    return _visible(page, rules.PAGE_BLOCK_TAGS, (), image_label, "[embedded attachment]", closed)
 
 
-def text_for_import(page: Column) -> Column:
+def text_for_import(page: Column, closed: bool = False) -> Column:
     """Import: the non-blank runs of character data, one per line."""
     page = F.regexp_replace(F.regexp_replace(_protect_raw_text(page), _COMMENT, _CUT), _ANY_TAG, _CUT)
-    text = F.translate(decode_entities(page), _LESS + _AMP, "<&")
+    text = F.translate(decode_entities(page, closed), _LESS + _AMP, "<&")
     return F.array_join(F.filter(F.transform(F.split(text, _CUT), strip), lambda run: run != ""), "\n")
 
 
-def text_for_mail(page: Column) -> Column:
+def text_for_mail(page: Column, closed: bool = False) -> Column:
     """Mail bodies: every tag is a blank, closing block tags and br break lines."""
     page = F.regexp_replace(page, r"(?is)<(script|style).*?>.*?</\1>", " ")
     page = F.regexp_replace(page, r"(?i)<br\s*/?>", "\n")
     page = F.regexp_replace(page, r"(?i)</(p|div|li|tr|h[1-6])>", "\n")
-    return _tidy(decode_entities(F.regexp_replace(page, r"<[^>]+>", " ")))
+    return _tidy(decode_entities(F.regexp_replace(page, r"<[^>]+>", " "), closed))
 
 
 def attachments(page: Column) -> Column:
@@ -127,8 +146,8 @@ def links(page: Column) -> Column:
     return F.filter(F.transform(tags(page, "a"), lambda t: attribute(t, "href")), lambda h: h != "")
 
 
-def title(page: Column) -> Column:
-    return _tidy(decode_entities(F.regexp_extract(page, rf"(?is)<title(?=[\s/>]){_REST_OF_TAG}(.*?)</title\s*>", 1)))
+def title(page: Column, closed: bool = False) -> Column:
+    return _tidy(decode_entities(F.regexp_extract(page, rf"(?is)<title(?=[\s/>]){_REST_OF_TAG}(.*?)</title\s*>", 1), closed))
 
 
 def meta(page: Column) -> Column:
@@ -145,8 +164,8 @@ def meta(page: Column) -> Column:
                        lambda seen, e: F.when(F.map_contains_key(seen, e["key"]), seen).otherwise(F.map_concat(seen, F.create_map(e["key"], e["value"]))))
 
 
-def body_preview(page: Column, length: int = rules.MANIFEST_PREVIEW) -> Column:
+def body_preview(page: Column, length: int = rules.MANIFEST_PREVIEW, closed: bool = False) -> Column:
     body = F.regexp_extract(page, rf"(?is)<body(?=[\s/>]){_REST_OF_TAG}(.*?)(?:</body\s*>|\z)", 1)
     body = F.regexp_replace(_drop_elements(body, rules.PAGE_SKIP_TAGS), _COMMENT, "")
     body = F.regexp_replace(F.regexp_replace(body, _tag(["br"]), "\n"), _ANY_TAG, "")
-    return F.substring(compact(decode_entities(body)), 1, length)
+    return F.substring(compact(decode_entities(body, closed)), 1, length)

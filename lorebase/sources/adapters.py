@@ -54,16 +54,16 @@ def url_path(url: F.Column) -> F.Column:
     return F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
 
 
-def manifest_pages(pages: DataFrame) -> DataFrame:
-    """pages -> manifest rows of the HTML tree (title, hash, meta times, preview)."""
+def manifest_pages(pages: DataFrame, closed: bool = False) -> DataFrame:
+    """pages -> manifest rows of the HTML tree (title, hash, meta times, preview); ``closed`` as for ``decode_entities``."""
     meta = H.meta(F.col("html"))
     return pages.select(
         F.col("page_id").alias("ordinal"), host(F.col("url")).alias("section"), url_path(F.col("url")).alias("path"),
-        H.title(F.col("html")).alias("title"), F.col("url").alias("html"), sha256(F.col("html")).alias("sha256"),
+        H.title(F.col("html"), closed).alias("title"), F.col("url").alias("html"), sha256(F.col("html")).alias("sha256"),
         F.coalesce(F.try_element_at(meta, F.lit("X-Original-Page-Id")), F.lit("")).alias("onenote_page_id"),
         F.coalesce(F.try_element_at(meta, F.lit("X-Created-Time")), F.lit("")).alias("created"),
         F.coalesce(F.try_element_at(meta, F.lit("X-Updated-Time")), F.lit("")).alias("updated"),
-        H.body_preview(F.col("html")).alias("text_preview"),
+        H.body_preview(F.col("html"), closed=closed).alias("text_preview"),
     )
 
 
