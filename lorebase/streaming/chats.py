@@ -5,8 +5,9 @@ handled in event order, so a stream gives what the batch operator gives over the
 watermark when they arrive never reach the state (``delivery.deliver`` keeps them in a table of their own), so a late
 old command can't override a newer one.
 
-State per chat: the messages of the last ``delay`` that still wait, and a mode or ten turn times. The store writes what a
-batch changes. Times are microseconds.
+State: the messages of the last ``delay`` that still wait, and a mode or ten turn times per chat. Every call into the state
+store costs about as much as a hundred messages, so chats share ``slots`` keys by their hash, and the state of a slot is packed
+arrays that numpy handles as a whole. The store writes the slots a batch changes. Times are microseconds.
 """
 
 from __future__ import annotations
@@ -14,12 +15,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lorebase import rules
 
+SLOTS = 1024
+#: ``known`` is 0 for messages without a chat; commands are numbers: 1 record_on, 2 record_off, 0 none of them
+_MESSAGE = np.dtype([("known", "i1"), ("chat_id", "<i8"), ("at", "<i8"), ("event_id", "<i8"), ("command", "i1")])
+_TIME = np.dtype([("known", "i1"), ("chat_id", "<i8"), ("at", "<i8")])
+_PACKED = "packed BINARY"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -39,43 +47,56 @@ def keyed_state(spark: SparkSession, partitions: int | None = None):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+def _chat_ids(rows: np.ndarray) -> pd.Series:
+    return pd.Series(pd.arrays.IntegerArray(rows["chat_id"].astype(np.int64), rows["known"] == 0))
+
+
+def _starts(rows: np.ndarray) -> np.ndarray:
+    """For each row of a table in order of its chats, where its chat begins."""
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["chat_id"][1:] != rows["chat_id"][:-1]) | (rows["known"][1:] != rows["known"][:-1])
+    return np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+
+
 class InEventOrder(StatefulProcessor):
-    """Hands the messages of a chat to ``step`` in event order, once the watermark has passed them.
+    """Hands the messages of a slot to ``step`` by chat and in event order, once the watermark has passed them.
 
     A message without an id is a heartbeat: it moves the watermark and leaves no state.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at LONG, event_id LONG, command STRING")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        fresh = [(r["at"], r["event_id"], r["command"]) for r in rows if r["event_id"] is not None]
-        if fresh:
-            self.waiting.appendList(fresh)
-            self.handle.registerTimer(-(-min(at for at, *_ in fresh) // 1000))
+        self.waiting = handle.getListState("waiting", _PACKED)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            frame = frame[frame["beat"] == 0]
+            if len(frame):
+                fresh = np.empty(len(frame), _MESSAGE)
+                for name in _MESSAGE.names:
+                    fresh[name] = frame[name].to_numpy()
+                self.waiting.appendValue((fresh.tobytes(),))
+                self.handle.registerTimer(-(-int(fresh["at"].min()) // 1000))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = 1000 * timerValues.getCurrentWatermarkInMs()
-        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda m: m[:2]) if self.waiting.exists() else []
-        ready = [m for m in held if m[0] <= passed]
-        if ready:
-            rest = held[len(ready):]
-            if rest:
-                self.waiting.put(rest)
-                self.handle.registerTimer(-(-rest[0][0] // 1000))
+        held = np.frombuffer(b"".join(bytes(r[0]) for r in self.waiting.get()), _MESSAGE)
+        ready, rest = held[held["at"] <= passed], held[held["at"] > passed]
+        if len(ready):
+            if len(rest):
+                self.waiting.put([(rest.tobytes(),)])
+                self.handle.registerTimer(-(-int(rest["at"].min()) // 1000))
             else:
                 self.waiting.clear()
-            yield from self.step(key[0], ready)
-        self.forget(passed)
+        ready = ready[np.lexsort((ready["event_id"], ready["at"], ready["chat_id"], ready["known"]))]
+        yield from self.step(ready, passed)
 
-    def step(self, chat, messages: list[tuple]) -> Iterator[Row]:
+    def step(self, messages: np.ndarray, passed: int) -> Iterator[pd.DataFrame]:
+        """``messages``: those that are due, maybe none. All up to ``passed`` are handled with them, so what no later one can
+        need is dropped."""
         raise NotImplementedError
 
-    def forget(self, passed: int) -> None:
-        """Drops what no later message can need, now that all up to ``passed`` have been handled."""
-
     def close(self) -> None:
         pass
 
@@ -85,17 +106,26 @@ class ModeMachine(InEventOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.mode = handle.getValueState("mode", "mode STRING, at LONG, event_id LONG")
-
-    def step(self, chat, messages):
-        now = tuple(self.mode.get()) if self.mode.exists() else ("ask", None, None)
-        before = now
-        for at, event_id, command in messages:
-            if command in ("record_on", "record_off"):
-                now = ("record" if command == "record_on" else "ask", at, event_id)
-            yield Row(chat_id=chat, event_id=event_id, mode=now[0])
-        if now is not before:
-            self.mode.update(now)
+        self.mode = handle.getValueState("mode", _PACKED)
+
+    def step(self, messages, passed):
+        if not len(messages):
+            return
+        packed = self.mode.get()
+        last = np.frombuffer(bytes(packed[0]) if packed else b"", _MESSAGE)
+        rows = np.concatenate([last, messages])
+        fresh = np.arange(len(rows)) >= len(last)
+        order = np.lexsort((fresh, rows["chat_id"], rows["known"]))  # stable: messages stay in event order
+        rows, fresh = rows[order], fresh[order]
+        start = _starts(rows)
+        command = np.maximum.accumulate(np.where(rows["command"] > 0, np.arange(len(rows)), -1))
+        recording = (command >= start) & (rows["command"][command] == 1)
+        mode = np.where(recording, "record", "ask").astype(object)
+        out = rows[fresh]
+        yield pd.DataFrame({"chat_id": _chat_ids(out), "event_id": out["event_id"].astype(np.int64), "mode": mode[fresh]})
+        if (out["command"] > 0).any():
+            end = np.append(start[1:] != start[:-1], True)
+            self.mode.update((rows[command[end & (command >= start)]].tobytes(),))
 
 
 class TurnMemory(InEventOrder):
@@ -106,40 +136,58 @@ class TurnMemory(InEventOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.times = handle.getListState("times", "at LONG")
-
-    def step(self, chat, messages):
-        times = [r[0] for r in self.times.get()] if self.times.exists() else []
-        for at, event_id, _ in messages:
-            young = [t for t in times[-self.turns:] if at // 1_000_000 - t // 1_000_000 <= self.age]
-            yield Row(chat_id=chat, event_id=event_id, context_turns=len(young))
-            times = [*times, at][-self.kept:]
-        self.times.put([(t,) for t in times])
-        self.handle.registerTimer(self._end(times[-1]) // 1000)
-
-    def _end(self, at: int) -> int:
-        """From here on no turn can refer to one at ``at``."""
-        return (at // 1_000_000 + self.age + 1) * 1_000_000
-
-    def forget(self, passed: int) -> None:
-        if self.times.exists() and passed >= self._end([r[0] for r in self.times.get()][-1]):
+        self.times = handle.getValueState("times", _PACKED)
+
+    def step(self, messages, passed):
+        packed = self.times.get()
+        times = np.frombuffer(bytes(packed[0]) if packed else b"", _TIME)
+        rows = np.concatenate([times, messages[list(_TIME.names)].astype(_TIME)])
+        fresh = np.arange(len(rows)) >= len(times)
+        order = np.lexsort((fresh, rows["chat_id"], rows["known"]))  # stable: turns stay in event order
+        rows, fresh = rows[order], fresh[order]
+        if not len(rows):
+            return
+        place = np.arange(len(rows))
+        start, second = _starts(rows), rows["at"] // 1_000_000
+        if len(messages):
+            young = np.zeros(len(rows), np.int32)
+            for back in range(1, min(self.turns, self.kept) + 1):
+                before = place - back
+                young += (before >= start) & (second - second[np.maximum(before, 0)] <= self.age)
+            event = np.concatenate([np.zeros(len(times), np.int64), messages["event_id"]])[order]
+            yield pd.DataFrame({"chat_id": _chat_ids(rows[fresh]), "event_id": event[fresh], "context_turns": young[fresh]})
+        last = np.append(np.flatnonzero(start[1:] != start[:-1]), len(rows) - 1)
+        last = last[np.searchsorted(last, place)]
+        end = (second[last] + self.age + 1) * 1_000_000  # from here on no turn can refer to one of the chat
+        stay = (place > last - self.kept) & (end > passed)
+        if stay.any():
+            self.times.update((rows[stay].tobytes(),))
+            self.handle.registerTimer(int(end[stay].min()) // 1000)
+        else:
             self.times.clear()
 
 
-def _messages(feed: DataFrame, time: str, delay: str, command: str | None) -> DataFrame:
-    known = F.col(command) if command else F.lit(None).cast("string")
+def _messages(feed: DataFrame, time: str, delay: str, command: str | None, slots: int) -> DataFrame:
+    number = F.when(F.col(command) == "record_on", 1).when(F.col(command) == "record_off", 2).otherwise(0) if command else F.lit(0)
     rows = feed.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
-    return rows.select("chat_id", F.col(time), "event_id", F.unix_micros(F.col(time)).alias("at"), known.alias("command"))
+    zero = F.lit(0).cast("long")
+    return rows.select(
+        F.pmod(F.xxhash64("chat_id"), F.lit(slots)).cast("int").alias("slot"), F.col(time), F.col("chat_id").isNotNull().cast("int").alias("known"),
+        F.coalesce(F.col("chat_id"), zero).alias("chat_id"), F.unix_micros(F.col(time)).alias("at"), F.coalesce(F.col("event_id"), zero).alias("event_id"),
+        number.alias("command"), F.col("event_id").isNull().cast("int").alias("beat"))
 
 
-def modes(feed: DataFrame, delay: str, time: str = "ts", command: str = "command") -> DataFrame:
-    """``chat_id, event_id, mode`` of every message that is at most ``delay`` late. ``feed``: chat_id, event_id, ts, command."""
-    return _messages(feed, time, delay, command).groupBy("chat_id").transformWithState(
+def modes(feed: DataFrame, delay: str, time: str = "ts", command: str = "command", slots: int = SLOTS) -> DataFrame:
+    """``chat_id, event_id, mode`` of every message that is at most ``delay`` late. ``feed``: chat_id, event_id, ts, command.
+
+    ``slots`` stays for the life of a stream; a slot should hold some thousand chats at most.
+    """
+    return _messages(feed, time, delay, command, slots).groupBy("slot").transformWithStateInPandas(
         ModeMachine(), "chat_id LONG, event_id LONG, mode STRING", "append", "eventTime")
 
 
 def contexts(feed: DataFrame, delay: str, time: str = "ts", turns: int = rules.CONTEXT_TURNS, kept: int = rules.CONTEXT_KEPT,
-             age: int = rules.CONTEXT_AGE_SECONDS) -> DataFrame:
+             age: int = rules.CONTEXT_AGE_SECONDS, slots: int = SLOTS) -> DataFrame:
     """``chat_id, event_id, context_turns``: how many of the last turns are young enough to be referred to."""
-    return _messages(feed, time, delay, None).groupBy("chat_id").transformWithState(
+    return _messages(feed, time, delay, None, slots).groupBy("slot").transformWithStateInPandas(
         TurnMemory(turns, kept, age), "chat_id LONG, event_id LONG, context_turns INT", "append", "eventTime")

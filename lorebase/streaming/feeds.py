@@ -30,9 +30,12 @@ def day_counts(feed: DataFrame, time: str, delay: str, *keys: str) -> DataFrame:
 
 
 def land(rows: DataFrame, folder: str, arrival: str, files: int) -> None:
-    """Rows as landed files, one after the other along ``arrival`` (0 to files - 1), as a connector would leave them."""
+    """Rows as landed files, one after the other along ``arrival`` (0 to files - 1), as a connector would leave them.
+
+    All tasks look for the rows of a file; only writing it is one task's.
+    """
     for n in range(files):
-        rows.where(F.col(arrival) == n).drop(arrival).coalesce(1).write.mode("append").parquet(folder)
+        rows.where(F.col(arrival) == n).drop(arrival).repartition(1).write.mode("append").parquet(folder)
 
 
 def write_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = True) -> StreamingQuery:

@@ -1,9 +1,12 @@
 """Queries against their SQL twins on rows the supplied tables lack at the smallest scale."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from lorebase.streaming import chats
 
 #: queries whose pages hold a title that was cut inside an entity
 CUT_ENTITIES = ("html_text_distiller", "html_text_import", "html_text_index", "html_text_mail", "html_text_page", "page_meta")
@@ -34,3 +37,53 @@ def test_largest_variant_gives_the_largest_size(spark, tmp_path):
     rows = [(1, 10, 5.01), (1, 40_000, 5.0), (2, 3_000_000, 7.25), (2, 7, 7.26), (3, 1, 2.5), (4, 20_000, 1.0), (4, 10_000, 1.01)]
     ours, theirs = twin(spark, tmp_path, "largest_variant", events=spark.createDataFrame(rows, "user_id LONG, event_id LONG, value DOUBLE").orderBy("event_id"))
     assert ours == theirs
+
+
+@pytest.mark.parametrize("machine", [chats.TurnMemory(6, 10, 1800)])
+def test_chats_share_calls_into_the_state(machine):
+    """A thousand chats of a slot cost as many calls as one does, and each is handled by itself."""
+    calls = []
+
+    class Value:
+        def __init__(self):
+            self.now = None
+
+        def get(self):
+            calls.append("get")
+            return self.now
+
+        def update(self, value):
+            calls.append("update")
+            self.now = value
+
+        def clear(self):
+            self.now = None
+
+    class Listed(Value):
+        def get(self):
+            return iter(self.now or [])
+
+        def appendValue(self, value):
+            calls.append("append")
+            self.now = [*(self.now or []), value]
+
+        def put(self, values):
+            self.now = values
+
+    class Handle:
+        getListState = staticmethod(lambda name, schema: Listed())
+        getValueState = staticmethod(lambda name, schema: Value())
+        registerTimer = staticmethod(lambda at: calls.append("timer"))
+
+    class Timers:
+        getCurrentWatermarkInMs = staticmethod(lambda: 100_000)
+
+    machine.init(Handle)
+    chat = np.repeat(np.arange(1000), 3)
+    at = np.tile([3, 1, 2], 1000) * 1_000_000
+    frame = pd.DataFrame({"slot": 0, "known": 1, "chat_id": chat, "at": at, "event_id": np.arange(3000), "command": np.tile([0, 1, 2], 1000), "beat": 0})
+    assert not list(machine.handleInputRows((0,), iter([frame]), Timers))
+    out = pd.concat(list(machine.handleExpiredTimer((0,), Timers, None))).sort_values("event_id")
+    assert out["chat_id"].tolist() == chat.tolist() and len(calls) < 10
+    want = ["ask", "record", "ask"] if "mode" in out else [2, 0, 1]
+    assert out.iloc[:, 2].tolist() == want * 1000
