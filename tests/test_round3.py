@@ -39,7 +39,7 @@ def test_largest_variant_gives_the_largest_size(spark, tmp_path):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("machine", [chats.TurnMemory(6, 10, 1800)])
+@pytest.mark.parametrize("machine", [chats.ModeMachine(), chats.TurnMemory(6, 10, 1800)])
 def test_chats_share_calls_into_the_state(machine):
     """A thousand chats of a slot cost as many calls as one does, and each is handled by itself."""
     calls = []
