@@ -129,11 +129,13 @@ def deletion_plan(copied: DataFrame, root: str) -> DataFrame:
     return copied.filter(F.col("status").isin("copied", "duplicate") & inside).select("path")
 
 
+#: rows that a call into Python puts into place
+PLACED_ROWS = 1 << 13
 _SLOT = "slot LONG, new LONG, origin STRING"
 
 
 def _place(component: pd.DataFrame) -> pd.DataFrame:
-    """Puts the new pages of one component into place one after the other; ``new`` is null where a page stays.
+    """Puts the new pages of one or more components into place one after the other; ``new`` is null where a page stays.
 
     Slots are found by html and by hash through heaps of their numbers, whose outdated entries are dropped when met.
     """
@@ -198,8 +200,11 @@ def upsert_pages(existing: DataFrame, new: DataFrame) -> DataFrame:
 
     parts = components(shared("html").unionByName(shared("source_sha256")))
     placed = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    slots = persist_table(_without_overwritten(placed.select("component", "fresh", *fields)).groupBy("component").applyInPandas(
-        lambda component: _place(component.astype({"html": object, "source_sha256": object}).where(component.notna(), None)), _SLOT).filter("new is not null"), "slots")
+    # components share no html and no hash, so a call may place many
+    calls = max(1, rows.count() // PLACED_ROWS)
+    ends = _without_overwritten(placed.select("component", "fresh", *fields)).withColumn("call", F.pmod(F.xxhash64("component"), F.lit(calls)))
+    slots = persist_table(ends.groupBy("call").applyInPandas(
+        lambda pages: _place(pages.astype({"html": object, "source_sha256": object}).where(pages.notna(), None)), _SLOT).filter("new is not null"), "slots")
     kept = existing.join(slots.filter("origin = 'replaced'").select(F.col("slot").alias("ordinal")), "ordinal", "left_anti")
     rest = [c for c in existing.columns if c != "ordinal"]
     written = new.select(F.col("ordinal").alias("new"), *rest).join(slots, "new").withColumn("ordinal", F.col("slot"))

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from lorebase.operators import snapshots
 from lorebase.streaming import chats
 
 #: queries whose pages hold a title that was cut inside an entity
@@ -87,3 +88,13 @@ def test_chats_share_calls_into_the_state(machine):
     assert out["chat_id"].tolist() == chat.tolist() and len(calls) < 10
     want = ["ask", "record", "ask"] if "mode" in out else [2, 0, 1]
     assert out.iloc[:, 2].tolist() == want * 1000
+
+
+def test_a_call_places_many_components(spark, monkeypatch):
+    old = spark.createDataFrame([(i, f"p/{i}", f"s{i % 40}") for i in range(60)], "ordinal LONG, html STRING, source_sha256 STRING")
+    new = spark.createDataFrame([(100 + i, f"p/{2 * i}", f"s{i if i % 3 else 90 + i}") for i in range(40)], "ordinal LONG, html STRING, source_sha256 STRING")
+    found = []
+    for rows in (1, snapshots.PLACED_ROWS):
+        monkeypatch.setattr(snapshots, "PLACED_ROWS", rows)
+        found.append(sorted(map(tuple, snapshots.upsert_pages(old, new).collect())))
+    assert found[0] == found[1]
