@@ -52,8 +52,8 @@ _FILE = """text || CASE doc_id % 6 WHEN 0 THEN ' ghp_abcdefghij0123456789' WHEN
 def publish_gate_hits(spark, folder):
     path = F.expr("CASE WHEN doc_id % 7 = 0 THEN 'notes/token_cache.bin' ELSE concat('notes/', doc_id) END")
     docs = table(spark, folder, "documents").select("doc_id", path.alias("path"), F.expr(_FILE).alias("text"))
-    gated = publish.publish_verdict(docs.select("*", F.octet_length("text").alias("size"), F.lit(False).alias("binary")))
-    return gated.select("doc_id", publish.has_secret(F.col("text")).alias("secret"), "problem")
+    gated = publish.publish_verdict(docs.select("*", F.octet_length("text").alias("size"), F.lit(False).alias("binary"), publish.has_secret(F.col("text")).alias("secret")))
+    return gated.select("doc_id", "secret", "problem")
 
 
 # --- pages ------------------------------------------------------------------------------------------------------------

@@ -50,6 +50,13 @@ PUBLISH_SECRET_PATTERNS = (
     r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
     r"(?i)(?:password|client[_-]?secret|access[_-]?token|refresh[_-]?token|api[_-]?key)\s*[:=]\s*['\"][^'\"]{8,}['\"]",
 )
+# For each pattern: a text that matches holds a substring of every group; for one that ignores case also a word in lower case.
+PUBLISH_SECRET_CLUES = (
+    (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),),
+    (("-----BEGIN ",),),
+    (("'", '"'), (":", "=")),
+)
+PUBLISH_SECRET_WORDS = (None, None, ("password", "secret", "token", "api"))
 PUBLISH_DENIED_NAME_PARTS = ("token_cache", ".onepkg", ".onetoc2")
 PUBLISH_MAX_BYTES = 10 * 1024 * 1024
 

@@ -4,9 +4,12 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lorebase.operators import snapshots
+from lorebase import rules
+from lorebase.functions.text import matches_any
+from lorebase.operators import publish, snapshots
 from lorebase.streaming import chats
 
 #: queries whose pages hold a title that was cut inside an entity
@@ -90,6 +93,14 @@ def test_chats_share_calls_into_the_state(machine):
     assert out.iloc[:, 2].tolist() == want * 1000
 
 
+def test_a_secret_needs_its_clues(evaluate):
+    texts = ["", "plain", "ghp_" + "a" * 20, "gho_" + "a" * 19, "-----BEGIN EC PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "PassWord: 'abcdefgh'",
+             'Client-Secret="abcdefgh"', "access_token = 'abcdefgh'", "API-KEY:'abcdefgh'", "apikey 'abcdefgh'", "token='short'", "it's a token: no", None]
+    assert evaluate(publish.has_secret, *texts) == evaluate(lambda text: matches_any(text, rules.PUBLISH_SECRET_PATTERNS), *texts)
+    # the query's rows of eleven megabytes hold no clue, so no pattern is run on them
+    assert "ghp_" in str(publish.has_secret(F.col("text")))
+
+
 def test_a_call_places_many_components(spark, monkeypatch):
     old = spark.createDataFrame([(i, f"p/{i}", f"s{i % 40}") for i in range(60)], "ordinal LONG, html STRING, source_sha256 STRING")
     new = spark.createDataFrame([(100 + i, f"p/{2 * i}", f"s{i if i % 3 else 90 + i}") for i in range(40)], "ordinal LONG, html STRING, source_sha256 STRING")
