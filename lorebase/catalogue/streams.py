@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorebase.catalogue.registry import query
-from lorebase.session import shared_folder
+from lorebase.session import persist_table, shared_folder
 from lorebase.sources.adapters import table
 from lorebase.streaming import chats, delivery, feeds
 
@@ -102,6 +102,7 @@ def stream_delivery_replay(spark, folder):
     feeds.land(rows.where(~joined | (F.col("slice") >= 3)).select(*message, "arrival"), f"{base}/in", "arrival", FILES)
     newest = Window.partitionBy("chat_id").orderBy(F.desc("ts"), F.desc(F.col("message_id").cast("long")))
     archive = rows.where(joined & (F.col("slice") < 3)).select(*message).withColumn("_n", F.row_number().over(newest)).withColumn("_most", F.count("*").over(Window.partitionBy("chat_id")))
+    archive = persist_table(archive, "archive")  # numbered once, read by every batch
 
     def history(chats_open):
         """Pages of an archived table: the token is the number of messages already given."""

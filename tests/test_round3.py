@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from lorebase import rules
 from lorebase.functions.text import matches_any
 from lorebase.operators import publish, snapshots
-from lorebase.streaming import chats
+from lorebase.streaming import chats, feeds
 
 #: queries whose pages hold a title that was cut inside an entity
 CUT_ENTITIES = ("html_text_distiller", "html_text_import", "html_text_index", "html_text_mail", "html_text_page", "page_meta")
@@ -109,3 +109,10 @@ def test_a_call_places_many_components(spark, monkeypatch):
         monkeypatch.setattr(snapshots, "PLACED_ROWS", rows)
         found.append(sorted(map(tuple, snapshots.upsert_pages(old, new).collect())))
     assert found[0] == found[1]
+
+
+def test_all_tasks_look_for_the_rows_of_a_landed_file(spark, tmp_path):
+    rows = spark.range(0, 100, 1, 4).select("id", F.spark_partition_id().alias("part"), (F.col("id") % 2).alias("arrival"))
+    feeds.land(rows, str(tmp_path), "arrival", 2)
+    landed = spark.read.parquet(str(tmp_path))
+    assert landed.count() == 100 and landed.select("part").distinct().count() == 4 and len(landed.inputFiles()) == 2
