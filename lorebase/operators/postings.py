@@ -28,6 +28,8 @@ from lorebase.operators import search
 from lorebase.session import persist_table
 
 BLOCK_CHUNKS = 1 << 15
+#: this many blocks are enough to tell good ones from others
+SMALL_BLOCKS = 64
 #: blocks ranked ahead of all others
 FIRST_BLOCKS = 8
 #: more blocks than this are named by a join in place of a list
@@ -38,8 +40,12 @@ _ROUNDING = 1e-3
 
 
 def in_blocks(index: DataFrame, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
-    """The index with its search texts and ``block``, ready to be written by block; counts the rows for the number of blocks."""
-    blocks = max(1, -(-index.count() // block_chunks))
+    """The index with its search texts and ``block``, ready to be written by block; counts the rows for the number of blocks.
+
+    Smaller blocks than ``BLOCK_CHUNKS`` grow with the index once there are ``SMALL_BLOCKS`` of them.
+    """
+    rows = index.count()
+    blocks = max(1, -(-rows // max(block_chunks, min(BLOCK_CHUNKS, rows // SMALL_BLOCKS))))
     dealt = search.with_search_text(index).repartitionByRange(blocks, "ordinal", "chunk_index")
     return dealt.withColumn("block", F.spark_partition_id())
 
@@ -96,6 +102,7 @@ def block_grams(blocks: DataFrame) -> DataFrame:
 
 def write_blocks(index: DataFrame, path: str, block_chunks: int = BLOCK_CHUNKS) -> None:
     """The chunks at ``path`` and their grams, in the order of the grams, at ``path-grams``."""
+    index = persist_table(index, "chunks")  # counted, sampled for the borders of blocks and written
     in_blocks(index, block_chunks).write.mode("errorifexists").partitionBy("block").parquet(path)
     grams = block_grams(index.sparkSession.read.parquet(path))
     grams.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.mode("errorifexists").parquet(f"{path}-grams")
