@@ -11,9 +11,10 @@ shingles in two of its three parts, and once in each that holds some in one. Whe
 at a level of twice as many partitions as well, and so on; such a pair has both sets at the next level. Hence no link is lost.
 
 Signatures meet in cells, blobs of some hundred thousand each. Sets that share one are candidates: a first pass checks the
-likeliest candidate of each set and joins what links into components; a second checks, in blocks of bounded size, all
-candidates of different components that upper bounds leave (by bitmaps, then by 16 bits of each shingle). What is left is
-compared by 48 bits of each shingle.
+likeliest candidate of each set and joins what links into components. Candidates of different components that upper bounds
+(by bitmaps) leave are many in a large group, as each pair of it shares many signatures. So they are not written as pairs:
+a list of sets gives the few pairs that connect them, what these connect is a cluster, and a set goes to its cluster once,
+where all open pairs are compared by 48 bits of each shingle. Clusters beyond a bound are cut into blocks.
 
 Defined results: a null, empty or blank text has no shingles, links with nothing and is its own component; a text with fewer
 words than a shingle is one shingle; repeated rows and rows with a null id are members like others, and a component's id is
@@ -36,7 +37,8 @@ from lorebase.session import persist_table
 PERCENT, WIDTH = 75, 5
 CELL_ENTRIES = 3_000_000
 FILTER_BITS = 23
-BLOCK = 1024
+BLOCK = 2048
+CLUSTER_SHINGLES = 1 << 21
 HUB_ROWS = 2048
 SPARE = 1.12
 _SKETCH = 8
@@ -64,8 +66,49 @@ def _keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size > 0, out | np.uint64(1), np.uint64(0)).astype(np.uint64).view(np.int64)
 
 
+def _wide_bitmap(own: np.ndarray) -> bytes:
+    """As many bits as the set has shingles, up to the next power of two; its halves on one another are the bitmap of half as many."""
+    bits = 1 << (len(own) - 1).bit_length()
+    place = (mix(own ^ np.uint64(0x5A5A)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+class _Wide:
+    """The wide bitmaps of many sets, those of one size in a table that has the next larger ones folded as well."""
+
+    def __init__(self, blobs: pa.Array):
+        held = blobs.drop_null().to_pylist()
+        at = np.flatnonzero(blobs.is_valid().to_numpy(zero_copy_only=False))
+        self.size = np.zeros(len(blobs), np.int64)
+        self.size[at] = [len(b) for b in held]
+        self.place = np.full((2, len(blobs)), -1)  # where a set lies in the table of its own size, and of half its size
+        self.tables: dict[int, np.ndarray] = {}
+        own = {size: [b for b in held if len(b) == size] for size in set(self.size[at].tolist())}
+        full = {size: np.frombuffer(b"".join(b), np.uint64).reshape(-1, size // 8) for size, b in own.items()}
+        for size in {*full, *(s // 2 for s in full if s > 128)}:
+            parts = [full[size]] if size in full else []
+            self.place[0, self.size == size] = np.arange(len(parts[0]) if parts else 0)
+            if 2 * size in full:
+                self.place[1, self.size == 2 * size] = np.arange(len(full[2 * size])) + (len(parts[0]) if parts else 0)
+                parts.append(full[2 * size][:, :size // 8] ^ full[2 * size][:, size // 8:])
+            self.tables[size] = np.concatenate(parts)
+
+    def apart(self, x: np.ndarray, other: _Wide, y: np.ndarray) -> np.ndarray:
+        """A lower bound of the Hamming distance of sets of near sizes; 0 where one has no wide bitmap."""
+        out = np.zeros(len(x), np.int64)
+        least = np.minimum(self.size[x], other.size[y])
+        for size in set(least[least > 0].tolist()):
+            pairs = np.flatnonzero(least == size)
+            a, b = x[pairs], y[pairs]
+            a = self.tables[size][self.place[(self.size[a] > size).astype(np.int64), a]]
+            out[pairs] = np.bitwise_count(a ^ other.tables[size][other.place[(other.size[b] > size).astype(np.int64), b]]).sum(1, dtype=np.int64)
+        return out
+
+
 def describe(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", digest: str | None = None) -> DataFrame:
-    """``doc_id, n_shingles, node, s0..s7``: the set of each row; ``s`` is a bitmap in which each shingle turns one bit.
+    """``doc_id, n_shingles, node, s0..s7, wide``: the set of each row; ``s`` is a bitmap in which each shingle turns one bit.
+
+    512 bits are all about half full for large sets, so a set of more shingles has as many bits as it needs in ``wide``.
 
     ``digest`` names a long column to be carried along as ``digest``.
     """
@@ -80,13 +123,14 @@ def describe(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str
                 place = (mix(hashes ^ np.uint64(0xA5A5)) >> np.uint64(55)).astype(np.int64)
                 odd = (np.bincount(owner * 512 + place, minlength=few.num_rows * 512) & 1).astype(np.uint8).reshape(-1, 512)
                 sketch = np.packbits(odd, axis=1).view(np.int64)
+                wide = [_wide_bitmap(hashes[bounds[i]:bounds[i + 1]]) if bounds[i + 1] - bounds[i] > 512 else None for i in range(few.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [few.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_keys(hashes, bounds)), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(_SKETCH)), *(few.column(c) for c in carried)],
-                    names=["doc_id", "n_shingles", "node", *names, *carried])
+                    [few.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_keys(hashes, bounds)), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(_SKETCH)), pa.array(wide, pa.binary()), *(few.column(c) for c in carried)],
+                    names=["doc_id", "n_shingles", "node", *names, "wide", *carried])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *[F.col(digest).alias(c) for c in carried]).mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, node long, " + ", ".join(f"{s} long" for s in [*names, *carried]))
+        run, f"doc_id {kind}, n_shingles long, node long, " + ", ".join([*(f"{s} long" for s in names), "wide binary", *(f"{c} long" for c in carried)]))
 
 
 def bands(most: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
@@ -231,10 +275,10 @@ def _sieve(nodes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _whole_sets(docs: DataFrame, sieve: np.ndarray, width: int, brief: bool) -> DataFrame:
+def _whole_sets(docs: DataFrame, sieve: np.ndarray, width: int) -> DataFrame:
     """``node, own``: the shingles of the sets that pass the sieve, some more than once, a join sorts out the rest.
 
-    48 bits of each shingle, the upper 32 of all and then the lower 16 of all; with ``brief`` the lower 16 alone.
+    48 bits of each shingle, the upper 32 of all and then the lower 16 of all.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
@@ -252,15 +296,20 @@ def _whole_sets(docs: DataFrame, sieve: np.ndarray, width: int, brief: bool) ->
                     if node not in passed:
                         passed.add(node)
                         own = hashes[bounds[i]:bounds[i + 1]]
-                        rows.append((node, (b"" if brief else (own >> np.uint64(16)).astype("<u4").tobytes()) + own.astype("<u2").tobytes()))
+                        rows.append((node, (own >> np.uint64(16)).astype("<u4").tobytes() + own.astype("<u2").tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["node", "own"])
 
     return docs.select("text").mapInArrow(run, "node long, own binary")
 
 
-def verify(edges: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, brief: bool = False) -> DataFrame:
-    """The candidates ``a, b`` (a written table) that link; with ``brief``, those that 16 bits of each shingle don't rule out.
+def _whole(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return (np.frombuffer(data, "<u4", n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(data, "<u2", n, 4 * n)
+
+
+def verify(edges: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """The candidates ``a, b`` (a written table) that link.
 
     Sets are made from the texts again and only those of candidates are dealt out. Members b meet their hub a sorted,
     so a task streams them; large hubs are salted.
@@ -269,33 +318,21 @@ def verify(edges: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int
     members = edges.join(salts, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.lit(1).alias("role"))
     hubs = salts.select(F.col("a").alias("node"), "a", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("role"))
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
-    met = members.unionByName(hubs).join(_whole_sets(docs, _sieve(ends), width, brief), "node")
-
-    def whole(data: bytes) -> np.ndarray:
-        n = len(data) // 6
-        return (np.frombuffer(data, "<u4", n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(data, "<u2", n, 4 * n)
+    met = members.unionByName(hubs).join(_whole_sets(docs, _sieve(ends), width), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, size, own_hub, marked = None, 0, np.zeros(0, np.uint64), np.zeros(1 << 16, bool)
+        hub, size, own_hub = None, 0, np.zeros(0, np.uint64)
         for batch in batches:
             out = []
             for node, a, role, data in zip(*(batch[c].to_pylist() for c in ("node", "a", "role", "own")), strict=True):
-                own = np.frombuffer(data, "<u2") if brief else whole(data)
+                own = _whole(data)
                 if role == 0:
                     if a != hub:
-                        hub, size = a, len(own)
-                        if brief:
-                            marked[:] = False
-                            marked[own] = True
-                        else:
-                            own_hub = np.sort(own)
+                        hub, size, own_hub = a, len(own), np.sort(own)
                 elif a == hub:
-                    if brief:
-                        both = int(np.count_nonzero(marked[own]))
-                    else:
-                        place = np.searchsorted(own_hub, own)
-                        place[place == size] = 0
-                        both = int(np.count_nonzero(own_hub[place] == own))
+                    place = np.searchsorted(own_hub, own)
+                    place[place == size] = 0
+                    both = int(np.count_nonzero(own_hub[place] == own))
                     if 100 * both >= percent * (len(own) + size - both):
                         out.append((a, node))
             if out:
@@ -304,37 +341,141 @@ def verify(edges: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int
     return met.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a long, b long")
 
 
-def _across(percent: int):
-    """Candidates of different components within the blocks of a list; ``left`` and ``right`` may be one block."""
+def _open_pairs(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], percent: int, wide: tuple[_Wide, int, _Wide, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places ``x, y`` in two lists of nodes (component, n_shingles, sketch) of different components that sizes and bitmaps leave open.
+
+    Some rows of ``left`` at a time; all pairs of such a row come together. ``wide``: bitmaps for large sets and where those of the list begin.
+    """
+    (part, n, sketch), (part_, n_, sketch_) = left, right
+    for at in range(0, len(n), 64):
+        few = slice(at, at + 64)
+        open_ = (part[few, None] != part_[None]) & (np.minimum(n[few, None], n_[None]) * 100 >= np.maximum(n[few, None], n_[None]) * percent)
+        x, y = np.nonzero(open_)
+        apart = np.bitwise_count(sketch[few][x] ^ sketch_[y]).sum(1, dtype=np.int64)
+        near = apart * (100 + percent) <= (n[few][x] + n_[y]) * (100 - percent)
+        x, y = x[near] + at, y[near]
+        if wide and len(x):
+            own, start, other, start_ = wide
+            near = own.apart(x + start, other, y + start_) * (100 + percent) <= (n[x] + n_[y]) * (100 - percent)
+            x, y = x[near], y[near]
+        if len(x):
+            yield x, y
+
+
+def _stars(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer pairs that connect what the pairs ``x, y`` connect: each node with the least one that it reaches."""
+    nodes, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = place[:len(x)], place[len(x):]
+    least, before = np.arange(len(nodes)), None
+    while before is None or (least != before).any():
+        before = least.copy()
+        m = np.minimum(least[a], least[b])
+        for side in (a, b):
+            np.minimum.at(least, before[side], m)
+            np.minimum.at(least, side, m)
+        least = least[least]
+    held = least != np.arange(len(nodes))
+    return nodes[least[held]], nodes[held]
+
+
+def _reach(percent: int):
+    """Pairs that connect, within the blocks of a list, what is left open; ``left`` and ``right`` may be one block.
+
+    A batch gives fewer pairs than its lists have members, however many are open.
+    """
     def columns(block: pa.StructArray) -> tuple[np.ndarray, ...]:
         field = lambda name: block.field(name).to_numpy(zero_copy_only=False)
         return field("node"), field("component"), field("n_shingles"), np.stack([field(f"s{j}") for j in range(_SKETCH)], 1).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = []
-            left, right = batch["left"], batch["right"]
-            sides = [(c.offsets.to_numpy(), columns(c.values)) for c in (left, right)]
+            found = []
+            sides = [(c.offsets.to_numpy(), columns(c.values)) for c in (batch["left"], batch["right"])]
+            wide, wide_ = (_Wide(c.values.field("wide")) for c in (batch["left"], batch["right"]))
             for row in range(batch.num_rows):
-                (node, part, n, sketch), (node_, part_, n_, sketch_) = (tuple(v[o[row]:o[row + 1]] for v in values) for o, values in sides)
-                for at in range(0, len(node), 64):
-                    few = slice(at, at + 64)
-                    open_ = (part[few, None] != part_[None]) & (np.minimum(n[few, None], n_[None]) * 100 >= np.maximum(n[few, None], n_[None]) * percent)
-                    x, y = np.nonzero(open_)
-                    apart = np.bitwise_count(sketch[few][x] ^ sketch_[y]).sum(1, dtype=np.int64)
-                    near = apart * (100 + percent) <= (n[few][x] + n_[y]) * (100 - percent)
-                    x, y = node[few][x[near]], node_[y[near]]
-                    if len(x):
-                        pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-            if pairs:
-                once = np.unique(np.concatenate(pairs), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(once[:, 0])), pa.array(np.ascontiguousarray(once[:, 1]))], names=["a", "b"])
+                (node, *left), (node_, *right) = (tuple(v[o[row]:o[row + 1]] for v in values) for o, values in sides)
+                for x, y in _open_pairs(left, right, percent, (wide, sides[0][0][row], wide_, sides[1][0][row])):
+                    found.append(_stars(node[x], node_[y]))
+            if found:
+                a, b = _stars(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
+def _linked_across(percent: int):
+    """Links between different components of a cluster's blocks, as few as connect what all of them connect.
+
+    Rows come by cluster and pair of blocks; a set that links is of its partner's component from then on.
+    """
+    def links(held: list[dict]) -> list[tuple[int, int]]:
+        node, part, n, block = (np.array([r[c] for r in held], np.int64) for c in ("node", "component", "n_shingles", "block"))
+        sketch = np.array([[r[f"s{j}"] for j in range(_SKETCH)] for r in held], np.int64).view(np.uint64)
+        _, shingle = np.unique(np.concatenate([_whole(r["own"]) for r in held]), return_inverse=True)
+        ends = np.cumsum(n)
+        marked = np.zeros(len(shingle), bool)
+        right = block == block.max()
+        left = block == block.min()
+        rows, columns = np.flatnonzero(left), np.flatnonzero(right)
+        out = []
+        for xs, ys in _open_pairs((part[rows], n[rows], sketch[rows]), (part[columns], n[columns], sketch[columns]), percent):
+            xs, ys = rows[xs], columns[ys]
+            edges = np.flatnonzero(np.diff(xs, prepend=-1, append=-1)).tolist()
+            for a, b in zip(edges, edges[1:], strict=False):
+                x, y = int(xs[a]), ys[a:b]
+                y = y[part[y] != part[x]]
+                if not len(y):
+                    continue
+                own = shingle[ends[x] - n[x]:ends[x]]
+                marked[own] = True
+                size = n[y]
+                first = np.cumsum(size) - size
+                both = np.add.reduceat(marked[shingle[np.arange(size.sum()) + np.repeat(ends[y] - size - first, size)]].astype(np.int64), first)
+                marked[own] = False
+                for other in y[100 * both >= percent * (n[x] + size - both)].tolist():
+                    if part[other] != part[x]:
+                        out.append((int(node[x]), int(node[other])))
+                        part[part == part[other]] = part[x]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, seen = None, [], set()
+
+        def found() -> Iterator[pa.RecordBatch]:
+            out = links(held) if len(held) > 1 else []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                mine = row["cluster"], row["i"], row["j"]
+                if mine != key:
+                    yield from found()
+                    key, held, seen = mine, [], set()
+                if row["node"] not in seen:
+                    seen.add(row["node"])
+                    held.append(row)
+        yield from found()
+
+    return run
+
+
+def _links_within(clusters: DataFrame, known: DataFrame, docs: DataFrame, percent: int, width: int, most: int) -> DataFrame:
+    """Links ``a, b`` of ``node, component``, a written table: as few as connect what the links within a cluster connect.
+
+    A set comes to its cluster once. A cluster of more than ``most`` shingles is cut into blocks of about as many, and any two meet.
+    """
+    placed = clusters.withColumnRenamed("component", "cluster").join(known, "node")
+    cuts = placed.groupBy("cluster").agg((F.floor(F.sum("n_shingles") / most) + 1).alias("cuts"))
+    placed = placed.join(cuts, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts"))).withColumn("_other", F.explode(F.expr("sequence(0L, cuts - 1)")))
+    placed = placed.withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other")).drop("cuts", "_other")
+    met = placed.join(_whole_sets(docs, _sieve(clusters), width), "node")
+    return met.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_linked_across(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, key: str = "doc_id", text: str = "text",
-                    cell_entries: int = CELL_ENTRIES, block: int = BLOCK, digest: str | None = None) -> DataFrame:
+                    cell_entries: int = CELL_ENTRIES, block: int = BLOCK, digest: str | None = None,
+                    cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
     With ``digest``, a long column that tells apart the texts of one id, also ``digest`` and ``component``: the component itself,
@@ -343,7 +484,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     extra = ["digest", "component"] if digest else []
     described = persist_table(describe(docs, width, key, text, digest), "sets")
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    info = ["n_shingles", *(f"s{j}" for j in range(_SKETCH))]
+    info = ["n_shingles", *(f"s{j}" for j in range(_SKETCH)), "wide"]
     nodes = persist_table(described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.max(c).alias(c) for c in info]), "nodes")
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     lists = _cells(docs, 1 + total // cell_entries, width, percent).groupBy("cell").applyInArrow(_shared, "list long, nodes array<long>")
@@ -363,9 +504,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     blocks = blocks.select("list", "i", "j", "h.side", F.explode("h.own").alias("node")).join(known, "node")
     member = F.struct("node", "component", *info)
     blocks = blocks.groupBy("list", "i", "j").agg(*[F.collect_list(F.when(F.col("side") == n, member)).alias(s) for n, s in enumerate(("left", "right"))])
-    pairs = blocks.select("left", "right").mapInArrow(_across(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    likely = persist_table(verify(persist_table(pairs, "candidates"), docs, percent, width, brief=True), "candidates")
-    more = persist_table(verify(likely, docs, percent, width), "links")
+    reached = persist_table(blocks.select("left", "right").mapInArrow(_reach(percent), "a long, b long").distinct(), "candidates")
+    clusters = persist_table(components(reached), "clusters")
+    more = persist_table(_links_within(clusters, known.drop("wide"), docs, percent, width, cluster_shingles), "links")
     if more.limit(1).count():
         parts = components(links.unionByName(more))
     named = nodes.select("node", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -118,6 +118,48 @@ def test_near_duplicate_groups_over_small_blocks(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == {i: least[root] for (i, _), root in zip(rows, roots, strict=True)}
 
 
+def test_wide_bitmaps_bound_the_distance_of_large_sets():
+    """Unrelated sets of 1500 shingles are beyond what 512 bits tell apart; no bound exceeds the distance, over sizes that fold."""
+    rng = np.random.default_rng(6)
+    whole = rng.integers(0, 1 << 63, 9000, dtype=np.uint64)
+    sets = [rng.permutation(whole[:n + 150])[:n] for n in (500, 600, 900, 1020, 1030, 1500, 2040, 2060)] + [whole[4000:5500], whole[6000:7500]]
+    wide = partenum._Wide(pa.array([partenum._wide_bitmap(s) if len(s) > 512 else None for s in sets], pa.binary()))
+    for x, a in enumerate(sets):
+        for y, b in enumerate(sets):
+            if 100 * min(len(a), len(b)) >= 75 * max(len(a), len(b)):
+                assert wide.apart(np.array([x]), wide, np.array([y]))[0] <= len(np.setxor1d(a, b))
+    assert wide.apart(np.array([8]), wide, np.array([9]))[0] * 175 > 3000 * 25
+
+
+def test_open_pairs_of_a_large_group_are_linked_in_clusters(spark):
+    """A group in which few pairs link though all share signatures: rows stay fewer than members, clusters are cut, no link is lost."""
+    from tests.llm.test_results import linked, shingles
+
+    n, rng = 300, np.random.default_rng(4)
+    columns = {"node": rng.permutation(n), "component": np.arange(n), "n_shingles": np.full(n, 100), **{f"s{j}": np.zeros(n, np.int64) for j in range(8)}}
+    block = pa.array([[{**dict(zip(columns, map(int, r), strict=True)), "wide": None} for r in zip(*columns.values(), strict=True)]] * 5)
+    fields = block.type.value_type
+    block = block.cast(pa.list_(pa.struct([f if f.name != "wide" else pa.field("wide", pa.binary()) for f in fields])))
+    out = pa.Table.from_batches(partenum._reach(75)(iter([pa.RecordBatch.from_arrays([block, block], names=["left", "right"])])))
+    assert out.num_rows == n - 1 and set(out["b"].to_pylist()) == set(range(1, n))
+
+    words = random.Random(12)
+    base = prose(words, 90).split(" ")
+    rows = []
+    for i in range(70):
+        own = list(base)
+        for at in words.sample(range(0, len(own), 5), words.choice((1, 2, 3, 4))):
+            own[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(own)))
+    for most in (partenum.CLUSTER_SHINGLES, 400):
+        found = partenum.near_duplicates(spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3), cell_entries=2000, cluster_shingles=most).collect()
+        roots = linked([shingles(t) for _, t in rows])
+        least = {}
+        for (i, _), root in zip(rows, roots, strict=True):
+            least[root] = min(least.get(root, i), i)
+        assert len(least) > 1 and {r["doc_id"]: r["component_id"] for r in found} == {i: least[root] for (i, _), root in zip(rows, roots, strict=True)}
+
+
 def test_components_of_long_chains(spark):
     from lorebase.operators.linking import components
 
