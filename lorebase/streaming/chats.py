@@ -7,7 +7,9 @@ old command can't override a newer one.
 
 State: the messages of the last ``delay`` that still wait, and a mode or ten turn times per chat. Every call into the state
 store costs about as much as a hundred messages, so chats share ``slots`` keys by their hash, and the state of a slot is packed
-arrays that numpy handles as a whole. The store writes the slots a batch changes. Times are microseconds.
+arrays that numpy handles as a whole. The store writes the slots a batch changes. Spark hands rows to a stateful processor one by
+one in Python, so messages come packed as well, some hundred of a slot in a row; of a pack that is late in part the processor
+leaves out what the watermark has passed. Times are microseconds.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,10 +27,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lorebase import rules
 
 SLOTS = 1024
+PACK_ROWS = 1 << 18
 #: ``known`` is 0 for messages without a chat; commands are numbers: 1 record_on, 2 record_off, 0 none of them
 _MESSAGE = np.dtype([("known", "i1"), ("chat_id", "<i8"), ("at", "<i8"), ("event_id", "<i8"), ("command", "i1")])
 _TIME = np.dtype([("known", "i1"), ("chat_id", "<i8"), ("at", "<i8")])
 _PACKED = "packed BINARY"
+_NO_TIME = np.iinfo(np.int64).min
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -69,12 +74,17 @@ class InEventOrder(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _PACKED)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = 1000 * timerValues.getCurrentWatermarkInMs()
         for frame in rows:
-            frame = frame[frame["beat"] == 0]
-            if len(frame):
+            if "packed" in frame:
+                fresh = np.frombuffer(b"".join(bytes(p) for p in frame["packed"]), _MESSAGE)
+                fresh = fresh[(fresh["at"] > passed) | (fresh["at"] == _NO_TIME)]
+            else:  # a message a row, of which Spark has dropped the late ones
+                frame = frame[frame["beat"] == 0]
                 fresh = np.empty(len(frame), _MESSAGE)
                 for name in _MESSAGE.names:
                     fresh[name] = frame[name].to_numpy()
+            if len(fresh):
                 self.waiting.appendValue((fresh.tobytes(),))
                 self.handle.registerTimer(-(-int(fresh["at"].min()) // 1000))
         return iter(())
@@ -167,14 +177,46 @@ class TurnMemory(InEventOrder):
             self.times.clear()
 
 
+def _pack(rows: pa.Table) -> pa.RecordBatch:
+    """A row per slot: its messages without the heartbeats, and the last time of both. Messages without a time come apart."""
+    field = {c: rows[c].to_numpy() for c in rows.column_names if c != "at"}
+    at = rows["at"].fill_null(_NO_TIME).to_numpy()
+    key = 2 * field["slot"].astype(np.int64) + (at == _NO_TIME)
+    order = np.argsort(key, kind="stable")
+    key, at, real = key[order], at[order], field["beat"][order] == 0
+    messages = np.empty(len(at), _MESSAGE)
+    messages["at"] = at
+    for name in ("known", "chat_id", "event_id", "command"):
+        messages[name] = field[name][order]
+    opens = np.flatnonzero(np.diff(key, prepend=-1))
+    sizes = np.add.reduceat(real.astype(np.int64), opens)
+    edges = np.concatenate([[0], np.cumsum(sizes)]) * _MESSAGE.itemsize
+    packed = pa.Array.from_buffers(pa.binary(), len(opens), [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(messages[real].tobytes())])
+    last = np.maximum.reduceat(at, opens)
+    return pa.RecordBatch.from_arrays([pa.array((key[opens] // 2).astype(np.int32)), pa.array(last, mask=last == _NO_TIME), packed], names=["slot", "last", "packed"])
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= PACK_ROWS:
+            yield _pack(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        yield _pack(pa.Table.from_batches(held))
+
+
 def _messages(feed: DataFrame, time: str, delay: str, command: str | None, slots: int) -> DataFrame:
     number = F.when(F.col(command) == "record_on", 1).when(F.col(command) == "record_off", 2).otherwise(0) if command else F.lit(0)
-    rows = feed.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
     zero = F.lit(0).cast("long")
-    return rows.select(
-        F.pmod(F.xxhash64("chat_id"), F.lit(slots)).cast("int").alias("slot"), F.col(time), F.col("chat_id").isNotNull().cast("int").alias("known"),
-        F.coalesce(F.col("chat_id"), zero).alias("chat_id"), F.unix_micros(F.col(time)).alias("at"), F.coalesce(F.col("event_id"), zero).alias("event_id"),
+    rows = feed.select(
+        F.pmod(F.xxhash64("chat_id"), F.lit(slots)).cast("int").alias("slot"), F.col("chat_id").isNotNull().cast("int").alias("known"),
+        F.coalesce(F.col("chat_id"), zero).alias("chat_id"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.coalesce(F.col("event_id"), zero).alias("event_id"),
         number.alias("command"), F.col("event_id").isNull().cast("int").alias("beat"))
+    packs = rows.mapInArrow(_packs, "slot INT, last LONG, packed BINARY")
+    return packs.select("slot", F.timestamp_micros("last").alias("last"), "packed").withWatermark("last", delay)
 
 
 def modes(feed: DataFrame, delay: str, time: str = "ts", command: str = "command", slots: int = SLOTS) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lorebase.streaming import chats, delivery, feeds
@@ -47,6 +48,35 @@ def test_memory_is_gone_after_half_an_hour(spark, tmp_path):
     assert state.count() == 0  # chat 1 and 2 hold nothing any more
 
 
+def test_messages_reach_python_in_packs(spark):
+    """A slot's messages are one row, not one each; heartbeats only move the time; a pack that is late in part loses that part."""
+    rows = [(i % 7 if i % 5 else None, i, minute(i % 50) if i % 11 else None, ("record_on", "record_off", None)[i % 3]) for i in range(3000)]
+    beats = [(-1, None, minute(60), None)] * 4
+    packs = chats._messages(spark.createDataFrame(rows + beats, SCHEMA).coalesce(1), "ts", "1 minute", "command", 3).toPandas()
+    assert len(packs) <= 2 * 3 and packs["last"].max() == minute(60)
+    held = np.concatenate([np.frombuffer(p, chats._MESSAGE) for p in packs["packed"]])
+    told = {int(m["event_id"]): (int(m["chat_id"]) if m["known"] else None, int(m["command"])) for m in held}
+    assert told == {e: (c, {"record_on": 1, "record_off": 2, None: 0}[k]) for c, e, _, k in rows} and len(held) == 3000
+
+    kept = []
+
+    class State:
+        appendValue = staticmethod(lambda value: kept.append(value[0]))
+
+    class Handle:
+        getListState = getValueState = staticmethod(lambda name, schema: State)
+        registerTimer = staticmethod(lambda at: None)
+
+    class Timers:
+        getCurrentWatermarkInMs = staticmethod(lambda: int(minute(20).replace(tzinfo=dt.timezone.utc).timestamp() * 1000))
+
+    machine = chats.ModeMachine()
+    machine.init(Handle)
+    assert not list(machine.handleInputRows((0,), iter([packs]), Timers))
+    stayed = {int(m["event_id"]) for m in np.frombuffer(b"".join(kept), chats._MESSAGE)}
+    assert stayed == {e for _, e, at, _ in rows if at is None or at > minute(20)}
+
+
 def messages(*rows):
     return [(chat, str(n), minute(at), f"m{n}") for chat, n, at in rows]
 
