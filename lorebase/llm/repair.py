@@ -31,10 +31,39 @@ RULES_A_ROUND = 1024
 LEAST_COUNT = 64
 LEAST_GAIN = 0.02
 _BINS = 1 << 18
+_TURNS = 16
 SHARD = ("part int, shard int, start_in_part long, n_ids long, least_doc long, most_doc long, first_rule int, rules binary, lengths binary, ids binary, doc_ids binary, "
          "doc_null binary, doc_places binary, doc_sizes binary")
 
 
+def _frequent(pairs: np.ndarray, bins: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that occur ``least`` times or more, how often, and for each occurrence which of them it is, -1 for none.
+
+    Without sorting: a bin names one of its pairs, all occurrences of that one leave, and bins with too few left are done.
+    """
+    where, left = np.full(len(pairs), -1), np.arange(len(pairs))
+    found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    named, total, turn = np.zeros(int(bins.max()) + 1 if len(bins) else 0, np.int64), 0, 0
+    while len(left):
+        own, bin_ = pairs[left], bins[left]
+        if turn < _TURNS:
+            named[bin_] = own
+            hit, group, names = named[bin_] == own, bin_, named
+        else:  # bins of very many pairs
+            names, group = np.unique(own, return_inverse=True)
+            hit = np.ones(len(left), bool)
+        n = np.bincount(group[hit], minlength=len(names))
+        often = n >= least
+        place = np.where(often, total + np.cumsum(often) - 1, -1)
+        where[left[hit]] = place[group[hit]]
+        found.append(names[often])
+        counts.append(n[often])
+        total, turn = total + int(often.sum()), turn + 1
+        left, bin_ = left[~hit], bin_[~hit]
+        left = left[(np.bincount(bin_, minlength=len(named)) >= least)[bin_]]
+    return np.concatenate(found), np.concatenate(counts), where
+
+
 def compress(ids: np.ndarray, borders: np.ndarray, first_rule: int, rounds: int = ROUNDS, a_round: int = RULES_A_ROUND,
              least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``ids, borders, rules, lengths``: the compressed ids, where each document starts in them, the pairs, what they expand to.
@@ -52,12 +81,11 @@ def compress(ids: np.ndarray, borders: np.ndarray, first_rule: int, rounds: int
         bins = ((ids[:-1] * 40503 + ids[1:] * 30011) & (_BINS - 1))
         heavy = np.bincount(bins[inner], minlength=_BINS) >= least
         at = np.flatnonzero(heavy[bins] & inner)
-        found, where, counts = np.unique(pairs[at], return_inverse=True, return_counts=True)
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+        found, counts, where = _frequent(pairs[at], (np.cumsum(heavy) - 1).astype(np.int32)[bins[at]], least)
+        if not len(found):
             break
-        often = often[np.argsort(-counts[often], kind="stable")[:a_round]]
-        number = np.full(len(found), -1, np.int64)
+        often = np.lexsort((found, -counts))[:a_round]
+        number = np.full(len(found) + 1, -1, np.int64)  # the last stands for all that are seldom
         number[often] = first_rule + len(rules) + np.arange(len(often))
         symbol = number[where]
         at, symbol = at[symbol >= 0], symbol[symbol >= 0]

@@ -40,6 +40,9 @@ class WordEncoder:
         self.border = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.border[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
+        self.once = _tokenizer(path)  # for words, which it sees once: its own memory would only cost
+        if hasattr(self.once.model, "_resize_cache"):
+            self.once.model._resize_cache(0)
         self.stops = {c: self._whole(c) for c in _STOPS}
         self.line = self._whole("\n")
         # how the names of added tokens begin: a text with one in it is encoded whole, as such a name may be a token anywhere
@@ -51,7 +54,7 @@ class WordEncoder:
     def _pieces(self, text: str) -> list[str] | None:
         """Keys of ``known``. At byte level a word stands for a space and itself, after one line end for that line end
         and itself, after two for itself alone; None: white space runs or odd white space, encode the text whole."""
-        if any(a in text or a in text.lower() for a in self.added):
+        if any(a in text or (a.upper() != a and a in text.lower()) for a in self.added):
             return None
         plain = text.replace("\n", " ")
         if not self.spaced:
@@ -93,38 +96,51 @@ class WordEncoder:
             known[word] = before + known[base] + after
 
     def _encode(self, plain: list[str], other: list[str]) -> None:
-        """Words of letters in one go, cut where a token begins (or ends) a word; all others one by one."""
-        known = self.known
+        """Words in one go: those of letters cut where a token begins (or ends) a word. At byte level a token begins with each
+        space and line ends stand alone, so all others come joined by these as well; without it they go one by one."""
+        lines: list[str] = []
+        if self.spaced:
+            lines = [w for w in other if w[:2] == "\n\n" and len(w) > 2]
+            plain = plain + [w for w in other if w and w[:1] != "\n"]
+            other = [w for w in other if not w or w == "\n\n"]
         if plain:
-            text = (" " if self.spaced else "") + " ".join(plain)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ids = self._ids((" " if self.spaced else "") + " ".join(plain))
             cuts = np.flatnonzero(self.border[ids])
             if len(cuts) == len(plain):
-                edges = (4 * np.append(cuts, len(ids)) if self.spaced else 4 * np.append(0, cuts + 1)).tolist()
-                data = ids.tobytes()
-                for word, a, b in zip(plain, edges, edges[1:], strict=False):
-                    known[word] = data[a:b]
+                self._keep(plain, ids, cuts if self.spaced else np.append(0, cuts[:-1] + 1), cuts[1:] if self.spaced else cuts[:-1] + 1)
             else:
                 other = other + plain
+        if lines:
+            ids = self._ids("\n".join(w[2:] for w in lines))
+            cuts = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
+            if len(cuts) == len(lines) - 1 and len(self.line) == 4:
+                self._keep(lines, ids, np.append(0, cuts + 1), cuts)
+            else:
+                other = other + lines
         if other:
             texts = [w[2:] if w[:2] == "\n\n" else " " + w for w in other] if self.spaced else other
-            for word, e in zip(other, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
+            for word, e in zip(other, self.once.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                self.known[word] = np.array(e.ids, "<u4").tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.once.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """``ends``: of all words but the last, which goes to the end of ``ids``."""
+        data = ids.tobytes()
+        self.known.update(zip(words, [data[a:b] for a, b in zip((4 * starts).tolist(), [*(4 * ends).tolist(), len(data)], strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text is empty."""
         cut = [self._pieces(t) if t else [] for t in texts]
         get = self.known.get
         found = [list(map(get, c)) if c is not None else [self._whole(t)] for c, t in zip(cut, texts, strict=True)]
-        behind = [i for i, values in enumerate(found) if None in values]
+        behind = [(values, c, [j for j, v in enumerate(values) if v is None]) for values, c in zip(found, cut, strict=True) if None in values]
         if behind:
-            kept = self.known
-            self._learn({w for i in behind for w, v in zip(cut[i], found[i], strict=True) if v is None})
-            if self.known is not kept:  # forgotten meanwhile
-                self._learn({w for i in behind for w in cut[i]} - self.known.keys())
-            get = self.known.__getitem__
-            for i in behind:
-                found[i] = map(get, cut[i])
+            self._learn({c[j] for _, c, places in behind for j in places})  # what it forgets for them is in ``found``
+            for values, c, places in behind:
+                for j in places:
+                    values[j] = self.known[c[j]]
         return [b"".join(values) for values in found]
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lorebase.llm import QUERIES, decontam, packing, partenum, quality, repair
+from lorebase.llm import QUERIES, decontam, packing, partenum, quality, repair, tokens
 from tests.llm.conftest import prose
 
 
@@ -259,3 +259,37 @@ def test_copies_are_learned_from_once(spark):
     finally:
         type(docs).collect = collect
     assert sent == [63] and model.names == ["de", "en", "fr"]
+
+
+def test_words_are_learnt_in_few_calls():
+    """At byte level all new words of a batch come joined, also those with digits or signs and after line ends; ids stay the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    encoder = tokens.WordEncoder(path, True, 500)
+    texts = [" ".join(f"a{n}b{n * 7} $x{n}% é{n}.. it's{n} \n" + f"w{n}!!\nnext{n}# z" for n in range(i, i + 40)).replace(" \n", "\n") for i in range(0, 400, 20)]
+    texts += ["", " ", "\n", "a", " b12 ", "c3\n", "\nd4", "\n\ne5", "x  y1", "中文1 字2\n字3", "<|endoftext|> a1", None]
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return once.encode_batch_fast(texts, **more)
+
+    once, encoder.once = encoder.once, Counted()
+    plain = Tokenizer.from_file(path)
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want and len(asked) < 10
+    assert [encoder.encode([t])[0] for t in texts] == want  # with words forgotten in between
+
+
+@pytest.mark.parametrize("turns", [0, 1, 16])
+def test_frequent_pairs_are_those_of_a_sort(monkeypatch, turns):
+    monkeypatch.setattr(repair, "_TURNS", turns)
+    rng = np.random.default_rng(7)
+    pairs = rng.zipf(1.4, 5000) % 300
+    found, counts, where = repair._frequent(pairs, (pairs % 13).astype(np.int32), 20)
+    values, times = np.unique(pairs, return_counts=True)
+    assert dict(zip(found.tolist(), counts.tolist(), strict=True)) == dict(zip(values[times >= 20].tolist(), times[times >= 20].tolist(), strict=True))
+    assert (np.append(found, -1)[where] == np.where(np.isin(pairs, found), pairs, -1)).all()
+    assert all(len(x) == 0 for x in repair._frequent(pairs[:0], pairs[:0].astype(np.int32), 20))
